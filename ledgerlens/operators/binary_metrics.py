@@ -28,35 +28,37 @@ SCORE_CHUNKS = 4096
 
 
 def score_counts(df: DataFrame, score: str = "proba", label: str = "y",
-                 amount: str | None = None) -> DataFrame:
+                 amount: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     y = F.col(label).cast("int")
     aggs = [F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg")]
     if amount:
         aggs.append(F.sum(F.when(y == 1, F.col(amount).cast("decimal(18,2)"))
                           .otherwise(F.lit(0).cast("decimal(18,2)"))).alias("pos_amount"))
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(*aggs)
+    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(*aggs)
 
 
-def cumulative_counts(counts: DataFrame) -> DataFrame:
+def cumulative_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``tp``/``fp``: positives / negatives with score >= this score."""
     c = counts.withColumn("_chunk", F.floor(-F.col("score") * SCORE_CHUNKS))
-    c = exclusive_running_sum(c, [], "_chunk", [F.desc("score")], "pos", "_tp_before")
-    c = exclusive_running_sum(c, [], "_chunk", [F.desc("score")], "neg", "_fp_before")
+    c = exclusive_running_sum(c, list(by), "_chunk", [F.desc("score")], "pos", "_tp_before")
+    c = exclusive_running_sum(c, list(by), "_chunk", [F.desc("score")], "neg", "_fp_before")
     return (c.withColumn("tp", F.col("_tp_before") + F.col("pos"))
             .withColumn("fp", F.col("_fp_before") + F.col("neg"))
             .drop("_chunk", "_tp_before", "_fp_before"))
 
 
-def ranking_metrics(df: DataFrame, score: str = "proba", label: str = "y") -> DataFrame:
+def ranking_metrics(df: DataFrame, score: str = "proba", label: str = "y",
+                    by: Sequence[str] = ()) -> DataFrame:
     """F2 + F3: tie-aware ROC-AUC (trapezoids between distinct scores) and
-    average precision (sum of recall steps times precision), one row."""
-    cum = cumulative_counts(score_counts(df, score, label))
+    average precision (sum of recall steps times precision), one row (per
+    group with ``by``: e.g. one group per model)."""
+    cum = cumulative_counts(score_counts(df, score, label, by=by), by)
     # neg * (tp_prev + tp) summed exactly (decimal: the product can pass 2^63)
     trap = (F.col("neg").cast("decimal(38,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(38,0)"))
     ap_term = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    tot = cum.agg(F.sum(trap).alias("_trap"), F.sum(ap_term).alias("_ap"),
-                  F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    return tot.select(
+    tot = cum.groupBy(*by).agg(F.sum(trap).alias("_trap"), F.sum(ap_term).alias("_ap"),
+                               F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    return tot.select(*by,
         (F.col("_trap").cast("double") / (2.0 * F.col("_P") * F.col("_N"))).alias("roc_auc"),
         (F.col("_ap") / F.col("_P")).alias("pr_auc"))
 
@@ -225,7 +227,7 @@ def error_summary(df: DataFrame, threshold: float, score: str = "proba", label:
         F.coalesce(F.avg(F.when(pred == 1, y)), F.lit(0.0)).alias("precision_at_threshold"))
 
 
-def cost_scenarios(df: DataFrame, thresholds: Sequence[float], selected: float | None,
+def cost_scenarios(df: DataFrame, thresholds: Sequence[float], selected: float | F.Column | None,
                    cost_per_fp: float = 25.0, score: str = "proba", label: str = "y",
                    amount: str = "amount") -> DataFrame:
     """per threshold: FN money lost, FP review cost, total, and whether
@@ -233,7 +235,11 @@ def cost_scenarios(df: DataFrame, thresholds: Sequence[float], selected: float |
     c = threshold_counts(df, thresholds, score, label, amount)
     fp_cost = F.col("fp") * F.lit(float(cost_per_fp))
     fn_loss = F.col("fn_amount").cast("double")
-    sel = (F.abs(F.col("threshold") - F.lit(float(selected))) < 0.001) if selected is not None else F.lit(False)
+    if selected is None:
+        sel = F.lit(False)
+    else:
+        st = selected if isinstance(selected, F.Column) else F.lit(float(selected))
+        sel = F.abs(F.col("threshold") - st) < 0.001
     return c.select(
         "threshold", F.col("fn").alias("false_negatives"), F.col("fp").alias("false_positives"),
         (F.col("tp") / F.greatest(F.col("P"), F.lit(1))).alias("recall"),

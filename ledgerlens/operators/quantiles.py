@@ -42,43 +42,21 @@ def _long_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
             .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
 
 
-def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
-                      by: Sequence[str] = (), method: str = "exact",
-                      accuracy: int = 10_000, buckets: int = BUCKETS,
-                      settle_rows: int = SETTLE_ROWS) -> DataFrame:
-    """Quantiles per group. ``spec`` maps output name -> (column, p).
-
-    Returns one row per group (``by`` columns + one column per spec entry).
-    ``method="approx"`` uses ``percentile_approx`` (one pass, bounded memory,
-    rank error about 1/accuracy)."""
-    by = list(by)
-    if method == "approx":
-        return df.groupBy(*by).agg(*[
-            F.percentile_approx(F.col(c).cast("double"), p, accuracy).alias(name)
-            for name, (c, p) in spec.items()])
-    if method != "exact":
-        raise ValueError(method)
-
-    spark = df.sparkSession
-    cols = sorted({c for c, _ in spec.values()})
-    values = keep(_long_values(df, by, cols))
-    keys = by + ["_c"]
-    stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    wanted = spark.createDataFrame([(name, c, float(p)) for name, (c, p) in spec.items()],
-                                   "_name string, _c string, _p double")
-    # spec is a literal list of a few entries: broadcast is size-bounded.
-    targets = (stats.join(F.broadcast(wanted), "_c")
-               .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-               .withColumn("_r_lo", F.floor("_pos"))
-               .withColumn("_r_hi", F.ceil("_pos")))
-    targets = keep(targets)
-
-    ranks = (targets.select(*keys, F.col("_r_lo").alias("_r"), "_n", "_min", "_max")
-             .unionByName(targets.select(*keys, F.col("_r_hi").alias("_r"), "_n", "_min", "_max"))
-             .dropDuplicates(keys + ["_r"]))
-    state = ranks.select(*keys, "_r", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
-                         F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
+def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
+                 buckets: int = BUCKETS, settle_rows: int = SETTLE_ROWS) -> DataFrame:
+    """Order statistics by distributed selection.
+
+    ``values``: (keys..., _v) non-null doubles. ``ranks``: (keys..., _r, _min,
+    _max) with 0-based ranks and the group's value range. Returns (keys...,
+    _r, _val): the ``_r``-th smallest ``_v`` of each group."""
+    keys = list(keys)
+    if not keys:  # one global group: a constant key keeps the joins equi-joins
+        return select_ranks(values.withColumn("_g", F.lit(0)), ["_g"], ranks.withColumn("_g", F.lit(0)),
+                            buckets, settle_rows).drop("_g")
+    n = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    state = (ranks.join(n, keys)
+             .select(*keys, "_r", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
+                     F.lit(0).cast("long").alias("_below"), "_cnt"))
     state = cut_lineage(state)
 
     for _ in range(MAX_ROUNDS):
@@ -103,10 +81,10 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
         settled = state.join(chosen.select(*keys, "_r"), keys + ["_r"], "left_anti")
         state = cut_lineage(settled.unionByName(chosen))
     else:  # pragma: no cover - only for pathological inputs
-        raise RuntimeError("quantile selection did not converge")
+        raise RuntimeError("rank selection did not converge")
 
     # Windows with one distinct value are settled; the rest hold at most
-    # SETTLE_ROWS values each and are ranked directly.
+    # ``settle_rows`` values each and are ranked directly.
     single = state.where(F.col("_lo") == F.col("_hi")).select(*keys, "_r", F.col("_lo").alias("_val"))
     few = state.where(F.col("_lo") < F.col("_hi"))
     rw = Window.partitionBy(*keys, "_r").orderBy("_v")
@@ -115,7 +93,65 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
               .withColumn("_rn", F.row_number().over(rw) - 1 + F.col("_below"))
               .where(F.col("_rn") == F.col("_r"))
               .select(*keys, "_r", F.col("_v").alias("_val")))
-    solved = single.unionByName(ranked)
+    return single.unionByName(ranked)
+
+
+def kth_smallest(df: DataFrame, value: str, rank: F.Column, by: Sequence[str] = (),
+                 name: str = "kth") -> DataFrame:
+    """Per group, the value at 0-based ``rank`` (an expression over the group
+    size ``_n``, e.g. ``F.ceil(F.col("_n") * 0.15) - 1``). Groups whose rank
+    falls outside 0.._n-1 get null. Result: (by..., name), written to the
+    checkpoint folder."""
+    by = list(by)
+    values = keep(df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
+    stats = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
+                                    F.max("_v").alias("_max"))
+    ranks = stats.withColumn("_r", rank.cast("long"))
+    ok = ranks.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_n")))
+    solved = select_ranks(values, by, ok.select(*by, "_r", "_min", "_max"))
+    out = stats.select(*by).join(solved.select(*by, F.col("_val").alias(name)), by, "left") if by else \
+        solved.agg(F.max(F.col("_val")).alias(name))
+    out = cut_lineage(out)
+    values.unpersist()
+    return out
+
+
+def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
+                      by: Sequence[str] = (), method: str = "exact",
+                      accuracy: int = 10_000, buckets: int = BUCKETS,
+                      settle_rows: int = SETTLE_ROWS) -> DataFrame:
+    """Quantiles per group. ``spec`` maps output name -> (column, p).
+
+    Returns one row per group (``by`` columns + one column per spec entry).
+    ``method="approx"`` uses ``percentile_approx`` (one pass, bounded memory,
+    rank error about 1/accuracy)."""
+    by = list(by)
+    if method == "approx":
+        return df.groupBy(*by).agg(*[
+            F.percentile_approx(F.col(c).cast("double"), p, accuracy).alias(name)
+            for name, (c, p) in spec.items()])
+    if method != "exact":
+        raise ValueError(method)
+
+    spark = df.sparkSession
+    cols = sorted({c for c, _ in spec.values()})
+    values = keep(_long_values(df, by, cols))
+    keys = by + ["_c"]
+    stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    wanted = spark.createDataFrame([(name, c, float(p)) for name, (c, p) in spec.items()],
+                                   "_name string, _c string, _p double")
+    # spec is a literal list of a few entries: broadcast is size-bounded.
+    targets = (stats.join(F.broadcast(wanted), "_c")
+               .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+               .withColumn("_r_lo", F.floor("_pos"))
+               .withColumn("_r_hi", F.ceil("_pos")))
+    targets = keep(targets)
+
+    ranks = (targets.select(*keys, F.col("_r_lo").alias("_r"), "_min", "_max")
+             .unionByName(targets.select(*keys, F.col("_r_hi").alias("_r"), "_min", "_max"))
+             .dropDuplicates(keys + ["_r"]))
+    solved = select_ranks(values, keys, ranks, buckets, settle_rows)
 
     lo = solved.select(*keys, F.col("_r").alias("_r_lo"), F.col("_val").alias("_v_lo"))
     hi = solved.select(*keys, F.col("_r").alias("_r_hi"), F.col("_val").alias("_v_hi"))

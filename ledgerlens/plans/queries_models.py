@@ -1 +1,79 @@
-"""Registered queries (filled in below)."""
+"""Clustering-quality queries over the vectors (V), plus MLlib model
+training / scoring queries (rows-only checks: fitted models are not
+SQL-expressible)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clustering as H
+from .catalog import V, r6, register
+
+# Four labelings of the same vectors, compared as if they were four models.
+_LABELINGS_SQL = """
+lab AS (SELECT vec_id, features, 'label10' model, cluster FROM v
+        UNION ALL SELECT vec_id, features, 'mod5', cluster % 5 FROM v
+        UNION ALL SELECT vec_id, features, 'mod2', cluster % 2 FROM v
+        UNION ALL SELECT vec_id, features, 'single', 0 FROM v)"""
+
+
+def labelings(spark, sf):
+    v = V(spark, sf)
+    return (v.select("vec_id", "features", F.lit("label10").alias("model"), "cluster")
+            .unionByName(v.select("vec_id", "features", F.lit("mod5").alias("model"), (F.col("cluster") % 5).alias("cluster")))
+            .unionByName(v.select("vec_id", "features", F.lit("mod2").alias("model"), (F.col("cluster") % 2).alias("cluster")))
+            .unionByName(v.select("vec_id", "features", F.lit("single").alias("model"), F.lit(0).alias("cluster"))))
+
+
+_QUALITY_SQL = _LABELINGS_SQL + """,
+sizes AS (SELECT model, cluster, count(*) n FROM lab GROUP BY 1, 2),
+pairs AS (SELECT a.model, a.vec_id i, a.cluster ci, b.cluster cj, avg(pow(list_distance(a.features, b.features), 2)) d
+          FROM lab a JOIN lab b ON a.model = b.model AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
+pt AS (SELECT model, i, ci, max(CASE WHEN cj = ci THEN d END) a, min(CASE WHEN cj <> ci THEN d END) b FROM pairs
+       GROUP BY 1, 2, 3),
+sil AS (SELECT l.model, avg(CASE WHEN s.n <= 1 THEN 0.0 ELSE (pt.b - pt.a) / greatest(pt.a, pt.b) END) sil
+        FROM lab l JOIN sizes s ON l.model = s.model AND l.cluster = s.cluster
+        LEFT JOIN pt ON pt.model = l.model AND pt.i = l.vec_id GROUP BY 1),
+dims AS (SELECT model, cluster, unnest(features) x, generate_subscripts(features, 1) j FROM lab),
+cen AS (SELECT model, cluster, list(c ORDER BY j) c FROM (SELECT model, cluster, j, avg(x) c FROM dims GROUP BY 1, 2, 3)
+        GROUP BY 1, 2),
+grand AS (SELECT model, list(g ORDER BY j) g FROM (SELECT model, j, avg(x) g FROM dims GROUP BY 1, 2) GROUP BY 1),
+spread AS (SELECT l.model, l.cluster, avg(list_distance(l.features, cen.c)) sp,
+                  sum(pow(list_distance(l.features, cen.c), 2)) w
+           FROM lab l JOIN cen USING (model, cluster) GROUP BY 1, 2),
+dbk AS (SELECT a.model, a.cluster, max((sa.sp + sb.sp) / list_distance(a.c, b.c)) worst
+        FROM cen a JOIN cen b ON a.model = b.model AND a.cluster <> b.cluster
+        JOIN spread sa ON sa.model = a.model AND sa.cluster = a.cluster
+        JOIN spread sb ON sb.model = b.model AND sb.cluster = b.cluster GROUP BY 1, 2),
+kk AS (SELECT model, count(*) k, sum(n) n FROM sizes GROUP BY 1),
+bw AS (SELECT c.model, sum(s.n * pow(list_distance(c.c, g.g), 2)) btw FROM cen c JOIN grand g USING (model)
+       JOIN sizes s ON s.model = c.model AND s.cluster = c.cluster GROUP BY 1),
+ww AS (SELECT model, sum(w) w FROM spread GROUP BY 1),
+q AS (SELECT kk.model, CAST(kk.k AS INT) n_clusters,
+       CASE WHEN kk.k <= 1 THEN -1.0 ELSE sil.sil END silhouette_sq,
+       CASE WHEN kk.k <= 1 THEN 'inf'::DOUBLE ELSE (SELECT avg(worst) FROM dbk WHERE dbk.model = kk.model) END
+         davies_bouldin,
+       CASE WHEN kk.k <= 1 THEN 0.0 ELSE (bw.btw / (kk.k - 1)) / (ww.w / (kk.n - kk.k)) END calinski_harabasz
+      FROM kk JOIN sil USING (model) JOIN bw USING (model) JOIN ww USING (model))"""
+
+
+@register("cluster_quality", "WITH " + _QUALITY_SQL + """
+SELECT model, n_clusters, round(silhouette_sq, 6) silhouette_sq, round(davies_bouldin, 6) davies_bouldin,
+       round(calinski_harabasz, 6) calinski_harabasz FROM q""", ("v",))
+def q_cluster_quality(spark, sf):
+    """H6-H8: silhouette (squared distance), Davies-Bouldin and
+    Calinski-Harabasz for four labelings of the vectors."""
+    m = H.cluster_metrics(labelings(spark, sf), "features", "cluster", by=["model"])
+    return m.select("model", "n_clusters", *[r6(c).alias(c) for c in
+                                             ("silhouette_sq", "davies_bouldin", "calinski_harabasz")])
+
+
+@register("cluster_selection", "WITH " + _QUALITY_SQL + """
+SELECT model, round(silhouette_sq - 0.05 * davies_bouldin, 6) selection_score,
+       model = (SELECT model FROM q ORDER BY silhouette_sq - 0.05 * davies_bouldin DESC, model LIMIT 1) is_selected
+FROM q""", ("v",))
+def q_cluster_selection(spark, sf):
+    """H9: model choice by silhouette - 0.05 * Davies-Bouldin."""
+    m = H.cluster_metrics(labelings(spark, sf), "features", "cluster", by=["model"])
+    sel = H.select_model(m, "model")
+    return sel.select("model", r6("selection_score").alias("selection_score"), "is_selected")

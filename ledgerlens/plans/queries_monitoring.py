@@ -1 +1,193 @@
-"""Registered queries (filled in below)."""
+"""Monitoring queries (I1-I10): gates, consistency, drift, alert volume,
+segment checks, weekly quality and the A/B readout."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import binary_metrics as M
+from ..operators import clustering as H
+from ..operators import monitoring as I
+from ..sources.tables import read_table
+from .catalog import P, T, r6, register
+from .queries_customers import _SEG_SQL, engagement_segments
+from .queries_models import _QUALITY_SQL, labelings
+from .queries_scoring import _BEST_SQL, _CUM, HASH_SQL
+from ..operators import stats as D
+
+REF_STEPS = 360  # reference window: step < 360; current window: the rest
+
+
+@register("health_gates", "WITH " + _CUM + "," + _QUALITY_SQL + """
+SELECT g.check, g.minimum, round(g.value, 6) value, coalesce(g.value >= g.minimum, false) passed FROM (
+  SELECT 'fraud_pr_auc_min' "check", 0.9::DOUBLE minimum, (SELECT pr_auc FROM rk) value
+  UNION ALL SELECT 'cluster_silhouette_min', 0.1::DOUBLE, (SELECT silhouette_sq FROM q WHERE model = 'label10')) g""",
+          ("p", "v"))
+def q_health_gates(spark, sf):
+    """PR-AUC >= 0.90 and silhouette >= 0.10."""
+    pr = M.ranking_metrics(P(spark, sf)).select(F.lit("fraud_pr_auc_min").alias("check"), F.col("pr_auc").alias("value"))
+    cq = H.cluster_metrics(labelings(spark, sf), by=["model"]).where(F.col("model") == "label10")
+    sil = cq.select(F.lit("cluster_silhouette_min").alias("check"), F.col("silhouette_sq").alias("value"))
+    g = I.metric_gates(pr.unionByName(sil), {"fraud_pr_auc_min": 0.90, "cluster_silhouette_min": 0.10})
+    return g.select("check", "minimum", r6("value").alias("value"), "passed")
+
+
+@register("threshold_consistency", "WITH " + _BEST_SQL + """
+SELECT o.output, o.threshold, (SELECT threshold FROM bt) ref_threshold,
+       abs(o.threshold - (SELECT threshold FROM bt)) <= 0.001 consistent
+FROM (SELECT 'error_analysis' output, (SELECT threshold FROM bt) threshold
+      UNION ALL SELECT 'cost_analysis', (SELECT threshold FROM bt)) o""", ("p",))
+def q_threshold_consistency(spark, sf):
+    """The threshold used by the error and cost analyses equals the one
+    calibrated for the model comparison."""
+    p = P(spark, sf)
+    comparison = M.best_threshold(p, 0.75)
+    error = M.best_threshold(p, 0.75)          # the error analysis calibrates again
+    cost = comparison.select("threshold")      # the cost analysis reads the stored one
+    return I.threshold_consistency({"comparison": comparison, "error_analysis": error, "cost_analysis": cost},
+                                   "comparison")
+
+
+def _psi_num_sql(col):
+    return f"""
+SELECT '{col}' feature, sum((q - p) * ln(q / p)) psi FROM (
+  SELECT greatest(coalesce(p, 0), 1e-6) p, greatest(coalesce(q, 0), 1e-6) q FROM
+  (SELECT b, count(*) / sum(count(*)) OVER () p FROM
+     (SELECT len(list_filter((SELECT quantile_cont({col}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FROM t
+                              WHERE step < {REF_STEPS}), lambda c: c < {col})) b FROM t WHERE step < {REF_STEPS}
+      AND {col} IS NOT NULL) GROUP BY b) r
+  FULL OUTER JOIN
+  (SELECT b, count(*) / sum(count(*)) OVER () q FROM
+     (SELECT len(list_filter((SELECT quantile_cont({col}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FROM t
+                              WHERE step < {REF_STEPS}), lambda c: c < {col})) b FROM t WHERE step >= {REF_STEPS}
+      AND {col} IS NOT NULL) GROUP BY b) c USING (b))"""
+
+
+_PSI_CAT_SQL = f"""
+SELECT 'type' feature, sum((q - p) * ln(q / p)) psi FROM (
+  SELECT greatest(coalesce(p, 0), 1e-6) p, greatest(coalesce(q, 0), 1e-6) q FROM
+  (SELECT "type" b, count(*) / sum(count(*)) OVER () p FROM t WHERE step < {REF_STEPS} GROUP BY 1) r
+  FULL OUTER JOIN
+  (SELECT "type" b, count(*) / sum(count(*)) OVER () q FROM t WHERE step >= {REF_STEPS} GROUP BY 1) c USING (b))"""
+
+
+@register("psi_drift", "SELECT feature, round(psi, 6) psi, psi > 0.2 alert FROM ("
+          + " UNION ALL ".join([_psi_num_sql("amount"), _psi_num_sql("oldbalanceOrg"), _psi_num_sql("step"),
+                                _PSI_CAT_SQL]) + ")", ("t",))
+def q_psi_drift(spark, sf):
+    """I4: population stability index, reference vs current window."""
+    t = T(spark, sf)
+    ref, cur = t.where(F.col("step") < REF_STEPS), t.where(F.col("step") >= REF_STEPS)
+    parts = [I.psi_numeric(ref, cur, c) for c in ("amount", "oldbalanceOrg", "step")]
+    parts.append(I.psi_categorical(ref, cur, "type"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.select("feature", r6("psi").alias("psi"), (F.col("psi") > 0.2).alias("alert"))
+
+
+@register("drift_rates", f"""
+WITH v AS (
+  SELECT 'purchase_rate' metric, (SELECT avg(CAST("type" = 'purchase' AS DOUBLE)) FROM t WHERE step < {REF_STEPS}) reference,
+         (SELECT avg(CAST("type" = 'purchase' AS DOUBLE)) FROM t WHERE step >= {REF_STEPS}) current
+  UNION ALL
+  SELECT 'median_amount', (SELECT median(amount) FROM t WHERE step < {REF_STEPS}),
+         (SELECT median(amount) FROM t WHERE step >= {REF_STEPS}))
+SELECT metric, round(reference, 6) reference, round(current, 6) current,
+       round((current - reference) / abs(reference), 6) relative_change,
+       abs((current - reference) / abs(reference)) > 0.2 alert FROM v""", ("t",))
+def q_drift_rates(spark, sf):
+    """Relative change of the risky-type rate and the median amount."""
+    t = T(spark, sf)
+    ref, cur = t.where(F.col("step") < REF_STEPS), t.where(F.col("step") >= REF_STEPS)
+    d = I.relative_drift(ref, cur, {"purchase_rate": ("rate", F.col("type") == "purchase"),
+                                    "median_amount": ("median", "amount")})
+    return d.select("metric", *[r6(c).alias(c) for c in ("reference", "current", "relative_change")], "alert")
+
+
+@register("alerts_per_day", """
+SELECT CAST(floor(step / 24) AS INT) "day", count_if(proba >= 0.67) alerts, count(*) "rows",
+       count_if(proba >= 0.67) > 60 over_capacity FROM p GROUP BY 1""", ("p",))
+def q_alerts_per_day(spark, sf):
+    """I6 (batch form): alerts per day against a capacity of 60 reviews."""
+    p = P(spark, sf)
+    return I.alerts_per_day(p, F.floor(F.col("step") / 24).cast("int"), F.col("proba") >= 0.67, 60)
+
+
+@register("small_segments", "WITH " + _SEG_SQL + """
+SELECT cluster, round(cluster_size / sum(cluster_size) OVER (), 6) share,
+       cluster_size / sum(cluster_size) OVER () < 0.02 too_small FROM prof""", ("s",))
+def q_small_segments(spark, sf):
+    """Segments holding less than 2 % of the customers."""
+    sh = D.segment_shares(D.profile_clusters(engagement_segments(spark, sf)))
+    return I.small_clusters(sh).select("cluster", r6("share").alias("share"), "too_small")
+
+
+_MIG_SQL = f"""
+c AS (SELECT nameOrig, "type", step < {REF_STEPS} is_ref, count(*) n FROM t GROUP BY 1, 2, 3),
+d AS (SELECT nameOrig, is_ref, arg_min("type", (-n, "type")) seg FROM c GROUP BY 1, 2),
+j AS (SELECT o.nameOrig, o.seg "old", n.seg "new" FROM d o JOIN d n ON o.nameOrig = n.nameOrig
+      WHERE o.is_ref AND NOT n.is_ref)"""
+
+
+def _migration(spark, sf):
+    t = T(spark, sf)
+    old = I.dominant_value(t.where(F.col("step") < REF_STEPS), "nameOrig", "type", "old")
+    new = I.dominant_value(t.where(F.col("step") >= REF_STEPS), "nameOrig", "type", "new")
+    return I.migration(old, new, "nameOrig")
+
+
+@register("segment_migration", "WITH " + _MIG_SQL + """
+SELECT "old", "new", count(*) n FROM j GROUP BY 1, 2""", ("t",))
+def q_segment_migration(spark, sf):
+    """I8: users' dominant activity in the reference vs current window."""
+    return _migration(spark, sf)[0]
+
+
+@register("segment_migration_rate", "WITH " + _MIG_SQL + """
+SELECT round(avg(CAST("old" <> "new" AS DOUBLE)), 6) migration_rate, count(*) keys,
+       avg(CAST("old" <> "new" AS DOUBLE)) > 0.2 alert FROM j""", ("t",))
+def q_segment_migration_rate(spark, sf):
+    """I8: share of users whose segment changed (> 20 % alerts)."""
+    r = _migration(spark, sf)[1]
+    return r.select(r6("migration_rate").alias("migration_rate"), "keys", "alert")
+
+
+@register("weekly_quality", "WITH " + _CUM + """,
+wk AS (SELECT CAST(floor(step / 168) AS INT) "week", * FROM p),
+sc2 AS (SELECT "week", proba score, count_if(y = 1) pos, count_if(y <> 1) neg FROM wk GROUP BY 1, 2),
+cum2 AS (SELECT *, sum(pos) OVER (PARTITION BY "week" ORDER BY score DESC ROWS UNBOUNDED PRECEDING) tp,
+                sum(neg) OVER (PARTITION BY "week" ORDER BY score DESC ROWS UNBOUNDED PRECEDING) fp FROM sc2),
+ap AS (SELECT "week", sum(pos * tp / (tp + fp)) / sum(pos) pr_auc FROM cum2 GROUP BY 1),
+cf AS (SELECT "week", count_if(y = 1 AND proba >= 0.5) tp, count_if(y <> 1 AND proba >= 0.5) fp,
+              count_if(y = 1 AND proba < 0.5) fn FROM wk GROUP BY 1)
+SELECT "week", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)
+       "precision", round(pr_auc, 6) pr_auc, pr_auc < (SELECT pr_auc FROM rk) * 0.95 pr_auc_alert
+FROM cf JOIN ap USING ("week")""", ("p",))
+def q_weekly_quality(spark, sf):
+    """Weekly recall / precision / PR-AUC against the overall PR-AUC."""
+    p = P(spark, sf)
+    base = M.ranking_metrics(p).select("pr_auc").scalar()
+    w = I.weekly_quality(p, F.floor(F.col("step") / 168).cast("int"), 0.5, base)
+    return w.select("week", *[r6(c).alias(c) for c in ("recall", "precision", "pr_auc")], "pr_auc_alert")
+
+
+@register("ab_readout", f"""
+WITH g AS (SELECT c_custkey cust, CASE WHEN {HASH_SQL.format(k="c_custkey")} % 2 = 0 THEN 'B' ELSE 'A' END grp
+           FROM customer),
+o AS (SELECT o_custkey cust, o_orderkey, o_orderdate, o_totalprice,
+             lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) nxt FROM orders),
+w AS (SELECT *, o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 28 DAY in_win FROM o),
+pc AS (SELECT cust, max(CAST(in_win AS INT)) converted,
+              sum(CASE WHEN in_win THEN CAST(o_totalprice AS DECIMAL(18,2)) END) win_sum, count_if(in_win) win_n,
+              count_if(nxt IS NOT NULL AND nxt <= o_orderdate + INTERVAL 30 DAY) rep_n, count(*) orders
+       FROM w GROUP BY 1)
+SELECT grp, count(*) customers, round(avg(CAST(coalesce(converted, 0) AS DOUBLE)), 6) conversion,
+       round(CAST(sum(win_sum) / sum(win_n) AS DOUBLE), 6) basket, round(sum(rep_n) / sum(orders), 6) repurchase_30d
+FROM g LEFT JOIN pc USING (cust) GROUP BY grp""")
+def q_ab_readout(spark, sf):
+    """A/B campaign readout over the customers and their orders."""
+    orders = read_table(spark, sf, "orders")
+    start = orders.agg(F.max("o_orderdate")).scalar() - F.expr("INTERVAL 28 DAYS")
+    r = I.ab_readout(read_table(spark, sf, "customer"), orders, start)
+    return r.select("grp", "customers", *[r6(c).alias(c) for c in ("conversion", "basket", "repurchase_30d")])

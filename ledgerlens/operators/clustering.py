@@ -121,15 +121,22 @@ def select_model(metrics: DataFrame, name: str = "model", db_weight: float = 0.0
 
 # -- MLlib fitting ------------------------------------------------------------
 
-def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 20, seed: int = 42, features: str = "features"):
-    """H1: k-means|| with ``restarts`` seeds, best training cost kept."""
+def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 20, seed: int = 42, features: str = "features",
+               parallel: int = 8):
+    """H1: k-means|| with ``restarts`` seeds, best training cost kept (lowest
+    seed on a tie). The restarts are independent Spark jobs submitted from
+    ``parallel`` driver threads, so they share the cluster instead of
+    queueing."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, featuresCol=features, predictionCol="cluster", maxIter=50).fit(vectors)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+
+    def one(r):
+        return KMeans(k=k, seed=seed + r, featuresCol=features, predictionCol="cluster", maxIter=50).fit(vectors)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, restarts))) as pool:
+        models = list(pool.map(one, range(restarts)))
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def fit_gmm(vectors: DataFrame, k: int, seed: int = 42, features: str = "features"):

@@ -48,12 +48,24 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
 
     ``values``: (keys..., _v) non-null doubles. ``ranks``: (keys..., _r, _min,
     _max) with 0-based ranks and the group's value range. Returns (keys...,
-    _r, _val): the ``_r``-th smallest ``_v`` of each group."""
+    _r, _val): the ``_r``-th smallest ``_v`` of each group.
+
+    When every group holds at most ``settle_rows`` values, one window per
+    group ranks them directly (lazy plan, no state). Otherwise the bucket
+    rounds narrow each rank's window first."""
     keys = list(keys)
     if not keys:  # one global group: a constant key keeps the joins equi-joins
         return select_ranks(values.withColumn("_g", F.lit(0)), ["_g"], ranks.withColumn("_g", F.lit(0)),
                             buckets, settle_rows).drop("_g")
     n = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    largest = n.agg(F.max("_cnt")).first()[0] or 0
+    if largest <= settle_rows:
+        rw = Window.partitionBy(*keys).orderBy("_v")
+        ranked = values.withColumn("_r", (F.row_number().over(rw) - 1).cast("long"))
+        return ranked.join(ranks.select(*keys, "_r"), keys + ["_r"], "left_semi").select(
+            *keys, "_r", F.col("_v").alias("_val"))
+
+    values = keep(values)
     state = (ranks.join(n, keys)
              .select(*keys, "_r", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
                      F.lit(0).cast("long").alias("_below"), "_cnt"))
@@ -93,27 +105,26 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
               .withColumn("_rn", F.row_number().over(rw) - 1 + F.col("_below"))
               .where(F.col("_rn") == F.col("_r"))
               .select(*keys, "_r", F.col("_v").alias("_val")))
-    return single.unionByName(ranked)
+    solved = cut_lineage(single.unionByName(ranked))
+    values.unpersist()
+    return solved
 
 
 def kth_smallest(df: DataFrame, value: str, rank: F.Column, by: Sequence[str] = (),
                  name: str = "kth") -> DataFrame:
     """Per group, the value at 0-based ``rank`` (an expression over the group
     size ``_n``, e.g. ``F.ceil(F.col("_n") * 0.15) - 1``). Groups whose rank
-    falls outside 0.._n-1 get null. Result: (by..., name), written to the
-    checkpoint folder."""
+    falls outside 0.._n-1 get null. Result: (by..., name)."""
     by = list(by)
-    values = keep(df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
+    values = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     stats = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
                                     F.max("_v").alias("_max"))
     ranks = stats.withColumn("_r", rank.cast("long"))
     ok = ranks.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_n")))
     solved = select_ranks(values, by, ok.select(*by, "_r", "_min", "_max"))
-    out = stats.select(*by).join(solved.select(*by, F.col("_val").alias(name)), by, "left") if by else \
-        solved.agg(F.max(F.col("_val")).alias(name))
-    out = cut_lineage(out)
-    values.unpersist()
-    return out
+    if by:
+        return stats.select(*by).join(solved.select(*by, F.col("_val").alias(name)), by, "left")
+    return solved.agg(F.max(F.col("_val")).alias(name))
 
 
 def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
@@ -135,7 +146,7 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
 
     spark = df.sparkSession
     cols = sorted({c for c, _ in spec.values()})
-    values = keep(_long_values(df, by, cols))
+    values = _long_values(df, by, cols)
     keys = by + ["_c"]
     stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                       F.min("_v").alias("_min"), F.max("_v").alias("_max"))
@@ -146,8 +157,6 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
                .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
                .withColumn("_r_lo", F.floor("_pos"))
                .withColumn("_r_hi", F.ceil("_pos")))
-    targets = keep(targets)
-
     ranks = (targets.select(*keys, F.col("_r_lo").alias("_r"), "_min", "_max")
              .unionByName(targets.select(*keys, F.col("_r_hi").alias("_r"), "_min", "_max"))
              .dropDuplicates(keys + ["_r"]))
@@ -165,12 +174,9 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
         # Groups whose columns are all null get null quantiles, as in pandas.
         out = df.select(*by).distinct().join(out, by, "left")
     # (without groups, the global aggregate above always yields one row)
-    # The result is tiny (groups x outputs): write it to the checkpoint folder
-    # and release the cached value table.
-    out = cut_lineage(out)
-    values.unpersist()
-    targets.unpersist()
-    return out
+    # The result is small (groups x outputs) and is often read by several
+    # scalar subqueries: write it once to the checkpoint folder.
+    return cut_lineage(out)
 
 
 def quantile(df: DataFrame, col: str, p: float, by: Sequence[str] = (), name: str | None = None,

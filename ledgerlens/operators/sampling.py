@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, keep
 from .quantiles import grouped_quantiles, kth_smallest, select_ranks
 
 TWO_52 = float(2 ** 52)
@@ -99,14 +98,12 @@ def stratified_sample(df: DataFrame, label: str, key: str, max_rows: int | None,
 
 def kth_smallest_by_alloc(hk: DataFrame, label: str) -> DataFrame:
     """Per class, the hash at rank ``_k - 1`` (``_k`` carried on each row)."""
-    values = keep(hk.select(label, F.col("_h").cast("double").alias("_v"), "_k"))
+    values = hk.select(label, F.col("_h").cast("double").alias("_v"), "_k")
     stats = values.groupBy(label).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                       F.first("_k").alias("_k"))
     ranks = stats.where(F.col("_k") > 0).select(label, (F.col("_k") - 1).cast("long").alias("_r"), "_min", "_max")
     solved = select_ranks(values.select(label, "_v"), [label], ranks)
-    out = cut_lineage(solved.select(label, F.col("_val").alias("_cut")))
-    values.unpersist()
-    return out
+    return solved.select(label, F.col("_val").alias("_cut"))
 
 
 def temporal_split(df: DataFrame, step: str = "step", train: float = 0.70, val: float = 0.15) -> DataFrame:

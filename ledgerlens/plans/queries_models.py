@@ -77,3 +77,153 @@ def q_cluster_selection(spark, sf):
     m = H.cluster_metrics(labelings(spark, sf), "features", "cluster", by=["model"])
     sel = H.select_model(m, "model")
     return sel.select("model", r6("selection_score").alias("selection_score"), "is_selected")
+
+
+# -- MLlib training and scoring (rows-only checks) -----------------------------
+
+from ..operators import modeling as G  # noqa: E402
+from ..operators import sampling as E  # noqa: E402
+from .catalog import S, T  # noqa: E402
+
+_FITTED: dict[tuple, object] = {}
+
+
+def _fraud_split(spark, sf, temporal: bool = False):
+    design = G.fraud_design(T(spark, sf))
+    if temporal:
+        return E.temporal_split(design, "step", 0.70, 0.15)
+    return E.stratified_split(design, "isFraud", "event_id")
+
+
+# All four families of the reference. The registered comparison runs the two
+# whose local run time suits the per-query checks; the tree ensembles
+# (300 trees / 400 rounds) are exercised by the slow tests.
+FRAUD_CONFIGS = [
+    G.ModelConfig("logistic_regression", G.logistic_regression(), G.balanced_weights),
+    G.ModelConfig("random_forest", G.random_forest(300), G.balanced_weights),
+    G.ModelConfig("gradient_boosting", G.boosted_trees(400), G.positive_weight),
+    G.ModelConfig("mlp", G.perceptron(), None, max_train_rows=200_000),
+]
+REGISTERED_FRAUD_CONFIGS = [FRAUD_CONFIGS[0], FRAUD_CONFIGS[3]]
+
+
+def fraud_comparison(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "fraud")
+    if key not in _FITTED:
+        _FITTED[key] = G.compare_models(_fraud_split(spark, sf), REGISTERED_FRAUD_CONFIGS)
+    return _FITTED[key]
+
+
+@register("fraud_model_comparison")
+def q_fraud_model_comparison(spark, sf):
+    """G3-G9 + F13: four model families trained, calibrated and measured."""
+    return fraud_comparison(spark, sf)[1]
+
+
+@register("fraud_temporal_evaluation")
+def q_fraud_temporal_evaluation(spark, sf):
+    """The selected model family re-trained on the time-ordered split
+    (train <= 70 % quantile of step, test > 85 %), with boundary steps."""
+    split = _fraud_split(spark, sf, temporal=True)
+    _, m = G.train_and_evaluate(split, FRAUD_CONFIGS[0])
+    bounds = split.groupBy("split").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
+    train_max = bounds.where(F.col("split") == "train").select("hi").scalar()
+    test_min = bounds.where(F.col("split") == "test").select("lo").scalar()
+    return m.withColumn("train_step_max", train_max).withColumn("test_step_min", test_min)
+
+
+@register("fraud_feature_importance")
+def q_fraud_feature_importance(spark, sf):
+    """Top-15 features of the selected model."""
+    return G.feature_importance(fraud_comparison(spark, sf)[0], 15)
+
+
+@register("fraud_linear_contributions")
+def q_fraud_linear_contributions(spark, sf):
+    """Mean |contribution| per feature of the logistic model."""
+    split = _fraud_split(spark, sf)
+    best = fraud_comparison(spark, sf)[0]
+    lr = best if best.name == "logistic_regression" else G.train_and_evaluate(split, FRAUD_CONFIGS[0])[0]
+    glob, _ = G.linear_contributions(lr, split.where(F.col("split") == "test"), "event_id")
+    return glob
+
+
+@register("transaction_scoring")
+def q_transaction_scoring(spark, sf):
+    """Every transaction scored by the selected model (batch form; the
+    streaming form is ``streaming.alerts.score_stream``), with F9 error type
+    and F14 risk tier."""
+    from ..operators import binary_metrics as M
+    best = fraud_comparison(spark, sf)[0]
+    design = G.fraud_design(T(spark, sf))
+    scored = best.score(design, ["event_id", "isFraud"])
+    return (scored.withColumn("error_type", M.error_type("proba", "isFraud", best.threshold))
+            .withColumn("risk_tier", M.risk_tier("proba", best.threshold)))
+
+
+# -- customer segmentation with MLlib -----------------------------------------
+
+_SEG_NUM = None
+
+
+def _segment_inputs(spark, sf):
+    from ..operators.prep import Preparer, categorical_columns, numeric_columns
+    from .queries_customers import prepared_customers
+    c = prepared_customers(spark, sf)
+    x = c.drop("ID", "Response", "Complain", "Dt_Customer")
+    prep = Preparer.fit(x, numeric_columns(x), categorical_columns(x))
+    vec = prep.to_vector(c, ["ID"]).cache()
+    return c, prep, vec
+
+
+def _segments(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "segments")
+    if key not in _FITTED:
+        _FITTED[key] = _segment_inputs(spark, sf)
+    return _FITTED[key]
+
+
+@register("clustering_comparison")
+def q_clustering_comparison(spark, sf):
+    """H1-H3 + H6-H9: k-means (20 restarts), Gaussian mixture and bisecting
+    k-means for k = 3..6, scored and ranked."""
+    from pyspark.ml.functions import vector_to_array
+    _, _, vec = _segments(spark, sf)
+    parts = []
+    for k in (3, 4, 5, 6):
+        for name, model in (("kmeans", H.fit_kmeans(vec, k, 20)), ("gmm", H.fit_gmm(vec, k)),
+                            ("agglomerative", H.fit_hierarchical(vec, k))):
+            lab = model.transform(vec).select(F.lit(f"{name}_k{k}").alias("model"),
+                                              vector_to_array("features").alias("features"), "cluster")
+            parts.append(lab)
+    allm = parts[0]
+    for p_ in parts[1:]:
+        allm = allm.unionByName(p_)
+    m = H.cluster_metrics(allm, "features", "cluster", by=["model"])
+    return H.select_model(m, "model")
+
+
+@register("customer_segments")
+def q_customer_segments(spark, sf):
+    """G14 + D17 + B12: customers assigned by a fitted k-means (k=4) and the
+    segment profiles with names."""
+    from ..operators import cleaning as B
+    from ..operators import stats as D
+    c, _, vec = _segments(spark, sf)
+    model = H.fit_kmeans(vec, 4, 20)
+    labels = model.transform(vec).select("ID", "cluster")
+    prof = D.profile_clusters(c.join(labels, "ID"))
+    return B.attach_segments(prof)
+
+
+@register("kmeans_elbow")
+def q_kmeans_elbow(spark, sf):
+    """H5: k-means inertia for k = 2..10."""
+    return H.elbow(_segments(spark, sf)[2], range(2, 11), restarts=20)
+
+
+@register("customer_pca")
+def q_customer_pca(spark, sf):
+    """2-D projection of the prepared customer matrix."""
+    proj, var = H.pca_projection(_segments(spark, sf)[2], 2, keep=["ID"])
+    return proj.withColumn("explained_variance_1", F.lit(var[0])).withColumn("explained_variance_2", F.lit(var[1]))

@@ -191,3 +191,21 @@ def q_ab_readout(spark, sf):
     start = orders.agg(F.max("o_orderdate")).scalar() - F.expr("INTERVAL 28 DAYS")
     r = I.ab_readout(read_table(spark, sf, "customer"), orders, start)
     return r.select("grp", "customers", *[r6(c).alias(c) for c in ("conversion", "basket", "repurchase_30d")])
+
+
+@register("alerts_per_day_stream", """
+SELECT date_trunc('day', ts) "day",
+       count_if(floor(least(CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE), 499.99) / 5) / 100 >= 0.67) alerts,
+       count(*) "rows",
+       count_if(floor(least(CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE), 499.99) / 5) / 100 >= 0.67) > 60
+         over_capacity
+FROM events GROUP BY 1""")
+def q_alerts_per_day_stream(spark, sf):
+    """I6 as Structured Streaming: the events folder is read as a file
+    stream, scored, and counted per one-day tumbling window (availableNow)."""
+    import hashlib
+    import uuid
+
+    from ..streaming.alerts import daily_alert_stream
+    run = f"daily_alerts_{hashlib.md5(sf.encode()).hexdigest()[:8]}_{uuid.uuid4().hex[:8]}"
+    return daily_alert_stream(spark, sf, 0.67, 60, run, pattern="events.parquet")

@@ -58,9 +58,10 @@ def ranking_metrics(df: DataFrame, score: str = "proba", label: str = "y",
     ap_term = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     tot = cum.groupBy(*by).agg(F.sum(trap).alias("_trap"), F.sum(ap_term).alias("_ap"),
                                F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    # undefined without positives (or negatives): null
     return tot.select(*by,
-        (F.col("_trap").cast("double") / (2.0 * F.col("_P") * F.col("_N"))).alias("roc_auc"),
-        (F.col("_ap") / F.col("_P")).alias("pr_auc"))
+        F.try_divide(F.col("_trap").cast("double"), 2.0 * F.col("_P") * F.col("_N")).alias("roc_auc"),
+        F.try_divide(F.col("_ap"), F.col("_P").cast("double")).alias("pr_auc"))
 
 
 def curve_points(df: DataFrame, score: str = "proba", label: str = "y") -> DataFrame:

@@ -158,7 +158,7 @@ wk AS (SELECT CAST(floor(step / 168) AS INT) "week", * FROM p),
 sc2 AS (SELECT "week", proba score, count_if(y = 1) pos, count_if(y <> 1) neg FROM wk GROUP BY 1, 2),
 cum2 AS (SELECT *, sum(pos) OVER (PARTITION BY "week" ORDER BY score DESC ROWS UNBOUNDED PRECEDING) tp,
                 sum(neg) OVER (PARTITION BY "week" ORDER BY score DESC ROWS UNBOUNDED PRECEDING) fp FROM sc2),
-ap AS (SELECT "week", sum(pos * tp / (tp + fp)) / sum(pos) pr_auc FROM cum2 GROUP BY 1),
+ap AS (SELECT "week", sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0) pr_auc FROM cum2 GROUP BY 1),
 cf AS (SELECT "week", count_if(y = 1 AND proba >= 0.5) tp, count_if(y <> 1 AND proba >= 0.5) fp,
               count_if(y = 1 AND proba < 0.5) fn FROM wk GROUP BY 1)
 SELECT "week", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)

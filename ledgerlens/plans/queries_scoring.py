@@ -81,8 +81,8 @@ sc AS (SELECT proba score, count_if(y = 1) pos, count_if(y <> 1) neg FROM p GROU
 cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) tp,
                sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) fp FROM sc),
 rk AS (SELECT CAST(sum(CAST(neg AS DECIMAL(38,0)) * CAST(2 * tp - pos AS DECIMAL(38,0))) AS DOUBLE)
-                / (2.0 * sum(pos) * sum(neg)) roc_auc,
-              sum(pos * tp / (tp + fp)) / sum(pos) pr_auc FROM cum)"""
+                / nullif(2.0 * sum(pos) * sum(neg), 0) roc_auc,
+              sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0) pr_auc FROM cum)"""
 
 _CONF = """
 conf AS (SELECT count_if(y = 1 AND proba >= {t}) tp, count_if(y <> 1 AND proba >= {t}) fp,
@@ -256,7 +256,7 @@ sc AS (SELECT model, score, count_if(y = 1) pos, count_if(y <> 1) neg FROM s GRO
 cum AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) tp,
                sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) fp FROM sc),
 rk AS (SELECT model, CAST(sum(CAST(neg AS DECIMAL(38,0)) * CAST(2 * tp - pos AS DECIMAL(38,0))) AS DOUBLE)
-                / (2.0 * sum(pos) * sum(neg)) roc_auc, sum(pos * tp / (tp + fp)) / sum(pos) pr_auc
+                / nullif(2.0 * sum(pos) * sum(neg), 0) roc_auc, sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0) pr_auc
        FROM cum GROUP BY model)
 SELECT model, round(roc_auc, 6) roc_auc, round(pr_auc, 6) pr_auc,
        model = (SELECT model FROM rk ORDER BY pr_auc DESC, model LIMIT 1) is_best FROM rk""", ("p",))

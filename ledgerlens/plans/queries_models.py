@@ -227,3 +227,15 @@ def q_customer_pca(spark, sf):
     """2-D projection of the prepared customer matrix."""
     proj, var = H.pca_projection(_segments(spark, sf)[2], 2, keep=["ID"])
     return proj.withColumn("explained_variance_1", F.lit(var[0])).withColumn("explained_variance_2", F.lit(var[1]))
+
+
+@register("ranked_models", "WITH " + _QUALITY_SQL + """
+SELECT model, round(silhouette_sq, 6) silhouette_sq, n_clusters FROM q WHERE n_clusters >= 2
+ORDER BY silhouette_sq DESC, model LIMIT 2""", ("v",))
+def q_ranked_models(spark, sf):
+    """Evaluated configurations (two clusters or more), best two by
+    silhouette."""
+    from ..operators import stats as D
+    m = H.cluster_metrics(labelings(spark, sf), by=["model"]).where(F.col("n_clusters") >= 2)
+    top = D.top_rows(m, [F.desc("silhouette_sq"), F.asc("model")], 2)
+    return top.select("model", r6("silhouette_sq").alias("silhouette_sq"), "n_clusters")

@@ -286,3 +286,28 @@ def q_review_policy(spark, sf):
     purchase and error."""
     tier = M.review_policy("proba", "type", 0.67, 0.50, ("purchase", "error"))
     return P(spark, sf).groupBy(tier.alias("policy"), "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HALF_SQL = """
+{n} AS (SELECT count_if(y = 1 AND proba >= 0.5) tp, count_if(y <> 1 AND proba >= 0.5) fp,
+               count_if(y = 1 AND proba < 0.5) fn, count_if(y <> 1 AND proba < 0.5) tn FROM p WHERE {cond}),
+{n}_m AS (SELECT (tp + tn) / (tp + fp + fn + tn) accuracy,
+                 CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END "precision",
+                 CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END recall,
+                 CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END f1 FROM {n}),
+{n}_l AS (UNPIVOT {n}_m ON accuracy, "precision", recall, f1 INTO NAME metric VALUE {n})"""
+
+
+@register("period_comparison", "WITH " + _HALF_SQL.format(n="early", cond="step < 360") + ","
+          + _HALF_SQL.format(n="late", cond="step >= 360") + """
+SELECT metric, round(early, 6) early, round(late, 6) late FROM early_l JOIN late_l USING (metric)""", ("p",))
+def q_period_comparison(spark, sf):
+    """Metrics of two evaluation sets side by side, joined on the
+    metric name (first vs second half of the period)."""
+    from ..operators import stats as D
+    p = P(spark, sf)
+    names = ["accuracy", "precision", "recall", "f1"]
+    a = M.classification_metrics(p.where(F.col("step") < 360), 0.5).select(*names)
+    b = M.classification_metrics(p.where(F.col("step") >= 360), 0.5).select(*names)
+    s = D.side_by_side(a, b, "metric", names, "early", "late")
+    return s.select("metric", r6("early").alias("early"), r6("late").alias("late"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mix_sources, quality_rules, url_filter
+from . import mix_sources, quality_rules, token_counts, token_files, url_filter, word_table
 
 QUERIES = {
     "op2_mix_sources": mix_sources.op2_mix_sources,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_word_table": word_table.op8_word_table,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {"op9_url_filter": url_filter.OP9_SQL}

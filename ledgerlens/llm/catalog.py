@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mix_sources, quality_rules, token_counts, token_files, url_filter, word_table
+from . import language_id, mix_sources, quality_rules, simhash, token_counts, token_files, url_filter, vector_links, word_table
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_mix_sources": mix_sources.op2_mix_sources,
+    "op4_vector_links": vector_links.op4_vector_links,
+    "op5_simhash": simhash.op5_simhash,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_word_table": word_table.op8_word_table,

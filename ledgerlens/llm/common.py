@@ -105,3 +105,31 @@ def worker_state(name: str, make):
     if not hasattr(store, name):
         setattr(store, name, make())
     return getattr(store, name)
+
+
+def complete_runs(batches, keys: list[str]):
+    """Tables of sorted rows in which every run of equal ``keys`` is whole,
+    with the runs' starts and the end; a run that goes on in the next batch is
+    held back."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        edges = run_edges(t, keys)
+        last = int(edges[-2])
+        if last:
+            yield t.slice(0, last), edges[:-1]
+        held = t.slice(last).combine_chunks()
+    if held is not None:
+        yield held, run_edges(held, keys)
+
+
+def run_edges(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        x = t[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), t.num_rows)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, mix_sources, quality_rules, simhash, token_counts, token_files, url_filter, vector_links, word_table
+from . import language_id, mix_sources, quality_rules, simhash, suffix_merge, token_counts, token_files, url_filter, vector_links, word_table
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_mix_sources": mix_sources.op2_mix_sources,
+    "op3_suffix_merge": suffix_merge.op3_suffix_merge,
     "op4_vector_links": vector_links.op4_vector_links,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_counts": token_counts.op6_token_counts,

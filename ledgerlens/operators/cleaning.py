@@ -15,32 +15,33 @@ CLUSTER_DROP_COLUMNS = ("ID", "Response", "Complain", "Dt_Customer")
 CONSTANT_COLUMNS = ("Z_CostContact", "Z_Revenue")
 
 
-def basic_cleaning(df: DataFrame) -> DataFrame:
-    """B1: trim column names, drop exact duplicate rows.
+def basic_cleaning(df: DataFrame, unique: str | None = None) -> DataFrame:
+    """B1: trim column names, drop exact duplicate rows. No row can repeat
+    in a frame that holds a ``unique`` id; it is not shuffled.
 
     ``dropDuplicates()`` plans as a grouped aggregate over all columns with a
     map-side partial step, so a heavily repeated row collapses before the
     shuffle."""
     renamed = df.toDF(*[c.strip() for c in df.columns])
-    return renamed.dropDuplicates()
+    return renamed if unique is not None and unique in renamed.columns else renamed.dropDuplicates()
 
 
-def preprocess_fraud(df: DataFrame) -> DataFrame:
+def preprocess_fraud(df: DataFrame, unique: str | None = None) -> DataFrame:
     """B2: B1, then an origin balance of 0 becomes missing."""
-    out = basic_cleaning(df)
+    out = basic_cleaning(df, unique)
     if "oldbalanceOrg" in out.columns:
         out = out.withColumn("oldbalanceOrg", F.nullif(F.col("oldbalanceOrg"), F.lit(0).cast("double")))
     return out
 
 
 def preprocess_cluster(df: DataFrame, income_median: float | Column | None = None,
-                       method: str = "exact") -> DataFrame:
+                       method: str = "exact", unique: str | None = None) -> DataFrame:
     """B1, missing ``Income`` -> the global median, constant columns dropped.
 
     The median is found by distributed selection (``grouped_quantiles``) and
     enters the plan as a one-row result; pass ``income_median`` to reuse the
     training value when scoring new rows."""
-    out = basic_cleaning(df)
+    out = basic_cleaning(df, unique)
     if "Income" in out.columns:
         if income_median is None:
             med = grouped_quantiles(out, {"_inc_med": ("Income", 0.5)}, method=method)
@@ -89,12 +90,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with exactly one distinct value, null counted as a value."""
-    aggs = []
-    for c in df.columns:
-        aggs.append((F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(c))
-    one = df.agg(*aggs)
-    long = one.unpivot([], df.columns, "column", "distinct_values")
-    return long.where(F.col("distinct_values") == 1).select("column")
+    n, present = F.count(F.lit(1)), lambda c: F.count(F.col(c))
+    # all rows null, or no null and min = max: one pass, no row per column
+    constant = lambda c: (n > 0) & ((present(c) == 0) | ((present(c) == n) & (F.min(F.col(c)) == F.max(F.col(c)))))
+    one = df.agg(*[constant(c).alias(c) for c in df.columns])
+    return one.unpivot([], df.columns, "column", "is_constant").where("is_constant").select("column")
 
 
 def label_class(df: DataFrame, target: str = "isFraud", out: str = "label") -> DataFrame:
@@ -157,5 +157,22 @@ def frame_profile(df: DataFrame) -> DataFrame:
     return types.withColumn("rows", n).withColumn("columns", F.lit(len(df.columns)))
 
 
-def fill_columns(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    return df.fillna(dict(values))
+# Display names of features, and the display of unknown ones stays the name.
+FEATURE_LABELS = {
+    "step": "Step",
+    "amount": "Amount",
+    "oldbalanceOrg": "Origin balance before",
+    "newbalanceOrig": "Origin balance after",
+    "oldbalanceDest": "Destination balance before",
+    "newbalanceDest": "Destination balance after",
+    "origin_error": "Origin balance error",
+    "dest_error": "Destination balance error",
+    "amount_to_oldbalance_ratio": "Amount to balance ratio",
+}
+
+
+def label_feature(c: str | Column, labels: Mapping[str, str] = FEATURE_LABELS) -> Column:
+    """Display name, replaced by its label where there is one."""
+    name = prettify_feature(c)
+    table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, name), name)

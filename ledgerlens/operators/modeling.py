@@ -9,42 +9,46 @@ MLlib sees standardised numbers and one-hot categories; its own
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import binary_metrics as M
-from .cleaning import FRAUD_ID_COLUMNS, drop_feature_columns, preprocess_fraud
+from .cleaning import FRAUD_ID_COLUMNS, drop_feature_columns, label_feature, preprocess_fraud
 from .features import build_fraud_features
 from .prep import Preparer, categorical_columns, numeric_columns
 from .sampling import stratified_sample
 
 
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """``n / (2 * n_class)`` per row (sklearn "balanced"); the two class
-    counts enter the plan as scalar subqueries."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    pos = df.agg(F.count_if(F.col(label) == 1)).scalar()
-    w = F.when(F.col(label) == 1, n / (2 * F.greatest(pos, F.lit(1))))
-    return df.withColumn("weight", w.otherwise(n / (2 * F.greatest(n - pos, F.lit(1)))).cast("double"))
+def class_counts(df: DataFrame, label: str) -> tuple[int, int]:
+    """(rows, positives) in one aggregate."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()
+    return r["n"], r["p"]
 
 
-def positive_weight(df: DataFrame, label: str) -> DataFrame:
-    """G8 (boosting form): positives weighted ``max(neg / pos, 1)``."""
-    pos = df.agg(F.count_if(F.col(label) == 1)).scalar()
-    neg = df.agg(F.count_if(F.col(label) != 1)).scalar()
-    spw = F.greatest(neg / F.greatest(pos, F.lit(1)), F.lit(1.0))
-    return df.withColumn("weight", F.when(F.col(label) == 1, spw).otherwise(F.lit(1.0)).cast("double"))
+def balanced_weights(n: int, positives: int) -> tuple[float, float]:
+    """``n / (2 * n_class)`` (sklearn "balanced"), as (positive, negative)."""
+    return n / (2 * max(positives, 1)), n / (2 * max(n - positives, 1))
+
+
+def positive_weight(n: int, positives: int) -> tuple[float, float]:
+    """G8 (boosting form): positives weigh ``max(neg / pos, 1)``."""
+    return max((n - positives) / max(positives, 1), 1.0), 1.0
 
 
 @dataclass
 class ModelConfig:
     name: str
     build: Callable[[int], object]          # number of input features -> estimator
-    weighting: Callable[[DataFrame, str], DataFrame] | None = balanced_weights
+    weighting: Callable[[int, int], tuple[float, float]] | None = balanced_weights
     max_train_rows: int | None = None
 
 
@@ -69,11 +73,12 @@ def random_forest(trees: int = 300, seed: int = 42) -> Callable[[int], object]:
 
 
 def boosted_trees(iters: int = 400, depth: int = 6, step: float = 0.08, subsample: float = 0.9,
-                  seed: int = 42) -> Callable[[int], object]:
-    """Gradient-boosted trees with weighted positives."""
+                  seed: int = 42, bins: int = 32) -> Callable[[int], object]:
+    """Gradient-boosted trees with weighted positives. G6's engine
+    grows leaf by leaf to 31 leaves over 255 bins; five levels have 32."""
     from pyspark.ml.classification import GBTClassifier
-    return lambda _d: GBTClassifier(maxIter=iters, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
-                                    featureSubsetStrategy="0.9", seed=seed, weightCol="weight",
+    return lambda _d: GBTClassifier(maxIter=iters, maxDepth=depth, stepSize=step, subsamplingRate=subsample, maxBins=bins,
+                                    featureSubsetStrategy="0.9", seed=seed, weightCol="weight", cacheNodeIds=True,
                                     featuresCol="features", labelCol="label")
 
 
@@ -86,7 +91,7 @@ def perceptron(hidden: Sequence[int] = (64, 32), iters: int = 30, seed: int = 42
 
 def fraud_design(df: DataFrame) -> DataFrame:
     """B2 + C1-C6 + B5: the model input table (keeps ``event_id``, label)."""
-    f = build_fraud_features(preprocess_fraud(df))
+    f = build_fraud_features(preprocess_fraud(df, unique="event_id"))
     return drop_feature_columns(f, FRAUD_ID_COLUMNS)
 
 
@@ -96,72 +101,124 @@ class FittedModel:
     prep: Preparer
     model: object
     threshold: float
+    train_size: int = 0
 
     def score(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Probability of the positive class and the alert flag."""
-        vec = self.prep.to_vector(df, keep)
+        """The input is aligned to the training columns (B6); out come
+        the probability of the positive class and the alert flag."""
+        vec = self.prep.to_vector(self.prep.aligned(df, keep), keep)
         out = self.model.transform(vec)
         proba = vector_to_array("probability")[1]
         return out.select(*keep, proba.alias("proba"),
                           (proba >= F.lit(self.threshold)).cast("int").alias("prediction"))
 
+    def save(self, path: str) -> None:
+        """The MLlib model and, beside it, what the scoring needs."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        meta = json.dumps({"name": self.name, "threshold": self.threshold, "train_size": self.train_size,
+                           "class": f"{type(self.model).__module__}.{type(self.model).__name__}",
+                           "numeric": {k: list(v) for k, v in self.prep.numeric.items()},
+                           "categorical": {k: [v[0], v[1]] for k, v in self.prep.categorical.items()}})
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scoring")
+
+    @classmethod
+    def load(cls, path: str) -> "FittedModel":
+        spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(f"{path}/scoring").first()[0])
+        module, name = meta["class"].rsplit(".", 1)
+        model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+        prep = Preparer({k: tuple(v) for k, v in meta["numeric"].items()}, {k: (v[0], v[1]) for k, v in meta["categorical"].items()})
+        return cls(meta["name"], prep, model, meta["threshold"], meta["train_size"])
+
+
+def path_exists(spark, path: str) -> bool:
+    """Whether a path exists, on any store that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def load_model(folder: str, best_name: str, generic: str = "model") -> FittedModel:
+    """The folder of the best model's name if there is one, else the
+    generic one; an error names both when neither is there."""
+    spark = SparkSession.getActiveSession()
+    for name in (best_name, generic):
+        if path_exists(spark, f"{folder}/{name}/scoring"):
+            return FittedModel.load(f"{folder}/{name}")
+    raise FileNotFoundError(f"neither {best_name!r} nor {generic!r} in {folder}")
+
+
+#: Rows that a partition of training vectors holds at least; small sets don't pay for many tasks an iteration.
+ROWS_PER_PARTITION = 50_000
+
 
 def train_and_evaluate(split: DataFrame, config: ModelConfig, label: str = "isFraud", key: str = "event_id",
                        min_recall: float = 0.75) -> tuple[FittedModel, DataFrame]:
     """G9 for one configuration: fit on train, calibrate on val, measure on
-    test. ``split`` carries a ``split`` column (E2 or E4)."""
+    test. ``split`` carries a ``split`` column (E2 or E4) and should be a
+    stored table; the scores of val and test are stored once."""
     feats = [c for c in split.columns if c not in (label, key, "split")]
     num = numeric_columns(split.select(*feats))
     cat = categorical_columns(split.select(*feats))
+    sizes = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     train = split.where(F.col("split") == "train").withColumn("label", F.col(label).cast("double"))
     if config.max_train_rows:
         train = stratified_sample(train, label, key, config.max_train_rows)
+    n, positives = class_counts(train, label)
     prep = Preparer.fit(train, num, cat)
+    keep_columns = ["label"]
+    total = float(n)
     if config.weighting is not None:
-        train = config.weighting(train, label)
-    vec = prep.to_vector(train, ["label"] + (["weight"] if "weight" in train.columns else []))
+        pos_w, neg_w = config.weighting(n, positives)
+        train = train.withColumn("weight", F.when(F.col(label) == 1, F.lit(float(pos_w))).otherwise(F.lit(float(neg_w))))
+        keep_columns.append("weight")
+        total = pos_w * positives + neg_w * (n - positives)
+    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism * 4, n // ROWS_PER_PARTITION + 1)) if n < ROWS_PER_PARTITION * 64 else None
+    vec = prep.to_vector(train, keep_columns)
+    vec = (vec.coalesce(parts) if parts else vec).persist(StorageLevel.MEMORY_AND_DISK)
     est = config.build(len(prep.output_names()))
-    if hasattr(est, "getRegParam") and type(est).__name__ == "LogisticRegression":
-        total_w = train.agg(F.sum("weight")).first()[0] if "weight" in train.columns else train.count()
-        est = est.setRegParam(1.0 / max(float(total_w), 1.0))
+    if type(est).__name__ == "LogisticRegression":
+        est = est.setRegParam(1.0 / max(total, 1.0))
     model = est.fit(vec)
-    fitted = FittedModel(config.name, prep, model, 0.5)
+    vec.unpersist()
+    fitted = FittedModel(config.name, prep, model, 0.5, n)
 
-    val = fitted.score(split.where(F.col("split") == "val"), [key, label]).withColumnRenamed(label, "y")
-    fitted.threshold = float(M.best_threshold(val, min_recall).first()["threshold"])
-    test = fitted.score(split.where(F.col("split") == "test"), [key, label]).withColumnRenamed(label, "y")
-    metrics = M.classification_metrics(test, fitted.threshold)
-    sizes = [F.lit(split.where(F.col("split") == s).count()).alias(f"{s}_size") for s in ("train", "val")]
+    held = split.where(F.col("split") != "train")
+    scored = stored(fitted.score(held, [key, label, "split"]).withColumnRenamed(label, "y"), f"scores-{config.name}")
+    fitted.threshold = float(M.best_threshold(scored.where(F.col("split") == "val"), min_recall).first()["threshold"])
+    metrics = M.classification_metrics(scored.where(F.col("split") == "test"), fitted.threshold)
     metrics = metrics.select(F.lit(config.name).alias("model"), "*", F.lit(fitted.threshold).alias("threshold"),
-                             *sizes, F.lit(min_recall).alias("min_recall_constraint"))
-    return fitted, metrics
-
-
-def compare_models(split: DataFrame, configs: Sequence[ModelConfig], **kw) -> tuple[FittedModel, DataFrame]:
-    """G9 + F13: every configuration, then the best PR-AUC (first wins)."""
-    fitted, rows = [], None
-    for i, cfg in enumerate(configs):
-        f, m = train_and_evaluate(split, cfg, **kw)
-        fitted.append(f)
+                             F.lit(n).cast("long").alias("train_size"), F.lit(sizes.get("val", 0)).cast("long").alias("val_size"),
+                             F.lit(min_recall).alias("min_recall_constraint"))
+    return fitted, stored(metrics, f"metrics-{config.name}")
+
+
+def compare_models(split: DataFrame, configs: Sequence[ModelConfig], parallel: int = 5, **kw) -> tuple[list[FittedModel], DataFrame]:
+    """G9 + F13: every configuration, then the best PR-AUC (first wins). The
+    fits are independent Spark jobs, submitted from ``parallel`` threads.
+    Returns the fitted models, best first, and the metrics."""
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        got = list(pool.map(lambda c: train_and_evaluate(split, c, **kw), configs))
+    rows = None
+    for i, (_, m) in enumerate(got):
         m = m.withColumn("_order", F.lit(i))
         rows = m if rows is None else rows.unionByName(m)
-    best_name = rows.agg(F.min_by("model", F.struct(-F.col("pr_auc"), F.col("_order")))).first()[0]
-    best = next(f for f in fitted if f.name == best_name)
-    return best, rows.drop("_order").withColumn("is_best", F.col("model") == best_name)
+    order = [r["model"] for r in rows.orderBy(F.desc("pr_auc"), "_order").select("model").collect()]
+    fitted = sorted((f for f, _ in got), key=lambda f: order.index(f.name))
+    return fitted, rows.drop("_order").withColumn("is_best", F.col("model") == order[0])
 
 
 def feature_importance(fitted: FittedModel, top: int = 15) -> DataFrame:
-    """Importance per prepared feature (tree models), display names."""
-    from .cleaning import prettify_feature
-    from pyspark.sql import SparkSession
+    """Importance per prepared feature of a tree model, or the size of a
+    linear model's coefficients on standardised inputs; display names."""
     spark = SparkSession.getActiveSession()
-    imp = getattr(fitted.model, "featureImportances", None)
-    names = fitted.prep.output_names()
-    if imp is None:  # linear model: absolute coefficients
-        imp = fitted.model.coefficients
-    vals = imp.toArray().tolist()
-    df = spark.createDataFrame(list(zip(names, [float(abs(v)) for v in vals])), "feature string, importance double")
-    return (df.select(prettify_feature("feature").alias("feature"), "importance")
+    values = getattr(fitted.model, "featureImportances", None)
+    if values is None:
+        values = getattr(fitted.model, "coefficients", None)
+    if values is None:
+        raise ValueError(f"{fitted.name} has no importances")
+    df = spark.createDataFrame(list(zip(fitted.prep.output_names(), [float(abs(v)) for v in values.toArray()])), "feature string, importance double")
+    return (df.select(label_feature("feature").alias("feature"), "importance")
             .orderBy(F.desc("importance"), "feature").limit(top))
 
 
@@ -170,14 +227,24 @@ def linear_contributions(fitted: FittedModel, df: DataFrame, key: str, top: int
     ``coef_j * (x_j - mean_j)``; the prepared features are already centred,
     so it is ``coef_j * x_j``. Returns (global mean |contribution| and mean
     contribution per feature, top-``top`` features per row)."""
-    from pyspark.sql import Window
     coefs = fitted.model.coefficients.toArray().tolist()
     names = fitted.prep.output_names()
     wide = fitted.prep.transform(df, [key])
-    contrib = F.array(*[F.struct(F.lit(n).alias("feature"), (F.col(n) * F.lit(c)).alias("c"))
-                        for n, c in zip(names, coefs)])
-    long = wide.select(key, F.explode(contrib).alias("_t")).select(key, "_t.feature", "_t.c")
+    # sorted by size, then name; a row's features never leave it
+    contrib = F.array_sort(F.array(*[F.struct((-F.abs(F.col(f"`{n}`") * F.lit(c))).alias("size"), F.lit(n).alias("feature"),
+                                              (F.col(f"`{n}`") * F.lit(c)).alias("c")) for n, c in zip(names, coefs)]))
+    rows = wide.select(key, contrib.alias("_all"))
+    long = rows.select(key, F.explode("_all").alias("_t")).select("_t.feature", "_t.c")
     glob = long.groupBy("feature").agg(F.avg(F.abs("c")).alias("mean_abs"), F.avg("c").alias("mean"))
-    w = Window.partitionBy(key).orderBy(F.desc(F.abs(F.col("c"))), "feature")
-    per_row = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    per_row = (rows.select(key, F.posexplode(F.slice("_all", 1, top)).alias("_i", "_t"))
+               .select(key, (F.col("_i") + 1).alias("rank"), "_t.feature", "_t.c"))
     return glob, per_row
+
+
+def linear_probability(prep: Preparer, coefficients: dict[str, float], intercept: float) -> Column:
+    """G13 with stored coefficients: the logistic probability from a frame
+    that ``prep.transform`` made, as one column expression."""
+    z = F.lit(float(intercept))
+    for name in prep.output_names():
+        z = z + F.lit(float(coefficients.get(name, 0.0))) * F.col(f"`{name}`")
+    return 1.0 / (1.0 + F.exp(-z))

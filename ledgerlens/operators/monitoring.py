@@ -45,45 +45,51 @@ def threshold_consistency(tables: Mapping[str, DataFrame], reference: str, tol:
 
 
 def missing_artifacts(spark, folder: str, required: Sequence[str]) -> DataFrame:
-    """Required file names absent from ``folder`` (left anti join of the
-    expected names against the folder listing read by Spark)."""
+    """Required names that are absent from ``folder`` (left anti join of
+    the expected names against the folder's listing). An absent folder lacks
+    them all; any other error is raised."""
     want = spark.createDataFrame([(r,) for r in required], "name string")
-    try:
-        have = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-                .select(F.regexp_replace("path", r"^.*?" + folder.rstrip("/") + "/", "").alias("name")))
-    except Exception:  # noqa: BLE001 - an absent folder means everything is missing
-        return want
-    return want.join(have, "name", "left_anti")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [(f.getPath().getName(),) for f in store.listStatus(path)] if store.exists(path) else []
+    return want.join(spark.createDataFrame(names, "name string"), "name", "left_anti")
 
 
-def psi_numeric(ref: DataFrame, cur: DataFrame, column: str, probs: Sequence[float] = DECILES,
+def psi_numeric(ref: DataFrame, cur: DataFrame, columns: str | Sequence[str], probs: Sequence[float] = DECILES,
                 eps: float = PSI_EPS) -> DataFrame:
-    """I4 (numeric): bins cut at the reference deciles (exact), shares per
-    bin in both windows (full outer join of the two bin tables) and
-    ``sum((q - p) * ln(q / p))`` with ``eps`` for empty bins."""
-    q = grouped_quantiles(ref, {f"_q{i}": (column, p) for i, p in enumerate(probs)})
-    cuts = q.select(F.array(*[F.col(f"_q{i}") for i in range(len(probs))])).scalar()
-    # bin = number of cut points below the value (cuts are sorted)
-    slot = sum((cuts[i] < F.col(column)).cast("int") for i in range(len(probs)))
-    return _psi(ref.where(F.col(column).isNotNull()).select(slot.alias("bin")),
-                cur.where(F.col(column).isNotNull()).select(slot.alias("bin")), column, eps)
+    """I4 (numeric): bins cut at the reference deciles (exact), shares per bin
+    in both windows and ``sum((q - p) * ln(q / p))`` with ``eps`` for empty
+    bins. All columns go together: one selection of the cuts, one grouped
+    count of (feature, bin) over both windows."""
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    spec = {f"{c}|{i}": (c, p) for c in columns for i, p in enumerate(probs)}
+    # a row of cut points: features x 9 numbers
+    q = grouped_quantiles(ref, spec).first()
+    both = ref.select(F.lit(True).alias("_ref"), *columns).unionByName(cur.select(F.lit(False).alias("_ref"), *columns))
+
+    def slot(c: str) -> Column:
+        cuts = [q[f"{c}|{i}"] for i in range(len(probs))]
+        below = [(F.lit(x) < F.col(c).cast("double")).cast("int") for x in cuts if x is not None]
+        return F.when(F.col(c).isNotNull(), sum(below, F.lit(0)))
+
+    long = both.select("_ref", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), slot(c).cast("string").alias("bin")) for c in columns])).alias("s"))
+    return _psi(long.select("_ref", "s.feature", "s.bin").where(F.col("bin").isNotNull()), eps)
 
 
 def psi_categorical(ref: DataFrame, cur: DataFrame, column: str, eps: float = PSI_EPS) -> DataFrame:
     """I4 (categorical): one bin per category."""
-    return _psi(ref.select(F.col(column).cast("string").alias("bin")),
-                cur.select(F.col(column).cast("string").alias("bin")), column, eps)
+    one = lambda df, is_ref: df.select(F.lit(is_ref).alias("_ref"), F.lit(column).alias("feature"), F.col(column).cast("string").alias("bin"))
+    return _psi(one(ref, True).unionByName(one(cur, False)), eps)
 
 
-def _psi(ref_bins: DataFrame, cur_bins: DataFrame, column: str, eps: float) -> DataFrame:
-    w = Window.partitionBy()  # over the per-bin tables only (a handful of rows)
-    p = ref_bins.groupBy("bin").agg(F.count(F.lit(1)).alias("np")).withColumn("p", F.col("np") / F.sum("np").over(w))
-    c = cur_bins.groupBy("bin").agg(F.count(F.lit(1)).alias("nq")).withColumn("q", F.col("nq") / F.sum("nq").over(w))
-    j = p.join(c, "bin", "full_outer").select(
-        F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(eps)).alias("p"),
-        F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(eps)).alias("q"))
-    return j.agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi")).select(
-        F.lit(column).alias("feature"), "psi", (F.col("psi") > 0.2).alias("alert"))
+def _psi(bins: DataFrame, eps: float) -> DataFrame:
+    """(feature, psi, alert) from one row per value: _ref, feature, bin."""
+    counts = bins.groupBy("feature", "bin").agg(F.count_if("_ref").alias("np"), F.count_if(~F.col("_ref")).alias("nq"))
+    w = Window.partitionBy("feature")  # over the counted bins only
+    share = lambda c: F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(0.0)), F.lit(eps))
+    return (counts.select("feature", share("np").alias("p"), share("nq").alias("q"))
+            .groupBy("feature").agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
+            .withColumn("alert", F.col("psi") > 0.2))
 
 
 def relative_drift(ref: DataFrame, cur: DataFrame, metrics: Mapping[str, tuple[str, Column | None]],
@@ -174,9 +180,11 @@ def ab_readout(customers: DataFrame, orders: DataFrame, window_start: Column, se
 
 
 def weekly_quality(scored: DataFrame, week: Column, threshold: float, baseline_pr_auc: Column | float,
-                   score: str = "proba", label: str = "y", drop: float = 0.05) -> DataFrame:
+                   score: str = "proba", label: str = "y", drop: float = 0.05, min_recall: float = 0.90,
+                   min_precision: float = 0.95) -> DataFrame:
     """Per week recall and precision at the threshold and PR-AUC, with
-    the alert when PR-AUC falls more than 5 % under the baseline."""
+    alerts when PR-AUC falls more than 5 % under the baseline, recall under
+    90 % or precision under 95 %."""
     from .binary_metrics import ranking_metrics
     d = scored.withColumn("week", week)
     y = F.col(label).cast("int")
@@ -192,4 +200,6 @@ def weekly_quality(scored: DataFrame, week: Column, threshold: float, baseline_p
                     F.coalesce(F.try_divide(F.col("tp"), (F.col("tp") + F.col("fp")).cast("double")),
                                F.lit(0.0)).alias("precision"),
                     "pr_auc")
-            .withColumn("pr_auc_alert", F.col("pr_auc") < base * (1 - drop)))
+            .withColumn("pr_auc_alert", F.col("pr_auc") < base * (1 - drop))
+            .withColumn("recall_alert", F.col("recall") < min_recall)
+            .withColumn("precision_alert", F.col("precision") < min_precision))

@@ -44,13 +44,22 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], method: str = "exact") -> Da
     return filled.groupBy("feature", "median").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
+#: One-hot columns of one feature at most; a feature with more values needs another encoding.
+MAX_CATEGORIES = 10_000
+
+
 def fit_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, mode, categories): most frequent observed value (smallest
-    value on a tie) and the sorted list of observed values."""
+    value on a tie) and the sorted list of observed values. A feature of over
+    ``MAX_CATEGORIES`` values raises before its values meet in one row."""
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v"))
                                 for c in cols]))
     counts = (df.select(stack.alias("_s")).select("_s.feature", "_s.v").where(F.col("v").isNotNull())
               .groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")))
+    sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("_values"))
+    fits = F.assert_true(F.col("_values") <= MAX_CATEGORIES, F.concat(F.lit("too many categories in "), F.col("feature")))
+    # a row a feature: the checked sizes are broadcast
+    counts = counts.join(F.broadcast(sizes.select("feature", fits.alias("_ok"))), "feature").where(F.col("_ok").isNull())
     return counts.groupBy("feature").agg(
         F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"),
         F.array_sort(F.collect_list("v")).alias("categories"))
@@ -74,6 +83,12 @@ class Preparer:
                for r in fit_categorical(df, cat_cols).collect()} if cat_cols else {}
         return cls(num, cat)
 
+    def aligned(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """The training columns, null where the input lacks one."""
+        have = set(df.columns)
+        columns = [c for c in [*self.numeric, *self.categorical] if c not in keep]
+        return df.select(*keep, *[F.col(c) if c in have else F.lit(None).cast("double" if c in self.numeric else "string").alias(c) for c in columns])
+
     def output_names(self) -> list[str]:
         names = [f"num__{c}" for c in self.numeric]
         for c, (_, cats) in self.categorical.items():

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import zero_if_none_ratio
@@ -174,17 +174,28 @@ def column_means(df: DataFrame, columns: Sequence[str], name_col: str, value_col
     return one.unpivot([], cols, name_col, value_col).orderBy(F.desc(value_col), F.asc(name_col))
 
 
+# The columns of a segment profile.
 PROFILE_COLUMNS = ["Income", "Age", "Recency", "Total_Spending", "Total_Purchases", "NumWebPurchases",
                    "NumStorePurchases", "NumCatalogPurchases", "NumDealsPurchases",
                    "Campaign_Acceptance_Total"]
 
 
+def mean_2dp(c: str) -> Column:
+    """Mean to 2 decimals, halves away from zero, by integer arithmetic on
+    millionths, so that it doesn't depend on the order of summation."""
+    total, n = F.sum(F.col(c).cast("decimal(28,6)")), F.count(F.col(c))
+    units = (total * F.lit(1_000_000)).cast("decimal(38,0)")
+    up = F.abs(units) * 2 + n * 10_000
+    whole = (up - up % (n * 20_000)) / (n * 20_000)  # exact: no remainder is left
+    return (F.signum(units) * whole.cast("double") / 100).cast("double")
+
+
 def profile_clusters(df: DataFrame, cluster: str = "cluster",
                      columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:
     """Per-cluster means (2 decimals) and size."""
     cols = [c for c in columns if c in df.columns]
     return (df.groupBy(cluster)
-            .agg(*[F.round(F.avg(c), 2).alias(c) for c in cols], F.count(F.lit(1)).alias("cluster_size"))
+            .agg(*[mean_2dp(c).alias(c) for c in cols], F.count(F.lit(1)).alias("cluster_size"))
             .orderBy(cluster))
 
 

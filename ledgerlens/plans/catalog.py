@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .oracle_views import with_views
-from .views import cached_view
+from .views import view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -31,19 +31,31 @@ def r6(c) -> F.Column:
 
 
 def T(spark, sf):  # noqa: N802 - view names follow FIXTURES.md
-    return cached_view(spark, sf, "T")
+    return view(spark, sf, "T")
+
+
+def X(spark, sf):  # noqa: N802 - T without balances: one scan, no window
+    return view(spark, sf, "X")
+
+
+def SC(spark, sf):  # noqa: N802 - the columns of S that need customers only
+    return view(spark, sf, "SC")
+
+
+def SO(spark, sf):  # noqa: N802 - the columns of S that need orders only
+    return view(spark, sf, "SO")
 
 
 def P(spark, sf):  # noqa: N802
-    return cached_view(spark, sf, "P")
+    return view(spark, sf, "P")
 
 
 def S(spark, sf):  # noqa: N802
-    return cached_view(spark, sf, "S")
+    return view(spark, sf, "S")
 
 
 def V(spark, sf):  # noqa: N802
-    return cached_view(spark, sf, "V")
+    return view(spark, sf, "V")
 
 
 # Import the modules that register queries (side effect: fill REGISTRY).
@@ -52,3 +64,4 @@ from . import queries_customers  # noqa: E402,F401
 from . import queries_scoring  # noqa: E402,F401
 from . import queries_models  # noqa: E402,F401
 from . import queries_monitoring  # noqa: E402,F401
+from . import queries_sources  # noqa: E402,F401

@@ -27,8 +27,9 @@ P_SQL = """
 p AS (SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) amount, event_type "type",
              CAST(floor(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) / 3600) AS INT) step,
              CAST(CASE WHEN CAST(json_extract_string(props,'$.k') AS INT) = 0 THEN 1 ELSE 0 END AS INT) y,
-             floor(least(CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE), 499.99) / 5) / 100 proba
-      FROM events)
+             CASE WHEN CAST(json_extract_string(props,'$.k') AS INT) = 0 THEN 99 - (99 - lvl) * (99 - lvl) // 100
+                  ELSE lvl * lvl // 110 END / 100 proba
+      FROM (SELECT *, CAST(floor(least(CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE), 499.99) / 5) AS INT) lvl FROM events))
 """
 
 V_SQL = """

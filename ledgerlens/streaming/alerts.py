@@ -39,7 +39,9 @@ def daily_alert_stream(spark: SparkSession, events_dir: str, threshold: float, c
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
               .option("maxFilesPerTrigger", 64).parquet(events_dir))
     alert = event_score(F.col("value")) >= threshold
-    agg = (stream.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"))
+    # events may be a day late; older windows are closed and leave the state
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    agg = (timed.groupBy(F.window("ts", "1 day").alias("w"))
            .agg(F.count_if(alert).alias("alerts"), F.count(F.lit(1)).alias("rows"))
            .select(F.col("w.start").cast("timestamp_ntz").alias("day"), "alerts", "rows",
                    (F.col("alerts") > capacity).alias("over_capacity")))

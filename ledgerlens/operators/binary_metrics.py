@@ -22,9 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import exclusive_running_sum
+from .windows import exclusive_running_sums
 
-SCORE_CHUNKS = 4096
+SCORE_CHUNKS = 512
 
 
 def score_counts(df: DataFrame, score: str = "proba", label: str = "y",
@@ -37,11 +37,20 @@ def score_counts(df: DataFrame, score: str = "proba", label: str = "y",
     return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(*aggs)
 
 
+def with_score_chunk(counts: DataFrame, score: str = "score", chunks: int = SCORE_CHUNKS) -> DataFrame:
+    """Adds ``_chunk``, which falls as the score grows. Chunks are cut at
+    quantiles of the distinct scores, so crowded scores don't share one; the
+    chunk is found by binary search in the array of cuts."""
+    cuts = counts.agg(F.percentile_approx(score, [i / chunks for i in range(1, chunks)], 10 * chunks).alias("c")).scalar()
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((chunks - 1).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(F.col("_cuts"), i + s - 1) <= F.col(score), i + s).otherwise(i))
+    return counts.withColumn("_cuts", cuts).withColumn("_chunk", -at).drop("_cuts")
+
+
 def cumulative_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``tp``/``fp``: positives / negatives with score >= this score."""
-    c = counts.withColumn("_chunk", F.floor(-F.col("score") * SCORE_CHUNKS))
-    c = exclusive_running_sum(c, list(by), "_chunk", [F.desc("score")], "pos", "_tp_before")
-    c = exclusive_running_sum(c, list(by), "_chunk", [F.desc("score")], "neg", "_fp_before")
+    c = with_score_chunk(counts)
+    c = exclusive_running_sums(c, list(by), "_chunk", [F.desc("score")], {"pos": "_tp_before", "neg": "_fp_before"})
     return (c.withColumn("tp", F.col("_tp_before") + F.col("pos"))
             .withColumn("fp", F.col("_fp_before") + F.col("neg"))
             .drop("_chunk", "_tp_before", "_fp_before"))

@@ -22,6 +22,8 @@ v[floor(pos)])`` with ``pos = p * (n - 1)``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +33,18 @@ from ..session import cut_lineage, keep
 BUCKETS = 1024
 SETTLE_ROWS = 50_000
 BROADCAST_STATE_ROWS = 200_000
-MAX_ROUNDS = 64
+_settle = ContextVar("settle_rows", default=SETTLE_ROWS)
+
+
+@contextmanager
+def settling(rows: int):
+    """Within this block a window settles at ``rows`` values (tests and the
+    ``*_by_rounds`` queries take a few, so that small tables need rounds too)."""
+    token = _settle.set(rows)
+    try:
+        yield
+    finally:
+        _settle.reset(token)
 
 
 def _long_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -43,7 +56,7 @@ def _long_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
 
 
 def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
-                 buckets: int = BUCKETS, settle_rows: int = SETTLE_ROWS) -> DataFrame:
+                 buckets: int = BUCKETS, settle_rows: int | None = None) -> DataFrame:
     """Order statistics by distributed selection.
 
     ``values``: (keys..., _v) non-null doubles. ``ranks``: (keys..., _r, _min,
@@ -54,6 +67,7 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
     group ranks them directly (lazy plan, no state). Otherwise the bucket
     rounds narrow each rank's window first."""
     keys = list(keys)
+    settle_rows = _settle.get() if settle_rows is None else settle_rows
     if not keys:  # one global group: a constant key keeps the joins equi-joins
         return select_ranks(values.withColumn("_g", F.lit(0)), ["_g"], ranks.withColumn("_g", F.lit(0)),
                             buckets, settle_rows).drop("_g")
@@ -71,29 +85,30 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
                      F.lit(0).cast("long").alias("_below"), "_cnt"))
     state = cut_lineage(state)
 
-    for _ in range(MAX_ROUNDS):
+    while True:  # a window's ends are values in its first and last bucket, so every round narrows it
         open_ = state.where((F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > settle_rows))
-        n_open = open_.count()
+        # ranks of a group that share a window share its histogram
+        windows = open_.select(*keys, "_lo", "_hi", "_below").distinct()
+        n_open = windows.count()
         if n_open == 0:
             break
-        probe = F.broadcast(open_) if n_open <= BROADCAST_STATE_ROWS else open_
-        width = F.col("_hi") - F.col("_lo")
-        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
-                         F.lit(buckets - 1)).cast("int")
+        probe = F.broadcast(windows) if n_open <= BROADCAST_STATE_ROWS else windows
+        # halves, so that the width of a window over all doubles is finite
+        part = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        bucket = F.least(F.floor(part * buckets), F.lit(buckets - 1)).cast("int")
         hist = (values.join(probe, keys)
                 .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                .groupBy(*keys, "_r", "_below", bucket.alias("_b"))
+                .groupBy(*keys, "_lo", "_below", bucket.alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
-        w = Window.partitionBy(*keys, "_r").orderBy("_b")
+        w = Window.partitionBy(*keys, "_lo").orderBy("_b")
         hist = (hist.withColumn("_cum", F.sum("_bc").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                 .withColumn("_start", F.col("_below") + F.col("_cum") - F.col("_bc")))
-        chosen = (hist.where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_bc")))
+        chosen = (open_.select(*keys, "_r", "_lo").join(hist.drop("_below"), keys + ["_lo"])
+                  .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_bc")))
                   .select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
                           F.col("_start").alias("_below"), F.col("_bc").alias("_cnt")))
-        settled = state.join(chosen.select(*keys, "_r"), keys + ["_r"], "left_anti")
+        settled = state.where(~((F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > settle_rows)))
         state = cut_lineage(settled.unionByName(chosen))
-    else:  # pragma: no cover - only for pathological inputs
-        raise RuntimeError("rank selection did not converge")
 
     # Windows with one distinct value are settled; the rest hold at most
     # ``settle_rows`` values each and are ranked directly.
@@ -130,7 +145,7 @@ def kth_smallest(df: DataFrame, value: str, rank: F.Column, by: Sequence[str] =
 def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
                       by: Sequence[str] = (), method: str = "exact",
                       accuracy: int = 10_000, buckets: int = BUCKETS,
-                      settle_rows: int = SETTLE_ROWS) -> DataFrame:
+                      settle_rows: int | None = None) -> DataFrame:
     """Quantiles per group. ``spec`` maps output name -> (column, p).
 
     Returns one row per group (``by`` columns + one column per spec entry).

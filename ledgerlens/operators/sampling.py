@@ -16,9 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .quantiles import grouped_quantiles, kth_smallest, select_ranks
 
 TWO_52 = float(2 ** 52)
+#: Rows of per-class cut-offs that are broadcast at most.
+MAX_BROADCAST_CLASSES = 100_000
 
 
 def row_hash(key: str | Column, seed: int = 42) -> Column:
@@ -53,9 +56,18 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.15, va
     h = df.withColumn("_h", row_hash(key, seed))
     k_test = F.ceil(F.col("_n") * test)
     k_val = F.ceil((F.col("_n") - F.ceil(F.col("_n") * test)) * val_of_rest)
-    c1 = kth_smallest(h, "_h", k_test - 1, [label], "_c1")
-    c2 = kth_smallest(h, "_h", k_test + k_val - 1, [label], "_c2")
-    j = h.join(c1, label).join(c2, label)
+    # both cut-offs of every class in one selection
+    values = h.select(label, F.col("_h").cast("double").alias("_v"))
+    stats = values.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    wanted = stats.select("*", F.explode(F.array(F.struct(F.lit("_c1").alias("_name"), (k_test - 1).cast("long").alias("_r")),
+                                                 F.struct(F.lit("_c2").alias("_name"), (k_test + k_val - 1).cast("long").alias("_r")))).alias("_w"))
+    wanted = wanted.select(label, "_min", "_max", "_w._name", "_w._r").where(F.col("_r") >= 0)
+    solved = select_ranks(values, [label], wanted.select(label, "_r", "_min", "_max").distinct())
+    cuts = (wanted.select(label, "_name", "_r").join(solved, [label, "_r"]).groupBy(label)
+            .agg(F.max(F.when(F.col("_name") == "_c1", F.col("_val"))).alias("_c1"), F.max(F.when(F.col("_name") == "_c2", F.col("_val"))).alias("_c2")))
+    cuts = cut_lineage(stats.select(label).join(cuts, label, "left"))
+    # a row a class; a label of many values is joined by shuffle instead
+    j = h.join(F.broadcast(cuts) if cuts.count() <= MAX_BROADCAST_CLASSES else cuts, label)
     split = (F.when(F.col("_c1").isNotNull() & (F.col("_h") <= F.col("_c1")), "test")
              .when(F.col("_c2").isNotNull() & (F.col("_h") <= F.col("_c2")), "val")
              .otherwise("train"))
@@ -91,9 +103,11 @@ def stratified_sample(df: DataFrame, label: str, key: str, max_rows: int | None,
              .withColumn("_k", F.when(F.col("_N") <= max_rows, F.col("_nc"))
                          .otherwise(F.col("_base") + F.when(F.col("_rank") <= F.col("_short"), 1).otherwise(0)))
              .select(label, "_k"))
-    hk = h.join(alloc, label)
+    alloc = cut_lineage(alloc)
+    small = alloc.count() <= MAX_BROADCAST_CLASSES
+    hk = h.join(F.broadcast(alloc) if small else alloc, label)
     cut = kth_smallest_by_alloc(hk, label)
-    return hk.join(cut, label).where(F.col("_h") <= F.col("_cut")).drop("_h", "_k", "_cut")
+    return hk.join(F.broadcast(cut) if small else cut, label).where(F.col("_h") <= F.col("_cut")).drop("_h", "_k", "_cut")
 
 
 def kth_smallest_by_alloc(hk: DataFrame, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ data hash-partitioned on (key, chunk), so the plan shuffles the rows once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,18 +24,24 @@ def exclusive_running_sum(df: DataFrame, keys: Sequence[str], chunk: str,
 
     ``chunk`` must be non-decreasing along ``order`` within a key (a time
     bucket of the ordering timestamp satisfies this)."""
+    return exclusive_running_sums(df, keys, chunk, order, {value: out})
+
+
+def exclusive_running_sums(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str | Column],
+                           values: Mapping[str, str]) -> DataFrame:
+    """As ``exclusive_running_sum``, for several values in one pass."""
     keys = list(keys)
     part = keys + [chunk]
     w_local = (Window.partitionBy(*part).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, -1))
-    local = df.withColumn("_ll_local", F.sum(value).over(w_local))
+    local = df.withColumns({f"_ll_local_{v}": F.sum(v).over(w_local) for v in values})
 
-    totals = df.groupBy(*part).agg(F.sum(value).alias("_ll_total"))
+    totals = df.groupBy(*part).agg(*[F.sum(v).alias(f"_ll_total_{v}") for v in values])
     w_off = (Window.partitionBy(*keys).orderBy(chunk)
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*part, F.sum("_ll_total").over(w_off).alias("_ll_offset"))
+    offsets = totals.select(*part, *[F.sum(f"_ll_total_{v}").over(w_off).alias(f"_ll_offset_{v}") for v in values])
 
-    zero = F.lit(0).cast(df.schema[value].dataType)
+    zero = {v: F.lit(0).cast(df.schema[v].dataType) for v in values}
     return (local.join(offsets, part, "inner")
-            .withColumn(out, F.coalesce("_ll_local", zero) + F.coalesce("_ll_offset", zero))
-            .drop("_ll_local", "_ll_offset"))
+            .withColumns({out: F.coalesce(f"_ll_local_{v}", zero[v]) + F.coalesce(f"_ll_offset_{v}", zero[v]) for v, out in values.items()})
+            .drop(*[f"_ll_{k}_{v}" for v in values for k in ("local", "offset")]))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import binary_metrics as M
 from ..operators import sampling as E
-from .catalog import P, T, X, r6, register
+from ..operators.quantiles import settling
+from ..session import stored
+from .catalog import REGISTRY, P, T, X, r6, register
 
 HASH_SQL = "CAST(('0x' || substr(md5('42:' || CAST({k} AS VARCHAR)), 1, 13)) AS BIGINT)"
 H_EVENT = HASH_SQL.format(k="event_id")
@@ -311,3 +313,19 @@ def q_period_comparison(spark, sf):
     b = M.classification_metrics(p.where(F.col("step") >= 360), 0.5).select(*names)
     s = D.side_by_side(a, b, "metric", names, "early", "late")
     return s.select("metric", r6("early").alias("early"), r6("late").alias("late"))
+
+
+def _by_rounds(name, fn, sql, views):
+    """The same query with quantiles and cut-offs found in rounds of narrowing
+    windows, as on large tables, down to windows of seven values."""
+    @register(f"{name}_by_rounds", sql, views)
+    def run(spark, sf):
+        with settling(7):
+            return stored(fn(spark, sf), name)
+    run.__doc__ = fn.__doc__
+
+
+_by_rounds("stratified_split", q_stratified_split, _SPLIT_SQL, ("t",))
+for _name in ("describe_by_class", "describe_customers", "temporal_split", "sample_rows"):
+    _fn, _sql = REGISTRY[_name]
+    _by_rounds(_name, _fn, _sql, ())

@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ SYMBOL = 50
 HOT = 50_000
 SHARDS = 4
 BATCH_BYTES = 4 << 20
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 1 << 18
 CHUNK = 1 << 17
 PLACE = (1 << 20) - 1
 FACTOR = 0x9FB21C651E98DF25
@@ -395,17 +396,27 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     return spans.groupBy("t1", "t2").agg(F.collect_set("s").alias("spans"))
 
 
-def _cut(raw: np.ndarray, spans: list[dict] | None) -> tuple[int, int, np.ndarray]:
-    """(removed bytes, removed runs, what is left)."""
-    if not spans:
+def _cut(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(removed bytes, removed runs, what is left) of a text and its spans."""
+    if not len(begin):
         return 0, 0, raw
-    cover = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(cover, [s["a"] for s in spans], 1)
-    np.add.at(cover, [s["b"] for s in spans], -1)
+    cover = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
     gone = np.cumsum(cover[:-1]) > 0
     return int(gone.sum()), len(_spans(gone)[0]), raw[~gone]
 
 
+def _texts_and_spans(batch: pa.RecordBatch, text: int, spans: int):
+    """Of each row: its place, the text's bytes, and where its spans begin and end."""
+    buf, offs = byte_view(batch.column(text))
+    lists = batch.column(spans)
+    flat = lists.flatten()
+    begin, end = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    n = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(n)])
+    for k in range(batch.num_rows):
+        yield k, buf[offs[k]:offs[k + 1]], begin[at[k]:at[k + 1]], end[at[k]:at[k + 1]]
+
+
 def _with_spans(docs: DataFrame, keep: dict, text_col: str, **options) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], text.alias("_text")).withColumns({k: f(F.col("_text")) for k, f in TEXT_KEY.items()})
@@ -420,10 +431,11 @@ def cut_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     def cut(batches):
         for batch in batches:
-            buf, offs = byte_view(batch.column(1))
-            got = [(b - a, *_cut(buf[a:b], s.as_py())) for a, b, s in zip(offs[:-1].tolist(), offs[1:].tolist(), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in got], pa.int64()) for k in range(3)),
-                                              pa.array([hashlib.sha256(x[3]).hexdigest() for x in got], pa.string())],
+            got = []
+            for _, raw, begin, end in _texts_and_spans(batch, 1, 2):
+                removed, runs, left = _cut(raw, begin, end)
+                got.append((len(raw), removed, runs, hashlib.sha256(left).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in got], pa.string() if k == 3 else pa.int64()) for k in range(4))],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -437,13 +449,13 @@ def without_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataF
 
     def cut(batches):
         for batch in batches:
-            buf, offs = byte_view(batch.column(1))
             row = batch.column(0)
             names = [f.name for f in row.type]
             at = row.type.get_field_index(text_col)
             text = row.field(at).to_pylist()
-            for k in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                text[k] = _cut(buf[offs[k]:offs[k + 1]], batch.column(2)[k].as_py())[2].tobytes().decode("utf-8", "ignore")
+            for k, raw, begin, end in _texts_and_spans(batch, 1, 2):
+                if len(begin):
+                    text[k] = _cut(raw, begin, end)[2].tobytes().decode("utf-8", "ignore")
             fields = [pa.array(text, row.type[k].type) if k == at else row.field(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(fields, names)
 

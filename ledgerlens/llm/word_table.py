@@ -10,7 +10,8 @@
 
 A word takes part once a block, so the most frequent words are no hot keys;
 blocks' lists are packed before the shuffles. The split blocks are a written
-table, from which lost tasks are done again.
+table, from which lost tasks are done again; it is bucketed by block, so that
+only the ids move when they are joined to it.
 
 This holds for tokenizers that encode text split at ASCII white space as the
 parts one after another; ``check_tokenizer`` refuses others.
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, materialize, one_array, regrouped, table, worker_state
+from .common import byte_view, materialize_by, one_array, regrouped, table, worker_state
 
 BLOCK_BYTES = 16 << 20
 
@@ -119,7 +120,8 @@ def split_blocks(rows: DataFrame, n_buckets: int, block_bytes: int = BLOCK_BYTES
                  pa.array([_pack_codes(rank[order])], pa.binary()), pa.array([lists], pa.list_(pa.binary()))],
                 ["block", "doc_ids", "n_words", "codes", "ranks", "words"])
 
-    return materialize(rows.mapInArrow(blocks, f"block long, doc_ids array<{kind}>, n_words array<int>, codes binary, ranks binary, words array<binary>"), "word-blocks")
+    schema = f"block long, doc_ids array<{kind}>, n_words array<int>, codes binary, ranks binary, words array<binary>"
+    return materialize_by(rows.mapInArrow(blocks, schema), "word_blocks", "block")
 
 
 def encode_words(blocks: DataFrame, shared) -> DataFrame:
@@ -185,7 +187,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     n_buckets = n_buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = split_blocks(rows, n_buckets, block_bytes)
     answers = encode_words(blocks, shared).groupBy("block").agg(F.collect_list(F.struct("bucket", "lens", "ids")).alias("answers"))
-    whole = blocks.select("block", "doc_ids", "n_words", "codes", "ranks").join(answers, "block", "left")
+    whole = blocks.select("block", "doc_ids", "n_words", "codes", "ranks").join(answers.hint("merge"), "block", "left")
 
     def joined(batches):
         tok = _tokenizer(shared.value)

@@ -20,11 +20,6 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col_or(num).cast("double"), F.nullif(col_or(den).cast("double"), F.lit(0.0)))
 
 
-def zero_if_none_ratio(num: str | Column, den: str | Column) -> Column:
-    """Metric ratio where a zero denominator means 0 (``zero_division=0``)."""
-    return F.coalesce(safe_ratio(num, den), F.lit(0.0))
-
-
 def floor_div(c: str | Column, d: int) -> Column:
     """Python ``//``: floors for negatives too (Spark ``div`` truncates)."""
     return F.floor(col_or(c) / F.lit(d)).cast("int")
@@ -39,16 +34,6 @@ def null_safe_sum(cols: Iterable[str | Column]) -> Column:
     return out
 
 
-def nan_to_null(c: str | Column) -> Column:
-    """Spark treats NaN as a value; the reference treats it as missing."""
-    c = col_or(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
 def flag(cond: Column) -> Column:
     """Boolean test as 0/1 where a null comparison counts as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")
-
-
-def round_double(c: str | Column, digits: int = 6) -> Column:
-    return F.round(col_or(c).cast("double"), digits)

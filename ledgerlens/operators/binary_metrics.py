@@ -258,14 +258,6 @@ def cost_scenarios(df: DataFrame, thresholds: Sequence[float], selected: float |
         (fn_loss + fp_cost).alias("total_cost_eur_equivalent"), sel.alias("is_selected_threshold"))
 
 
-def best_by(metrics: DataFrame, name: str = "name", metric: str = "pr_auc", order: str | None = None) -> DataFrame:
-    """the row with the highest metric; on a tie the earlier row (by
-    ``order``) wins, like a first strict maximum."""
-    key = F.struct(F.col(metric), -F.col(order)) if order else F.struct(F.col(metric))
-    st = F.struct(*[F.col(c) for c in metrics.columns])
-    return metrics.agg(F.max_by(st, key).alias("_b")).select("_b.*")
-
-
 def risk_tier(score: str = "proba", threshold: float = 0.5) -> F.Column:
     """alert at t, watch at t/2, low below."""
     s = F.col(score)

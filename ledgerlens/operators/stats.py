@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import zero_if_none_ratio
 from .quantiles import grouped_quantiles
 
 
@@ -248,10 +247,11 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "v
     return df.unpivot(list(ids), list(values), var, value)
 
 
-def preferred_order(df: DataFrame, column: str, preferred: Sequence[str]) -> DataFrame:
-    """Known names first in the given order, then the rest by name."""
+def preferred_position(column: str, preferred: Sequence[str]) -> list[Column]:
+    """Sort keys that put known names first in the given order, then the
+    rest by name."""
     pos = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(column))
-    return df.orderBy(F.when(pos == 0, F.lit(len(preferred) + 1)).otherwise(pos), F.col(column))
+    return [F.when(pos == 0, F.lit(len(preferred) + 1)).otherwise(pos), F.col(column)]
 
 
 def side_by_side(left: DataFrame, right: DataFrame, key: str, metrics: Sequence[str],

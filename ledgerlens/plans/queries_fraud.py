@@ -302,8 +302,6 @@ def q_preferred_type_order(spark, sf):
     position is materialised so the order survives an unordered compare."""
     from pyspark.sql import Window
     counts = X(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    pos = F.array_position(F.array(F.lit("purchase"), F.lit("error")), F.col("type"))
-    key = F.when(pos == 0, F.lit(3)).otherwise(pos)
     # the window runs over the handful of aggregated rows only
-    return counts.withColumn("position", F.row_number().over(Window.orderBy(key, "type")).cast("int"))
+    return counts.withColumn("position", F.row_number().over(Window.orderBy(*D.preferred_position("type", ["purchase", "error"]))).cast("int"))
 

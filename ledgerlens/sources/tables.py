@@ -19,9 +19,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views under the table names, for ``spark.sql`` users."""
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -4,7 +4,7 @@
   event is scored with the same column expression as the batch view, and a
   tumbling one-day window counts alerts. The result table is small (one row
   per day), so the query runs in ``complete`` mode and every micro-batch
-  replaces the result folder through ``foreachBatch``. State and progress
+  writes a result folder through ``foreachBatch``; the last one counts. State and progress
   live under the shared checkpoint folder, so a restarted query resumes.
 * ``score_stream``: G13 over a stream: any ``DataFrame -> DataFrame``
   scoring function (batch code) applied to a streaming source, appended to a
@@ -48,13 +48,20 @@ def daily_alert_stream(spark: SparkSession, events_dir: str, threshold: float, c
     out = shared_path(spark, "streams", run_name, "result")
     ckpt = shared_path(spark, "streams", run_name, "state")
 
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    # each batch has a folder of its own: readers of an earlier one are not disturbed, and a batch that
+    # is done again writes the same folder
+    last: list[int] = []
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch:012d}")
+        last.append(epoch)
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(replace)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    if not last:
+        return spark.createDataFrame([], "day timestamp_ntz, alerts long, rows long, over_capacity boolean")
+    return spark.read.parquet(f"{out}/batch={max(last):012d}")
 
 
 def score_stream(spark: SparkSession, source_dir: str, schema, scorer: Callable[[DataFrame], DataFrame],

@@ -390,7 +390,8 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
         each = materialize(one.select("r1", "r2", "n", "region").mapInArrow(windows, "r1 long, r2 long, n int, a int, w1 long, w2 long"), "hot-windows")
         twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
         usual = usual.union(each.join(twice, ["w1", "w2"]).select("r1", "r2", "a", (F.col("a") + width).alias("b")))
-    found = usual.groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    # as a table, both sides of the join are plain shuffles, so that Spark can split the places of a frequent region
+    found = materialize(usual.groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("found")), "found-spans")
     spans = (places.select("r1", "r2", "t1", "t2", "place").join(found, ["r1", "r2"])
              .select("t1", "t2", F.explode(F.transform("found", lambda x: F.struct((x["a"] + F.col("place")).alias("a"), (x["b"] + F.col("place")).alias("b")))).alias("s")))
     return spans.groupBy("t1", "t2").agg(F.collect_set("s").alias("spans"))

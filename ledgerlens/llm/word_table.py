@@ -61,7 +61,7 @@ def _unpack(raw: bytes, dtype) -> np.ndarray:
 
 
 def _pack_codes(codes: np.ndarray) -> bytes:
-    """Numbers below 2**24, planes of bytes apart: the high planes compress well."""
+    """Numbers below 2**32, planes of bytes apart: the high planes compress well."""
     wide = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
     return _pack(np.ascontiguousarray(wide.T))
 
@@ -144,7 +144,7 @@ def encode_words(blocks: DataFrame, shared) -> DataFrame:
             a += len(x)
         edges = np.cumsum([0] + [len(x) for x in lists])
         return pa.table({"block": group["block"], "bucket": group["bucket"],
-                         "lens": pa.array([_pack(n[s:e].astype("<u2")) for s, e in zip(edges, edges[1:])], pa.binary()), "ids": pa.array(out_ids, pa.binary())})
+                         "lens": pa.array([_pack_codes(n[s:e]) for s, e in zip(edges, edges[1:])], pa.binary()), "ids": pa.array(out_ids, pa.binary())})
 
     need = blocks.select("block", F.posexplode("words").alias("bucket", "words")).where(F.length("words") > 0)
     return need.groupBy("bucket").applyInArrow(encoded, "block long, bucket int, lens binary, ids binary")
@@ -199,7 +199,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 doc_ids, n_words = batch.column(1)[k].values, batch.column(2)[k].values.to_numpy()
                 code, rank = _unpack_codes(batch.column(3)[k].as_py()), _unpack_codes(batch.column(4)[k].as_py())
                 got = sorted(batch.column(5)[k].as_py() or [], key=lambda x: x["bucket"])
-                lens = np.concatenate([_unpack(x["lens"], "<u2") for x in got] or [np.zeros(0, np.uint16)]).astype(np.int64)
+                lens = np.concatenate([_unpack_codes(x["lens"]) for x in got] or [np.zeros(0, np.uint32)]).astype(np.int64)
                 ids = np.concatenate([_unpack_codes(x["ids"]) for x in got] or [np.zeros(0, np.uint32)])
                 # from the buckets' order to the numbers that the documents use
                 order = np.empty(len(rank), np.int64)

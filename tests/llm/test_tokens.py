@@ -76,6 +76,21 @@ def test_word_table(spark):
     assert word_table.encode_documents(documents(spark, [None, "", " "]), WORDS).collect()[0].ids == []
 
 
+def test_word_table_keeps_words_of_over_65535_ids(spark):
+    texts = ["0123456789" * 7000, "after it", "日本語" * 9000, "the words that come later", None, "0123456789" * 7000 + " again"]
+    df = documents(spark, texts).coalesce(1)
+    t = Tokenizer.from_file(WORDS)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert max(map(len, want)) > 1 << 16
+    full = {r.doc_id: r.ids for r in word_table.encode_documents(df, WORDS, n_buckets=2).collect()}
+    assert [full[k] for k in range(len(texts))] == want
+    digests = {r.doc_id: r for r in word_table.encode_documents(df, WORDS, digests=True, n_buckets=2).collect()}
+    for k, ids in enumerate(want):
+        assert digests[k].n_tokens == len(ids)
+        assert digests[k].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert digests[k].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_word_table_refuses_other_tokenizers(spark):
     with pytest.raises(ValueError):
         word_table.encode_documents(documents(spark), BYTES)

@@ -4,7 +4,9 @@
    of about 16 MB. A block keeps its distinct words and, for every document,
    the positions: each word as its number among the block's words.
 2. The blocks' words meet by hash of the word; each distinct word is encoded
-   once, by the ``tokenizers`` library. That is the word table.
+   once, by the ``tokenizers`` library. That is the word table. A bucket is a
+   stream of lists, so what its task holds doesn't grow with the blocks; a
+   bucket of over ``TABLE_BYTES`` of distinct words encodes some again.
 3. The ids go back to the blocks and are joined by position. Decoding joins
    ids to the vocabulary's pieces.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,9 @@ from pyspark.sql import functions as F
 from .common import byte_view, materialize_by, one_array, regrouped, table, worker_state
 
 BLOCK_BYTES = 16 << 20
+RUN_BYTES = 32 << 20
+TABLE_BYTES = 128 << 20
+ENCODE_BYTES = 1 << 20
 
 
 def check_tokenizer(tokenizer_json: str) -> None:
@@ -124,27 +130,63 @@ def split_blocks(rows: DataFrame, n_buckets: int, block_bytes: int = BLOCK_BYTES
     return materialize_by(rows.mapInArrow(blocks, schema), "word_blocks", "block")
 
 
-def encode_words(blocks: DataFrame, shared) -> DataFrame:
+def _runs(batches, most_bytes: int):
+    """(rows, word lists) of a bucket: lists of about ``most_bytes`` at once, one at least."""
+    for batch in batches:
+        lists, start, held = [], 0, 0
+        for k in range(batch.num_rows):
+            raw = _unpack(batch.column("words")[k].as_py(), np.uint8).tobytes()
+            if lists and held + len(raw) > most_bytes:
+                yield batch.slice(start, k - start), lists
+                lists, start, held = [], k, 0
+            lists.append(pa.array(raw.decode().split("\n"), pa.string()))
+            held += len(raw)
+        if lists:
+            yield batch.slice(start), lists
+
+
+def _encode(tok, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids, ids) of the words, ``ENCODE_BYTES`` of them at a time."""
+    ends = byte_view(words)[1][1:]
+    lens, ids, a = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ENCODE_BYTES, side="right")))
+        got = [e.ids for e in tok.encode_batch_fast(words.slice(a, b - a).to_pylist(), add_special_tokens=False)]
+        lens.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids.append(np.fromiter((i for g in got for i in g), np.uint32, int(lens[-1].sum())))
+        a = b
+    return np.concatenate(lens), np.concatenate(ids)
+
+
+def encode_words(blocks: DataFrame, shared, run_bytes: int = RUN_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The word table, as each block needs it: (block, bucket, lens, ids), the
-    ids of the block's words of that bucket in their order."""
-    def encoded(key, group):
+    ids of the block's words of that bucket in their order.
+
+    A bucket's lists are read as a stream. Its words are kept up to
+    ``table_bytes``; past that the table starts anew, and a word that comes
+    again is encoded again."""
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(shared.value)
-        lists = [pa.array(_unpack(x.as_py(), np.uint8).tobytes().decode().split("\n"), pa.string()) for x in group["words"]]
-        coded = pa.concat_arrays(lists).dictionary_encode()
-        got = [e.ids for e in tok.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))
-        starts = np.cumsum(lens) - lens
-        code = coded.indices.to_numpy()
-        n, out_ids, a = lens[code], [], 0
-        for x in lists:
-            c = code[a:a + len(x)]
-            m = n[a:a + len(x)]
-            out_ids.append(_pack_codes(ids[np.repeat(starts[c] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]))
-            a += len(x)
-        edges = np.cumsum([0] + [len(x) for x in lists])
-        return pa.table({"block": group["block"], "bucket": group["bucket"],
-                         "lens": pa.array([_pack_codes(n[s:e]) for s, e in zip(edges, edges[1:])], pa.binary()), "ids": pa.array(out_ids, pa.binary())})
+        known, lens, ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        for rows, lists in _runs(batches, run_bytes):
+            coded = pa.concat_arrays(lists).dictionary_encode()
+            words = coded.dictionary
+            if known.nbytes + words.nbytes > table_bytes:
+                known, lens, ids = known.slice(0, 0), lens[:0], ids[:0]
+            new = words.filter(pc.is_null(pc.index_in(words, value_set=known)))
+            new_lens, new_ids = _encode(tok, new)
+            known, lens, ids = pa.concat_arrays([known, new]), np.concatenate([lens, new_lens]), np.concatenate([ids, new_ids])
+            starts = np.cumsum(lens) - lens
+            code = pc.index_in(words, value_set=known).to_numpy()[coded.indices.to_numpy()]
+            n, out_ids, a = lens[code], [], 0
+            for x in lists:
+                c = code[a:a + len(x)]
+                m = n[a:a + len(x)]
+                out_ids.append(_pack_codes(ids[np.repeat(starts[c] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]))
+                a += len(x)
+            edges = np.cumsum([0] + [len(x) for x in lists])
+            yield pa.RecordBatch.from_arrays([rows.column("block"), rows.column("bucket"), pa.array([_pack_codes(n[s:e]) for s, e in zip(edges, edges[1:])], pa.binary()),
+                                              pa.array(out_ids, pa.binary())], ["block", "bucket", "lens", "ids"])
 
     need = blocks.select("block", F.posexplode("words").alias("bucket", "words")).where(F.length("words") > 0)
     return need.groupBy("bucket").applyInArrow(encoded, "block long, bucket int, lens binary, ids binary")

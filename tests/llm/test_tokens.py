@@ -91,6 +91,22 @@ def test_word_table_keeps_words_of_over_65535_ids(spark):
         assert digests[k].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_word_table_reads_a_bucket_as_a_stream(spark):
+    t = Tokenizer.from_file(WORDS)
+    shared = spark.sparkContext.broadcast(t.to_str())
+    lists = [[f"word{j}" for j in range(i, i + 300)] + ["日本語", "x" * (i + 1)] for i in range(40)]
+    blocks = spark.createDataFrame([(i, [bytearray(word_table._pack("\n".join(w).encode()))]) for i, w in enumerate(lists)], "block long, words array<binary>")
+    for run_bytes, table_bytes in ((1, 1 << 20), (5000, 8000), (1 << 20, 1 << 20)):
+        got = word_table.encode_words(blocks, shared, run_bytes, table_bytes).orderBy("block").collect()
+        assert [r.block for r in got] == list(range(40)) and {r.bucket for r in got} == {0}
+        for r, words in zip(got, lists):
+            want = [t.encode(w, add_special_tokens=False).ids for w in words]
+            assert word_table._unpack_codes(r.lens).tolist() == [len(w) for w in want]
+            assert word_table._unpack_codes(r.ids).tolist() == [i for w in want for i in w]
+    runs = [len(x) for _, x in word_table._runs([word_table.pa.RecordBatch.from_pylist([{"words": bytes(word_table._pack("\n".join(w).encode()))} for w in lists])], 8000)]
+    assert sum(runs) == 40 and max(runs) <= 8000 // 2000
+
+
 def test_word_table_refuses_other_tokenizers(spark):
     with pytest.raises(ValueError):
         word_table.encode_documents(documents(spark), BYTES)

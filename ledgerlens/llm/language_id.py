@@ -79,20 +79,27 @@ def _rows(h: np.ndarray, k: int, n_rows: int) -> np.ndarray:
 
 
 class Filter:
-    """The bit-sliced filter: ``masks[row]`` has a bit for each language."""
+    """The bit-sliced filter: ``masks[row]`` has a bit for each language, in one
+    word up to 64 languages and in columns of 64 bits past that."""
 
     def __init__(self, langs: list[str], n_rows: int = ROWS, masks: np.ndarray | None = None):
         self.langs = langs
         if masks is not None:
             self.masks = masks
             return
-        kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= most)
-        self.masks = np.zeros(n_rows, kind)
+        kind = next((t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(langs) <= most), np.uint64)
+        self.masks = np.zeros(n_rows if len(langs) <= 64 else (n_rows, -(-len(langs) // 64)), kind)
+
+    def _bits(self, masks: np.ndarray, lang: int) -> np.ndarray:
+        """The bit of a language in each of ``masks``."""
+        word = masks if masks.ndim == 1 else masks[:, lang // 64]
+        return (word >> masks.dtype.type(lang % 64)) & masks.dtype.type(1)
 
     def add(self, lang: int, hashes: np.ndarray) -> None:
-        bit = self.masks.dtype.type(1 << lang)
+        bit = self.masks.dtype.type(1 << lang % 64)
+        word = self.masks if self.masks.ndim == 1 else self.masks[:, lang // 64]
         for k in range(HASHES):
-            self.masks[_rows(hashes, k, len(self.masks))] |= bit
+            word[_rows(hashes, k, len(self.masks))] |= bit
 
     def languages(self, hashes: np.ndarray) -> np.ndarray:
         """The bit mask of all languages that have each n-gram."""
@@ -103,7 +110,7 @@ class Filter:
 
     def false_rate(self) -> np.ndarray:
         """By language, how often an n-gram that was not added is found."""
-        return np.array([float(((self.masks >> self.masks.dtype.type(i)) & self.masks.dtype.type(1)).mean()) ** HASHES for i in range(len(self.langs))])
+        return np.array([float(self._bits(self.masks, i).mean()) ** HASHES for i in range(len(self.langs))])
 
     def decide(self, texts: list[str | None], prior: np.ndarray) -> tuple[list[str], np.ndarray]:
         plain, ends = _plain(texts)
@@ -118,7 +125,7 @@ class Filter:
             total += np.bincount(doc, minlength=len(texts))
             edges = np.searchsorted(doc, np.arange(len(texts) + 1))
             for i in range(len(self.langs)):
-                seen = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), dtype=np.int64)])
+                seen = np.concatenate([[0], np.cumsum(self._bits(mask, i), dtype=np.int64)])
                 hits[i] += np.diff(seen[edges])
         f = self.false_rate()[:, None]
         real = np.clip((hits - total * f) / (1.0 - f), 0.0, None) if len(self.langs) else np.zeros((1, len(texts)))
@@ -141,8 +148,6 @@ def learn(labelled: DataFrame, most_docs: int = 3000, most_grams: int = 30_000,
     spark = labelled.sparkSession
     per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(per_lang)
-    if len(langs) > 64:
-        raise ValueError(f"a filter row has 64 bits; there are {len(langs)} languages")
     out = Filter(langs, n_rows)
     if not langs:
         return out, np.zeros(0)

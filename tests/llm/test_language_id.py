@@ -82,3 +82,29 @@ def test_filter_finds_all_it_has():
     assert (f.languages(h) & 2 == 2).all() and (f.languages(h) & 1 == 0).all()
     other = np.random.default_rng(2).integers(0, 1 << 63, 20_000, dtype=np.uint64)
     assert abs((f.languages(other) & 2 == 2).mean() - f.false_rate()[1]) < 0.01
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rnd = random.Random(4)
+    parts = {f"l{k:03}": [chr(0x4E00 + 8 * k + j) for j in range(8)] for k in range(70)}  # letters of its own
+    text = lambda x: " ".join("".join(rnd.choices(parts[x], k=4)) for _ in range(12))
+    docs = spark.createDataFrame([(i, text(x), x) for i, x in enumerate([*parts] * 8)], "doc_id long, text string, lang string")
+    model = L.learn(docs.where("doc_id % 8 <> 0"), n_rows=1 << 18)
+    assert model[0].masks.shape == (1 << 18, 2)
+    got = L.predict(docs, model, [F.col("doc_id"), F.col("lang")]).where("doc_id % 8 = 0").collect()
+    assert len(got) == 70 and {r.lang for r in got} > {"l064", "l066", "l068"} and all(r.lang == r.lang_pred and r.score > 0 for r in got)
+
+
+def test_filter_of_many_languages_equals_one_filter_a_language():
+    rng = np.random.default_rng(3)
+    grams = [rng.integers(0, 1 << 63, 50, dtype=np.uint64) for _ in range(130)]
+    wide = L.Filter([f"{i:03}" for i in range(130)], 1 << 14)
+    for i, g in enumerate(grams):
+        wide.add(i, g)
+    assert wide.masks.shape == (1 << 14, 3)
+    asked = np.concatenate([*grams, rng.integers(0, 1 << 63, 3000, dtype=np.uint64)])
+    mask, rates = wide.languages(asked), wide.false_rate()
+    for i, g in enumerate(grams):
+        one = L.Filter(["x"], 1 << 14)
+        one.add(0, g)
+        assert wide._bits(mask, i).tolist() == one.languages(asked).tolist() and rates[i] == one.false_rate()[0]

@@ -5,8 +5,8 @@ Documents are sorted by id over range partitions; each partition writes its
 segments in order. A segment holds the ids of its documents one after another,
 in 2 bytes each if every id fits and in 4 otherwise, and the document ends as
 an Elias-Fano code: the low bits packed, the high bits in unary, and a sample
-of the positions of every 256th one for ``select``. That takes about 2 +
-log2(ids / documents) bits a document. Segments are rows of a Parquet table,
+of the positions of every 256th one for ``select``, which the readers use. That
+takes about 2 + log2(ids / documents) bits a document. Segments are rows of a Parquet table,
 so that any store that Spark reads can hold them.
 
 Edge cases: a null text is empty and gets the end id only. Null ids come
@@ -72,6 +72,19 @@ class EliasFano:
             byte += 1
             word = int(self.high[byte])
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at the places ``i``; only the high bits between the samples around them are read."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.int64)
+        stretch, which = np.unique(i // SAMPLE, return_inverse=True)
+        begin = self.samples[stretch].astype(np.int64)
+        n = np.append(self.samples, 8 * len(self.high)).astype(np.int64)[stretch + 1] - begin
+        bits = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+        ones = bits[(self.high[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1]
+        # every stretch has SAMPLE ones, but the last of all
+        return ((ones[which * SAMPLE + i % SAMPLE] - i) << self.low_bits) | self._low(i)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
         return ((ones - np.arange(self.n)) << self.low_bits) | self._low(np.arange(self.n))
@@ -135,7 +148,8 @@ def read_token_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 start, width = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                ends = EliasFano.from_bytes(batch.column(3)[k].as_py()).all()
+                code = EliasFano.from_bytes(batch.column(3)[k].as_py())
+                ends = code.select_many(np.arange(code.n))
                 ids = np.frombuffer(batch.column(4)[k].as_buffer(), f"<u{width}").astype("<u4")
                 begins = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)]
@@ -147,6 +161,39 @@ def read_token_files(spark, path: str) -> DataFrame:
     return rows.mapInArrow(index, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
+def read_documents(spark, path: str, numbers: list[int]) -> DataFrame:
+    """The documents of the given numbers, counted from 0 in the order of the
+    files: number, doc_id and ids. Of a segment only these documents' ends are
+    decoded; numbers that the files don't have give no row."""
+    files = spark.read.parquet(path)
+    sizes = files.select("part", "segment", F.size("doc_ids").cast("long").alias("n"))
+    # a row a partition, not a segment
+    parts = (sizes.groupBy("part").agg(F.sum("n").alias("of_part"))
+             .select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before")))
+    first = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")
+    index = sizes.join(F.broadcast(parts), "part").select("part", "segment", "n", first.alias("first"))
+    asked = spark.createDataFrame([(int(k),) for k in sorted(set(numbers))], "number long")
+    wanted = (index.join(F.broadcast(asked), (F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("n")))
+              .groupBy("part", "segment", "first").agg(F.array_sort(F.collect_list("number")).alias("numbers")))
+    rows = files.join(wanted, ["part", "segment"]).select("first", "numbers", "id_bytes", "doc_ids", "ends", "ids")
+
+    def chosen(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                first, width = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                numbers = batch.column(1)[k].values.to_numpy()
+                at = numbers - first
+                code = EliasFano.from_bytes(batch.column(4)[k].as_py())
+                ends, begins = code.select_many(at), np.where(at > 0, code.select_many(np.maximum(at - 1, 0)), 0)
+                ids = np.frombuffer(batch.column(5)[k].as_buffer(), f"<u{width}")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers, pa.int64()), batch.column(3)[k].values.take(pa.array(at)), pa.array([ids[a:b].astype(np.int32) for a, b in zip(begins, ends)], pa.list_(pa.int32()))],
+                    ["number", "doc_id", "ids"])
+
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    return rows.mapInArrow(chosen, f"number long, doc_id {kind}, ids array<int>")
+
+
 def op10_token_files(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 

@@ -123,6 +123,26 @@ def test_elias_fano_round_trip(gaps):
     assert len(code.low) + len(code.high) <= len(gaps) * (3 + np.log2(max(2, values[-1] / len(gaps)))) / 8 + 8
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=1500), st.data())
+def test_select_of_given_places(gaps, data):
+    values = np.cumsum(gaps)
+    code = token_files.EliasFano.from_bytes(token_files.EliasFano.encode(values).to_bytes())
+    places = data.draw(st.lists(st.integers(0, len(gaps) - 1), max_size=20))
+    assert code.select_many(np.array(places, np.int64)).tolist() == values[places].tolist() if places else len(code.select_many(np.array([]))) == 0
+    assert code.select_many(np.arange(code.n)).tolist() == values.tolist()
+
+
+def test_documents_of_given_numbers(spark, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    texts = [*awkward_texts(), *(f"text {i} " * (i % 7) for i in range(700))]
+    token_files.write_token_files(documents(spark, texts).repartition(3), BYTES, path, segment_bytes=4000)
+    numbers = [0, 1, 255, 256, len(texts) - 1, len(texts), 15, 15]
+    got = token_files.read_documents(spark, path, numbers).collect()
+    assert sorted((r.number, r.doc_id, tuple(r.ids)) for r in got) == [(k, k, (*ids_of_byte(texts[k]), 0)) for k in sorted({*numbers} - {len(texts)})]
+    assert token_files.read_documents(spark, path, []).collect() == []
+
+
 def test_token_files(spark, tmp_path):
     df = documents(spark, extra=True).repartition(4)
     path = f"file://{tmp_path}/ids"

@@ -1,11 +1,11 @@
-"""SimHash near-duplicates (operator 5): a byte-position inverted index with
-count filtering.
+"""SimHash near-duplicates (operator 5): an inverted index by joined positional
+bytes, in place of a byte-position index with count filtering.
 
 Fingerprints that differ in at most d bits share at least 8 - d of their 8
 positional bytes. The index lists each distinct fingerprint under every choice
 of 8 - d positions, by those bytes, so a pair's shared bytes reach the
-guaranteed minimum exactly if it meets in a list. In a list the shared bytes
-of a pair are tallied again and the bits are compared.
+guaranteed minimum exactly if it meets in a list. In a list the bits are
+compared; the tally of shared bytes there can't reject a pair.
 
 Equal fingerprints are one entry, so groups of copies cost one row. A list's
 members differ in d bytes only, so it has at most 256 ** d of them (65,536 for

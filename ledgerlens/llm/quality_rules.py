@@ -74,6 +74,13 @@ def with_statistics(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("_st", st).drop("_w", "_l", "_h", "_z", "_p", "_n", "_chars", "_symbols", "_dup", "_repeat")
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df``, such that filters above stay above its projections. A filter isn't pushed through a
+    projection with an id of rows; pushed, it would hold a copy of the statistics' expressions for each
+    place that uses them, and those inside lambdas would run once an element."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).where("_at >= 0").drop("_at")
+
+
 def base_failed(st: str = "_st") -> Column:
     n, again = F.col(f"{st}.n_words"), F.col(f"{st}.n_repeat_words")
     return (n < 50) | (100 * again > 50 * n)
@@ -197,7 +204,7 @@ def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, **o
 
 def judge(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, the base counts, base_failed and kept."""
-    got = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    got = computed_once(with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text"))
     return (got.withColumn("base_failed", base_failed())
             .select("doc_id", *[F.col(f"_st.{x}").alias(x) for x in BASE], "base_failed",
                     F.when(F.col("base_failed"), False).otherwise(~rejects(rules)).alias("kept")))
@@ -206,10 +213,7 @@ def judge(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id",
 def keep_good(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text") -> DataFrame:
     """The documents that the base rule and the list keep, columns unchanged."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"))
-    # a filter isn't pushed through a projection with an id of rows: pushed, it would hold a copy of the
-    # statistics' expressions for each place that uses them
-    judged = with_statistics(rows, "text").withColumn("_at", F.monotonically_increasing_id())
-    return judged.where((F.col("_at") >= 0) & ~base_failed() & ~rejects(rules)).select("_row.*")
+    return computed_once(with_statistics(rows, "text")).where(~base_failed() & ~rejects(rules)).select("_row.*")
 
 
 def op7_quality_rules(spark, sf_dir) -> DataFrame:

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import language_id, mix_sources, quality_rules, simhash, suffix_merge, token_counts, token_files, url_filter, vector_links, word_table
+from . import (
+    language_id,
+    license_scan,
+    mix_sources,
+    periodic_runs,
+    quality_rules,
+    simhash,
+    suffix_merge,
+    token_alignment,
+    token_counts,
+    token_files,
+    url_filter,
+    vector_links,
+    word_table,
+)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,5 +29,8 @@ QUERIES = {
     "op8_word_table": word_table.op8_word_table,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_token_files": token_files.op10_token_files,
+    "op11_license_scan": license_scan.op11_license_scan,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES = {"op9_url_filter": url_filter.OP9_SQL}

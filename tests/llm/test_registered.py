@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_url_filter_equals_its_sql(spark):

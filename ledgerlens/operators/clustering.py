@@ -6,8 +6,8 @@ statistics (size, sum vector, sum of squared norms), never from point pairs:
 * ``silhouette_sq``: the silhouette with squared Euclidean distance (the form
   Spark's ``ClusteringEvaluator`` uses). For squared distances the mean
   distance from a point to a cluster is ``|x|^2 - 2 x.S/n + Q/n``, so each
-  row needs only the k cluster sums. The reference's Euclidean silhouette
-  needs every pair of points and is not built (see README).
+  row needs only the k cluster sums. The Euclidean silhouette is in
+  ``silhouette``, with an error bound.
 * Davies-Bouldin: mean distance to the own centroid per cluster and the k x k
   centroid distances, computed inside one row holding the k centroids.
 * Calinski-Harabasz: between- and within-cluster sums of squares.
@@ -23,8 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
-
 MAX_BROADCAST_CELLS = 2_000_000  # models x k x d doubles allowed in the broadcast stats
 
 
@@ -114,9 +112,10 @@ def cluster_metrics(df: DataFrame, features: str = "features", cluster: str = "c
 
 def select_model(metrics: DataFrame, name: str = "model", db_weight: float = 0.05, without_predict: Sequence[str] = ("agglomerative", "density")) -> DataFrame:
     """H9: the model with the highest ``silhouette - 0.05 * davies_bouldin``
-    (ties: first by name); one that can label new rows is preferred to those
-    whose name starts as in ``without_predict``."""
-    score = F.col("silhouette_sq") - F.lit(db_weight) * F.col("davies_bouldin")
+    (ties: first by name), by the Euclidean silhouette where the metrics hold
+    it; one that can label new rows is preferred to those whose name starts as
+    in ``without_predict``."""
+    score = F.col("silhouette" if "silhouette" in metrics.columns else "silhouette_sq") - F.lit(db_weight) * F.col("davies_bouldin")
     predicts = F.lit(True)
     for w in without_predict:
         predicts = predicts & ~F.col(name).startswith(w)
@@ -162,13 +161,6 @@ def fit_gmm(vectors: DataFrame, k: int, seed: int = 42, features: str = "feature
                            probabilityCol="cluster_proba", maxIter=100).fit(vectors)
 
 
-def fit_hierarchical(vectors: DataFrame, k: int, seed: int = 42, features: str = "features"):
-    """H3: top-down hierarchical clustering (bisecting k-means) in place of
-    bottom-up Ward merging; both minimise within-cluster variance."""
-    from pyspark.ml.clustering import BisectingKMeans
-    return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(vectors)
-
-
 def elbow(vectors: DataFrame, ks: Sequence[int] = range(2, 11), restarts: int = 20, seed: int = 42,
           features: str = "features") -> DataFrame:
     """H5: within-cluster sum of squares per k (one fitted model per k)."""
@@ -176,54 +168,6 @@ def elbow(vectors: DataFrame, ks: Sequence[int] = range(2, 11), restarts: int =
     return vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
-# The settings of the density grid.
-DENSITY_EPS = [0.8, 1.0, 1.2, 1.5, 2.0, 2.5, 3.0]
-DENSITY_POINTS = [5, 10, 15, 20]
-DENSITY_LEAST = 50
-
-
-def density_grid(vectors: DataFrame, key: str, eps: Sequence[float] = DENSITY_EPS, points: Sequence[int] = DENSITY_POINTS,
-                 features: str = "features") -> DataFrame:
-    """H4, re-aimed: density clustering of cells instead of point pairs.
-
-    Points fall in square cells of side ``eps`` on two principal axes; cells of
-    at least ``min_points`` points are dense; dense cells that touch (corners
-    too) are one cluster; points of other cells are noise. A setting of under
-    two clusters or under 50 clustered points is rejected. Rows: eps,
-    min_points, n_clusters, clustered, noise, noise_ratio, status.
-
-    Only occupied cells are compared, each with its eight neighbours by a join
-    on the cell, and labels spread by minimum until none changes."""
-    proj, _ = pca_projection(vectors, 2, features, keep=[key])
-    spark = vectors.sparkSession
-    grid = spark.createDataFrame([(float(e), int(m)) for e in eps for m in points], "eps double, min_points int")
-    # a literal list of settings: the broadcast is bounded by it
-    spread = proj.select("PC1", "PC2", F.explode(F.array(*[F.lit(float(e)) for e in eps])).alias("eps"))
-    cells = (spread.groupBy("eps", F.floor(F.col("PC1") / F.col("eps")).alias("x"), F.floor(F.col("PC2") / F.col("eps")).alias("y"))
-             .agg(F.count(F.lit(1)).alias("n")))
-    cells = cells.join(F.broadcast(grid), "eps")
-    cells = stored(cells.withColumn("dense", F.col("n") >= F.col("min_points")), "density-cells")
-    place = ["eps", "min_points", "x", "y"]
-    labels = stored(cells.where("dense").select(*place, F.struct("x", "y").alias("root")), "density-labels")
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    while True:
-        sent = (labels.select("eps", "min_points", "x", "y", "root", near.alias("d"))
-                .select("eps", "min_points", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), "root"))
-        least = sent.groupBy(*place).agg(F.min("root").alias("new"))
-        step = stored(labels.join(least, place).select(*place, F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")), "density-labels")
-        moved = step.where("moved").limit(1).count()
-        labels = step.drop("moved")
-        if not moved:
-            break
-    clusters = labels.groupBy("eps", "min_points").agg(F.count_distinct("root").alias("n_clusters"))
-    counts = cells.groupBy("eps", "min_points").agg(F.sum(F.when(F.col("dense"), F.col("n")).otherwise(0)).alias("clustered"),
-                                                    F.sum(F.when(F.col("dense"), 0).otherwise(F.col("n"))).alias("noise"))
-    out = counts.join(clusters, ["eps", "min_points"], "left").withColumn("n_clusters", F.coalesce("n_clusters", F.lit(0)))
-    status = (F.when(F.col("n_clusters") < 2, "rejected_few_clusters").when(F.col("clustered") < DENSITY_LEAST, "rejected_few_points").otherwise("evaluated"))
-    return out.select("eps", "min_points", "n_clusters", "clustered", "noise",
-                      (F.col("noise") / (F.col("noise") + F.col("clustered"))).alias("noise_ratio"), status.alias("status"))
-
-
 def pca_projection(vectors: DataFrame, k: int = 2, features: str = "features", keep: Sequence[str] = ()):
     """Principal components of the centred matrix (Spark's PCA does not
     centre on transform, so centre first) and explained variance."""

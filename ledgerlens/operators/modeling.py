@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import binary_metrics as M
-from .cleaning import FRAUD_ID_COLUMNS, drop_feature_columns, label_feature, preprocess_fraud
-from .features import build_fraud_features
+from .cleaning import CLUSTER_DROP_COLUMNS, FRAUD_ID_COLUMNS, basic_cleaning, drop_feature_columns, label_feature, preprocess_cluster, preprocess_fraud
+from .clustering import fit_kmeans, sized
+from .features import REFERENCE_YEAR, build_cluster_features, build_fraud_features
 from .prep import Preparer, categorical_columns, numeric_columns
+from .quantiles import grouped_quantiles
 from .sampling import stratified_sample
 
 
@@ -132,6 +134,62 @@ class FittedModel:
         return cls(meta["name"], prep, model, meta["threshold"], meta["train_size"])
 
 
+@dataclass
+class SegmentModel:
+    """A clustering with what scoring new customers needs: the training
+    median, last date and year besides the preparation (G14)."""
+
+    prep: Preparer
+    model: object
+    income_median: float | None
+    reference_date: str | None
+    reference_year: int = REFERENCE_YEAR
+
+    @classmethod
+    def fit(cls, customers: DataFrame, k: int = 4, restarts: int = 20, key: str = "ID") -> "SegmentModel":
+        """From raw customer rows, which are read several times and should be
+        stored: B3, C7-C13, B5, G1, G2 and H1."""
+        clean = basic_cleaning(customers, unique=key)
+        median = grouped_quantiles(clean, {"m": ("Income", 0.5)}).first()["m"] if "Income" in clean.columns else None
+        last = clean.agg(F.max(F.try_to_timestamp("Dt_Customer", F.lit("dd/MM/yyyy")).cast("date"))).first()[0] if "Dt_Customer" in clean.columns else None
+        out = cls(Preparer(), None, median, None if last is None else last.isoformat())
+        c = stored(out.features(customers, key), "segment-input")
+        x = c.drop(*CLUSTER_DROP_COLUMNS)
+        out.prep = Preparer.fit(x, numeric_columns(x), categorical_columns(x))
+        n = c.count()
+        vec = sized(stored(sized(out.prep.to_vector(c, [key]), n), "segment-vectors"), n).persist(StorageLevel.MEMORY_AND_DISK)
+        out.model = fit_kmeans(vec, k, restarts)
+        vec.unpersist()
+        return out
+
+    def features(self, customers: DataFrame, key: str = "ID") -> DataFrame:
+        """Cleaned rows and their features, by the training's parameters."""
+        rows = preprocess_cluster(customers, F.lit(self.income_median).cast("double"), unique=key)
+        return build_cluster_features(rows, self.reference_year, F.lit(self.reference_date).cast("date"))
+
+    def score(self, customers: DataFrame, key: str = "ID") -> DataFrame:
+        """(key, cluster) of raw customer rows; any subset gives each row the
+        cluster that it has in the whole."""
+        vec = self.prep.to_vector(self.prep.aligned(self.features(customers, key), [key]), [key])
+        return self.model.transform(vec).select(key, "cluster")
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        meta = json.dumps({"income_median": self.income_median, "reference_date": self.reference_date, "reference_year": self.reference_year,
+                           "class": f"{type(self.model).__module__}.{type(self.model).__name__}",
+                           "numeric": {k: list(v) for k, v in self.prep.numeric.items()}, "categorical": {k: [v[0], v[1]] for k, v in self.prep.categorical.items()}})
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scoring")
+
+    @classmethod
+    def load(cls, path: str) -> "SegmentModel":
+        spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(f"{path}/scoring").first()[0])
+        module, name = meta["class"].rsplit(".", 1)
+        prep = Preparer({k: tuple(v) for k, v in meta["numeric"].items()}, {k: (v[0], v[1]) for k, v in meta["categorical"].items()})
+        return cls(prep, getattr(importlib.import_module(module), name).load(f"{path}/model"), meta["income_median"], meta["reference_date"], meta["reference_year"])
+
+
 def path_exists(spark, path: str) -> bool:
     """Whether a path exists, on any store that Spark reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

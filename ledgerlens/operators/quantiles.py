@@ -2,21 +2,24 @@
 
 Spark's exact ``percentile``/``median`` merges every distinct value of a group
 into one buffer on one task; with a group holding a third of the data that is
-unbounded. Here the k-th order statistics are found by distributed selection:
-
-1. per (group, column): n, min, max (partial + final aggregate);
-2. each wanted rank keeps a value window [lo, hi] and the count of values
-   below it; every round the values inside the window are cut into ``B``
-   equal-width buckets with one grouped count (map-side combined, at most
-   groups x ranks x B output rows), and the bucket holding the rank becomes
-   the new window;
-3. a rank is settled when its window holds one distinct value, or few enough
+unbounded. Here the k-th order statistics are found by radix selection:
+
+1. every value is mapped to a 64-bit integer of the same order (``sortable``):
+   sign, exponent and mantissa, so that infinities, zeros and subnormals are
+   ordinary values;
+2. each wanted rank keeps a prefix of such integers and the count of values
+   below it; every round counts the values that have the prefix by their next
+   ten bits (one grouped count, map-side combined: at most groups x ranks x
+   1024 rows), and the bucket that holds the rank is the next prefix. There are
+   seven rounds at most, for any values;
+3. a rank is settled when its bucket holds one distinct value, or few enough
    values (``settle_rows``) to rank them with a window function.
 
-Values equal to each other always fall in one bucket, so a hot value settles
-in the first round. Interpolation is the linear rule of ``percentile`` /
+Values equal to each other have one integer, so a hot value settles at once.
+-0.0 counts as 0.0. Interpolation is the linear rule of ``percentile`` /
 ``quantile_cont``: ``v[floor(pos)] + (pos - floor(pos)) * (v[ceil(pos)] -
-v[floor(pos)])`` with ``pos = p * (n - 1)``.
+v[floor(pos)])`` with ``pos = p * (n - 1)``; where both ends are equal, as
+with infinities, it is that value.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, keep
+from ..session import cut_lineage, stored
 
-BUCKETS = 1024
+#: By how much the integers are shifted in each round: ten bits more each.
+SHIFTS = [54, 44, 34, 24, 14, 4, 0]
 SETTLE_ROWS = 50_000
 BROADCAST_STATE_ROWS = 200_000
 _settle = ContextVar("settle_rows", default=SETTLE_ROWS)
@@ -47,30 +51,45 @@ def settling(rows: int):
         _settle.reset(token)
 
 
+def sortable(value: Column) -> Column:
+    """A long that orders as the double ``value`` does (no null or NaN): the
+    exponent above 52 bits of mantissa, mirrored for negative values. The
+    exponent comes from a logarithm and is put right by exact powers of two."""
+    size = F.abs(value)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    near = F.least(F.floor(F.log2(size)).cast("double"), F.lit(1023.0))
+    e = F.when(power(near) > size, near - 1).when((near < 1023) & (power(near + 1) <= size), near + 1).otherwise(near)
+    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((size / power(e) - 1) * F.lit(2.0 ** 52)).cast("long")
+    half = F.lit(2.0 ** 537)
+    key = (F.when(size < F.lit(2.0 ** -1022), (size * half * half).cast("long"))  # a multiple of the least double
+           .when(size == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(normal))
+    return F.when(value < 0, -key).otherwise(key)
+
+
 def _long_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     stack = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols]))
+        F.struct(F.lit(c).alias("_c"), (F.col(c).cast("double") + 0.0).alias("_v")) for c in cols]))
     return (df.select(*by, stack.alias("_s"))
             .select(*by, "_s._c", "_s._v")
             .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
 
 
 def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
-                 buckets: int = BUCKETS, settle_rows: int | None = None) -> DataFrame:
-    """Order statistics by distributed selection.
+                 settle_rows: int | None = None) -> DataFrame:
+    """Order statistics by radix selection.
 
-    ``values``: (keys..., _v) non-null doubles. ``ranks``: (keys..., _r, _min,
-    _max) with 0-based ranks and the group's value range. Returns (keys...,
-    _r, _val): the ``_r``-th smallest ``_v`` of each group.
+    ``values``: (keys..., _v) doubles, neither null nor NaN; they are read once
+    a round and should come from a stored table. ``ranks``: (keys..., _r) with
+    0-based ranks. Returns (keys..., _r, _val): the ``_r``-th smallest ``_v`` of
+    each group.
 
     When every group holds at most ``settle_rows`` values, one window per
-    group ranks them directly (lazy plan, no state). Otherwise the bucket
-    rounds narrow each rank's window first."""
+    group ranks them directly (lazy plan, no state). Otherwise rounds narrow
+    each rank's prefix first, seven at most."""
     keys = list(keys)
     settle_rows = _settle.get() if settle_rows is None else settle_rows
     if not keys:  # one global group: a constant key keeps the joins equi-joins
-        return select_ranks(values.withColumn("_g", F.lit(0)), ["_g"], ranks.withColumn("_g", F.lit(0)),
-                            buckets, settle_rows).drop("_g")
+        return select_ranks(values.withColumn("_g", F.lit(0)), ["_g"], ranks.withColumn("_g", F.lit(0)), settle_rows).drop("_g")
     n = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     largest = n.agg(F.max("_cnt")).first()[0] or 0
     if largest <= settle_rows:
@@ -79,50 +98,43 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
         return ranked.join(ranks.select(*keys, "_r"), keys + ["_r"], "left_semi").select(
             *keys, "_r", F.col("_v").alias("_val"))
 
-    values = keep(values)
-    state = (ranks.join(n, keys)
-             .select(*keys, "_r", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
-                     F.lit(0).cast("long").alias("_below"), "_cnt"))
-    state = cut_lineage(state)
-
-    while True:  # a window's ends are values in its first and last bucket, so every round narrows it
-        open_ = state.where((F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > settle_rows))
-        # ranks of a group that share a window share its histogram
-        windows = open_.select(*keys, "_lo", "_hi", "_below").distinct()
+    keyed = values.withColumn("_k", sortable(F.col("_v")))
+    # one prefix for all values at first
+    state = cut_lineage(ranks.join(n, keys).select(*keys, "_r", F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_below"), "_cnt",
+                                                   F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"), F.lit(64).alias("_shift")))
+    for before, shift in zip([64, *SHIFTS], SHIFTS):
+        open_ = state.where((F.col("_cnt") > settle_rows) & (F.col("_lo").isNull() | (F.col("_lo") < F.col("_hi"))))
+        # ranks of a group that share a prefix share its histogram
+        windows = open_.select(*keys, "_p", "_below").distinct()
         n_open = windows.count()
         if n_open == 0:
             break
         probe = F.broadcast(windows) if n_open <= BROADCAST_STATE_ROWS else windows
-        # halves, so that the width of a window over all doubles is finite
-        part = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        bucket = F.least(F.floor(part * buckets), F.lit(buckets - 1)).cast("int")
-        hist = (values.join(probe, keys)
-                .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                .groupBy(*keys, "_lo", "_below", bucket.alias("_b"))
+        prefix = F.lit(0).cast("long") if before == 64 else F.shiftright("_k", before)
+        hist = (keyed.withColumn("_p", prefix).join(probe, keys + ["_p"])
+                .groupBy(*keys, "_p", "_below", F.shiftright("_k", shift).alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
-        w = Window.partitionBy(*keys, "_lo").orderBy("_b")
+        w = Window.partitionBy(*keys, "_p").orderBy("_b")
         hist = (hist.withColumn("_cum", F.sum("_bc").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                 .withColumn("_start", F.col("_below") + F.col("_cum") - F.col("_bc")))
-        chosen = (open_.select(*keys, "_r", "_lo").join(hist.drop("_below"), keys + ["_lo"])
+        chosen = (open_.select(*keys, "_r", "_p").join(hist.drop("_below"), keys + ["_p"])
                   .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_bc")))
-                  .select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                          F.col("_start").alias("_below"), F.col("_bc").alias("_cnt")))
-        settled = state.where(~((F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > settle_rows)))
-        state = cut_lineage(settled.unionByName(chosen))
+                  .select(*keys, "_r", F.col("_b").alias("_p"), F.col("_start").alias("_below"), F.col("_bc").alias("_cnt"),
+                          F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"), F.lit(shift).alias("_shift")))
+        state = cut_lineage(state.join(open_.select(*keys, "_r"), keys + ["_r"], "left_anti").unionByName(chosen))
 
-    # Windows with one distinct value are settled; the rest hold at most
+    # Buckets of one distinct value are settled; the rest hold at most
     # ``settle_rows`` values each and are ranked directly.
-    single = state.where(F.col("_lo") == F.col("_hi")).select(*keys, "_r", F.col("_lo").alias("_val"))
-    few = state.where(F.col("_lo") < F.col("_hi"))
+    one = F.col("_lo").isNotNull() & (F.col("_lo") == F.col("_hi"))
+    single = state.where(one).select(*keys, "_r", F.col("_lo").alias("_val"))
+    whole = F.col("_lo").isNull()
+    inside = whole | F.col("_v").between(F.col("_lo"), F.col("_hi"))
     rw = Window.partitionBy(*keys, "_r").orderBy("_v")
-    ranked = (values.join(few, keys)
-              .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    ranked = (values.join(state.where(~one), keys).where(inside)
               .withColumn("_rn", F.row_number().over(rw) - 1 + F.col("_below"))
               .where(F.col("_rn") == F.col("_r"))
               .select(*keys, "_r", F.col("_v").alias("_val")))
-    solved = cut_lineage(single.unionByName(ranked))
-    values.unpersist()
-    return solved
+    return cut_lineage(single.unionByName(ranked))
 
 
 def kth_smallest(df: DataFrame, value: str, rank: F.Column, by: Sequence[str] = (),
@@ -131,12 +143,11 @@ def kth_smallest(df: DataFrame, value: str, rank: F.Column, by: Sequence[str] =
     size ``_n``, e.g. ``F.ceil(F.col("_n") * 0.15) - 1``). Groups whose rank
     falls outside 0.._n-1 get null. Result: (by..., name)."""
     by = list(by)
-    values = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    stats = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
-                                    F.max("_v").alias("_max"))
+    values = stored(df.select(*by, (F.col(value).cast("double") + 0.0).alias("_v")).where("_v is not null and not isnan(_v)"), "quantile-input")
+    stats = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     ranks = stats.withColumn("_r", rank.cast("long"))
     ok = ranks.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_n")))
-    solved = select_ranks(values, by, ok.select(*by, "_r", "_min", "_max"))
+    solved = select_ranks(values, by, ok.select(*by, "_r"))
     if by:
         return stats.select(*by).join(solved.select(*by, F.col("_val").alias(name)), by, "left")
     return solved.agg(F.max(F.col("_val")).alias(name))
@@ -144,8 +155,7 @@ def kth_smallest(df: DataFrame, value: str, rank: F.Column, by: Sequence[str] =
 
 def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
                       by: Sequence[str] = (), method: str = "exact",
-                      accuracy: int = 10_000, buckets: int = BUCKETS,
-                      settle_rows: int | None = None) -> DataFrame:
+                      accuracy: int = 10_000, settle_rows: int | None = None) -> DataFrame:
     """Quantiles per group. ``spec`` maps output name -> (column, p).
 
     Returns one row per group (``by`` columns + one column per spec entry).
@@ -161,10 +171,11 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
 
     spark = df.sparkSession
     cols = sorted({c for c, _ in spec.values()})
+    # the wide columns are written once; every round reads them, in rows only while it counts
+    df = stored(df.select(*dict.fromkeys([*by, *cols])), "quantile-input")
     values = _long_values(df, by, cols)
     keys = by + ["_c"]
-    stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     wanted = spark.createDataFrame([(name, c, float(p)) for name, (c, p) in spec.items()],
                                    "_name string, _c string, _p double")
     # spec is a literal list of a few entries: broadcast is size-bounded.
@@ -172,16 +183,17 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
                .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
                .withColumn("_r_lo", F.floor("_pos"))
                .withColumn("_r_hi", F.ceil("_pos")))
-    ranks = (targets.select(*keys, F.col("_r_lo").alias("_r"), "_min", "_max")
-             .unionByName(targets.select(*keys, F.col("_r_hi").alias("_r"), "_min", "_max"))
+    ranks = (targets.select(*keys, F.col("_r_lo").alias("_r"))
+             .unionByName(targets.select(*keys, F.col("_r_hi").alias("_r")))
              .dropDuplicates(keys + ["_r"]))
-    solved = select_ranks(values, keys, ranks, buckets, settle_rows)
+    solved = select_ranks(values, keys, ranks, settle_rows)
 
     lo = solved.select(*keys, F.col("_r").alias("_r_lo"), F.col("_val").alias("_v_lo"))
     hi = solved.select(*keys, F.col("_r").alias("_r_hi"), F.col("_val").alias("_v_hi"))
     q = (targets.join(lo, keys + ["_r_lo"]).join(hi, keys + ["_r_hi"])
          .select(*by, "_name",
-                 (F.col("_v_lo") + (F.col("_pos") - F.col("_r_lo")) * (F.col("_v_hi") - F.col("_v_lo")))
+                 F.when(F.col("_v_lo") == F.col("_v_hi"), F.col("_v_lo"))
+                 .otherwise(F.col("_v_lo") + (F.col("_pos") - F.col("_r_lo")) * (F.col("_v_hi") - F.col("_v_lo")))
                  .alias("_q")))
     out = q.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name)
                                for name in spec])

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .quantiles import grouped_quantiles, kth_smallest, select_ranks
 
 TWO_52 = float(2 ** 52)
@@ -57,12 +57,12 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.15, va
     k_test = F.ceil(F.col("_n") * test)
     k_val = F.ceil((F.col("_n") - F.ceil(F.col("_n") * test)) * val_of_rest)
     # both cut-offs of every class in one selection
-    values = h.select(label, F.col("_h").cast("double").alias("_v"))
-    stats = values.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    values = stored(h.select(label, F.col("_h").cast("double").alias("_v")), "split-hashes")
+    stats = values.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     wanted = stats.select("*", F.explode(F.array(F.struct(F.lit("_c1").alias("_name"), (k_test - 1).cast("long").alias("_r")),
                                                  F.struct(F.lit("_c2").alias("_name"), (k_test + k_val - 1).cast("long").alias("_r")))).alias("_w"))
-    wanted = wanted.select(label, "_min", "_max", "_w._name", "_w._r").where(F.col("_r") >= 0)
-    solved = select_ranks(values, [label], wanted.select(label, "_r", "_min", "_max").distinct())
+    wanted = wanted.select(label, "_w._name", "_w._r").where(F.col("_r") >= 0)
+    solved = select_ranks(values, [label], wanted.select(label, "_r").distinct())
     cuts = (wanted.select(label, "_name", "_r").join(solved, [label, "_r"]).groupBy(label)
             .agg(F.max(F.when(F.col("_name") == "_c1", F.col("_val"))).alias("_c1"), F.max(F.when(F.col("_name") == "_c2", F.col("_val"))).alias("_c2")))
     cuts = cut_lineage(stats.select(label).join(cuts, label, "left"))
@@ -112,10 +112,8 @@ def stratified_sample(df: DataFrame, label: str, key: str, max_rows: int | None,
 
 def kth_smallest_by_alloc(hk: DataFrame, label: str) -> DataFrame:
     """Per class, the hash at rank ``_k - 1`` (``_k`` carried on each row)."""
-    values = hk.select(label, F.col("_h").cast("double").alias("_v"), "_k")
-    stats = values.groupBy(label).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-                                      F.first("_k").alias("_k"))
-    ranks = stats.where(F.col("_k") > 0).select(label, (F.col("_k") - 1).cast("long").alias("_r"), "_min", "_max")
+    values = stored(hk.select(label, F.col("_h").cast("double").alias("_v"), "_k"), "sample-hashes")
+    ranks = values.groupBy(label).agg(F.first("_k").alias("_k")).where(F.col("_k") > 0).select(label, (F.col("_k") - 1).cast("long").alias("_r"))
     solved = select_ranks(values.select(label, "_v"), [label], ranks)
     return solved.select(label, F.col("_val").alias("_cut"))
 

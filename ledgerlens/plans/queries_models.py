@@ -6,8 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as H
+from ..operators.density import DENSITY_EPS, DENSITY_LEAST, DENSITY_POINTS, best_setting, density_labels, density_settings
+from ..operators.silhouette import silhouette
+from ..operators.ward import fit_ward
 from .catalog import V, r6, register
 
+#: The reference's limit of the Euclidean silhouette.
+SILHOUETTE_MIN = 0.10
+
 # Four labelings of the same vectors, compared as if they were four models.
 _LABELINGS_SQL = """
 lab AS (SELECT vec_id, features, 'label10' model, cluster FROM v
@@ -24,7 +30,7 @@ def labelings(spark, sf):
             .unionByName(v.select("vec_id", "features", F.lit("single").alias("model"), F.lit(0).alias("cluster"))))
 
 
-_QUALITY_SQL = _LABELINGS_SQL + """,
+_MEASURES_SQL = """,
 sizes AS (SELECT model, cluster, count(*) n FROM lab GROUP BY 1, 2),
 pairs AS (SELECT a.model, a.vec_id i, a.cluster ci, b.cluster cj, avg(pow(list_distance(a.features, b.features), 2)) d
           FROM lab a JOIN lab b ON a.model = b.model AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
@@ -56,6 +62,83 @@ q AS (SELECT kk.model, CAST(kk.k AS INT) n_clusters,
       FROM kk JOIN sil USING (model) JOIN bw USING (model) JOIN ww USING (model))"""
 
 
+_QUALITY_SQL = _LABELINGS_SQL + _MEASURES_SQL
+
+_SILHOUETTE_SQL = """,
+epairs AS (SELECT a.model, a.vec_id i, a.cluster ci, b.cluster cj, avg(list_distance(a.features, b.features)) d
+           FROM lab a JOIN lab b ON a.model = b.model AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
+ept AS (SELECT model, i, ci, max(CASE WHEN cj = ci THEN d END) a, min(CASE WHEN cj <> ci THEN d END) b FROM epairs GROUP BY 1, 2, 3),
+esil AS (SELECT l.model, CASE WHEN count(DISTINCT l.cluster) <= 1 THEN -1.0
+                ELSE avg(CASE WHEN s.n <= 1 THEN 0.0 ELSE (ept.b - ept.a) / greatest(ept.a, ept.b) END) END silhouette
+         FROM lab l JOIN (SELECT model, cluster, count(*) n FROM lab GROUP BY 1, 2) s ON l.model = s.model AND l.cluster = s.cluster
+         LEFT JOIN ept ON ept.model = l.model AND ept.i = l.vec_id GROUP BY 1)"""
+
+
+@register("cluster_silhouette", "WITH " + _LABELINGS_SQL + _SILHOUETTE_SQL + """
+SELECT model, round(silhouette, 6) silhouette, 0.0::DOUBLE silhouette_error, silhouette >= 0.10 passed FROM esil""", ("v",))
+def q_cluster_silhouette(spark, sf):
+    """H6 + I1: the Euclidean silhouette of four labelings against the limit of
+    0.10. Clusters of up to 1,000 vectors are whole, and the error is 0."""
+    s = silhouette(labelings(spark, sf), "vec_id", by=["model"])
+    return s.select("model", r6("silhouette").alias("silhouette"), "silhouette_error", (F.col("silhouette") >= SILHOUETTE_MIN).alias("passed"))
+
+
+# Fixed values of the query: two components of the vectors, by this factor, are the axes.
+AXES_FACTOR = 40.0
+
+_DENSITY_SQL = """
+pts AS (SELECT vec_id, features, features[1] * 40.0 x, features[2] * 40.0 y FROM v),
+eps_ AS (SELECT unnest([{e}])::DOUBLE eps), min_ AS (SELECT unnest([{m}])::INT m),
+near_ AS MATERIALIZED (SELECT eps, a.vec_id i, b.vec_id j FROM pts a, pts b, eps_
+         WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= eps * eps),
+core_ AS MATERIALIZED (SELECT eps, m, i FROM (SELECT eps, i, count(*) n FROM near_ GROUP BY 1, 2), min_ WHERE n >= m),
+edge_ AS MATERIALIZED (SELECT n.eps, a.m, n.i, n.j FROM near_ n JOIN core_ a ON a.eps = n.eps AND a.i = n.i
+          JOIN core_ b ON b.eps = n.eps AND b.m = a.m AND b.i = n.j),
+walk(k, eps, m, i, c) AS (SELECT 0, eps, m, i, i FROM core_
+  UNION ALL SELECT w.k + 1, e.eps, e.m, e.i, min(w.c) FROM walk w JOIN edge_ e ON e.eps = w.eps AND e.m = w.m AND e.j = w.i
+            WHERE w.k < 100 GROUP BY w.k, e.eps, e.m, e.i),
+comp AS MATERIALIZED (SELECT eps, m, i, c FROM walk WHERE k = 100),
+touch AS (SELECT n.eps, c.m, n.i, min(c.c) c FROM near_ n JOIN comp c ON c.eps = n.eps AND c.i = n.j GROUP BY 1, 2, 3),
+lbl AS MATERIALIZED (SELECT e.eps, q.m, p.vec_id, p.features, coalesce(c.c, t.c) cluster FROM pts p, eps_ e, min_ q
+        LEFT JOIN comp c ON c.eps = e.eps AND c.m = q.m AND c.i = p.vec_id LEFT JOIN touch t ON t.eps = e.eps AND t.m = q.m AND t.i = p.vec_id),
+cnt AS (SELECT eps, m, count(DISTINCT cluster) n_clusters, count(cluster) clustered, count(*) - count(cluster) noise FROM lbl GROUP BY 1, 2),
+stat AS MATERIALIZED (SELECT *, CASE WHEN n_clusters < 2 THEN 'rejected_too_few_clusters' WHEN clustered < 50 THEN 'rejected_too_much_noise'
+                      ELSE 'evaluated' END status FROM cnt),
+lab AS MATERIALIZED (SELECT vec_id, features, concat(l.eps, '|', l.m) model, cluster FROM lbl l JOIN stat s ON s.eps = l.eps AND s.m = l.m
+        WHERE status = 'evaluated' AND cluster IS NOT NULL)""".format(e=", ".join(map(str, DENSITY_EPS)), m=", ".join(map(str, DENSITY_POINTS))) + _MEASURES_SQL
+
+
+def vector_density(spark, sf):
+    """The settings of density clustering over the vectors."""
+    def make():
+        v = stored(V(spark, sf).select("vec_id", "features"), "vectors")
+        axes = F.array(F.col("features")[0] * AXES_FACTOR, F.col("features")[1] * AXES_FACTOR)
+        labels = stored(density_labels(v.withColumn("axes", axes), "vec_id", "axes", 2), "density-labels")
+        return stored(density_settings(labels, v, "vec_id"), "density-settings")
+    return _once(spark, sf, "vector-density", make)
+
+
+@register("density_settings", "WITH RECURSIVE " + _DENSITY_SQL + """
+SELECT s.eps, s.m min_points, CAST(s.n_clusters AS INT) n_clusters, s.noise, round(s.noise / (s.noise + s.clustered), 6) noise_ratio, s.status,
+       round(coalesce(q.silhouette_sq, -1), 6) silhouette_sq, round(coalesce(q.davies_bouldin, 'inf'::DOUBLE), 6) davies_bouldin,
+       round(coalesce(q.calinski_harabasz, 0), 6) calinski_harabasz
+FROM stat s LEFT JOIN q ON q.model = concat(s.eps, '|', s.m)""", ("v",))
+def q_density_settings(spark, sf):
+    """H4: 28 settings of density clustering on two axes, scored on the
+    vectors that are not noise; rejected ones with -1 / inf / 0."""
+    d = vector_density(spark, sf)
+    return d.select("eps", "min_points", "n_clusters", "noise", r6("noise_ratio").alias("noise_ratio"), "status",
+                    *[r6(c).alias(c) for c in ("silhouette_sq", "davies_bouldin", "calinski_harabasz")])
+
+
+@register("density_best", "WITH RECURSIVE " + _DENSITY_SQL + """
+SELECT s.eps, s.m min_points, CAST(s.n_clusters AS INT) n_clusters, round(q.silhouette_sq - 0.05 * q.davies_bouldin, 6) selection_score
+FROM stat s JOIN q ON q.model = concat(s.eps, '|', s.m) ORDER BY q.silhouette_sq - 0.05 * q.davies_bouldin DESC, s.eps, s.m LIMIT 1""", ("v",))
+def q_density_best(spark, sf):
+    """H9's separate density best, and D26's best one of the evaluated."""
+    return best_setting(vector_density(spark, sf)).select("eps", "min_points", "n_clusters", r6("selection_score").alias("selection_score"))
+
+
 @register("cluster_quality", "WITH " + _QUALITY_SQL + """
 SELECT model, n_clusters, round(silhouette_sq, 6) silhouette_sq, round(davies_bouldin, 6) davies_bouldin,
        round(calinski_harabasz, 6) calinski_harabasz FROM q""", ("v",))
@@ -91,7 +174,7 @@ from ..operators import modeling as G  # noqa: E402
 from ..operators import sampling as E  # noqa: E402
 from ..operators.prep import Preparer, categorical_columns, numeric_columns  # noqa: E402
 from ..session import shared_path, stored  # noqa: E402
-from .catalog import S, T  # noqa: E402
+from .catalog import REGISTRY, S, T  # noqa: E402
 from .queries_scoring import HASH_SQL  # noqa: E402
 
 _DONE: dict[tuple, object] = {}
@@ -231,20 +314,24 @@ def q_fraud_row_contributions(spark, sf):
 SELECT event_id, isFraud, true probability_in_range, true tier_matches FROM t""", ("t",))
 def q_transaction_scoring(spark, sf):
     """G13 + A8: every transaction scored by the stored logistic model, saved
-    under its name and loaded again (the streaming form is
-    ``streaming.alerts.score_stream``), with F9 error type and F14 risk tier."""
+    under its name and loaded again, with F9 error type and F14 risk tier: the
+    probabilities' range and the tiers are checked. The rows themselves are
+    ``transaction_scores``, the streaming form ``transaction_scoring_stream``."""
+    scored = _scored_transactions(spark, sf)
+    alert = F.col("prediction") == 1
+    return scored.select("event_id", "isFraud", F.col("proba").between(0.0, 1.0).alias("probability_in_range"),
+                         ((F.col("risk_tier") == "alert") == alert).alias("tier_matches"))
+
+
+def _scored_transactions(spark, sf):
     def make():
         folder = shared_path(spark, "models", spark.sparkContext.applicationId + "-" + str(abs(hash(sf))))
         _trained(spark, sf, "logistic_regression")[0].save(f"{folder}/logistic_regression")
         return folder
     model = G.load_model(_once(spark, sf, "saved", make), "logistic_regression")
     scored = model.score(G.fraud_design(T(spark, sf)), ["event_id", "isFraud"])
-    scored = (scored.withColumn("error_type", M.error_type("proba", "isFraud", model.threshold))
-              .withColumn("risk_tier", M.risk_tier("proba", model.threshold)))
-    alert = F.col("proba") >= model.threshold
-    tier_ok = (F.col("risk_tier") == "alert") == alert
-    return scored.select("event_id", "isFraud", F.col("proba").between(0.0, 1.0).alias("probability_in_range"),
-                         (tier_ok & ((F.col("prediction") == 1) == alert)).alias("tier_matches"))
+    return (scored.withColumn("error_type", M.error_type("proba", "isFraud", model.threshold))
+            .withColumn("risk_tier", M.risk_tier("proba", model.threshold)))
 
 
 # Stored coefficients of a small linear model, and its inputs.
@@ -294,11 +381,13 @@ def segment_comparison(spark, sf):
 
     def make():
         vec = _segments(spark, sf)[2]
-        fits = {"kmeans": lambda k: H.fit_kmeans(vec, k, 20), "gmm": lambda k: H.fit_gmm(vec, k), "agglomerative": lambda k: H.fit_hierarchical(vec, k)}
+        ward = fit_ward(vec)  # one hierarchy, cut for every k
 
         def labelled(name):
             kind, k = name.rsplit("_k", 1)
-            return fits[kind](int(k)).transform(vec).select(F.lit(name).alias("model"), "ID", vector_to_array("features").alias("features"), "cluster")
+            k = int(k)
+            got = ward.transform(vec, k) if kind == "agglomerative" else {"kmeans": lambda: H.fit_kmeans(vec, k, 20), "gmm": lambda: H.fit_gmm(vec, k)}[kind]().transform(vec)
+            return got.select(F.lit(name).alias("model"), "ID", vector_to_array("features").alias("features"), "cluster")
 
         with ThreadPoolExecutor(max_workers=4) as pool:
             parts = list(pool.map(labelled, SEGMENT_MODELS))
@@ -306,9 +395,8 @@ def segment_comparison(spark, sf):
         for p_ in parts[1:]:
             every = every.unionByName(p_)
         labels = stored(every, "segment-labels")
-        metrics = H.cluster_metrics(labels, "features", "cluster", by=["model"])
-        density = H.density_grid(vec, "ID")
-        return labels, stored(H.select_model(metrics, "model"), "segment-metrics"), density
+        metrics = H.cluster_metrics(labels, "features", "cluster", by=["model"]).join(silhouette(labels, "ID", by=["model"]), "model")
+        return labels, stored(H.select_model(metrics, "model"), "segment-metrics")
 
     return _once(spark, sf, "segment-comparison", make)
 
@@ -317,47 +405,142 @@ def segment_comparison(spark, sf):
 SELECT m model, CAST(k AS INT) clusters_at_most, (SELECT count(*) FROM s) "rows", true metrics_in_range
 FROM (VALUES {v}) f(m, k)""".format(v=", ".join(f"('{m}', {m.rsplit('_k', 1)[1]})" for m in SEGMENT_MODELS)), ("s",))
 def q_clustering_comparison(spark, sf):
-    """H1-H3 + H6-H9: k-means (20 restarts), Gaussian mixture and bisecting
-    k-means for k = 3..6, scored and ranked; the full metrics are
-    ``segment_comparison(spark, sf)[1]``."""
+    """H1-H3 + H6-H9: k-means (20 restarts), Gaussian mixture and bottom-up
+    Ward merging for k = 3..6, scored and ranked; the numbers are
+    ``clustering_metrics``'s."""
     from ..operators import cleaning as B
-    labels, m, _ = segment_comparison(spark, sf)
+    labels, m = segment_comparison(spark, sf)
     n = labels.groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
     k = B.parse_model_key("model")[1]
     ok = ((F.col("n_clusters") <= k) & F.col("silhouette_sq").between(-1.0, 1.0) & (F.col("davies_bouldin") >= 0) & (F.col("calinski_harabasz") >= 0))
     return m.join(n, "model").select("model", k.alias("clusters_at_most"), "rows", ok.alias("metrics_in_range"))
 
 
+@register("clustering_metrics")
+def q_clustering_metrics(spark, sf):
+    """H1-H3 + H6-H9: the measures and the selection score of every model of
+    ``clustering_comparison``; one is selected."""
+    return segment_comparison(spark, sf)[1]
+
+
+def segment_density(spark, sf):
+    """(labels of every setting, the settings' rows) on two principal axes."""
+    from pyspark.ml.functions import vector_to_array
+
+    def make():
+        vec = _segments(spark, sf)[2]
+        proj = H.pca_projection(vec, 2, keep=["ID"])[0].select("ID", F.array("PC1", "PC2").alias("axes"))
+        labels = stored(density_labels(proj, "ID", "axes", 2), "density-labels")
+        return labels, stored(density_settings(labels, vec.select("ID", vector_to_array("features").alias("features")), "ID"), "density-settings")
+    return _once(spark, sf, "segment-density", make)
+
+
 @register("density_clustering", """
 SELECT CAST(e AS DOUBLE) eps, CAST(p AS INT) min_points, (SELECT count(*) FROM s) "rows", true counts_agree, true status_agrees
-FROM (VALUES {e}) x(e), (VALUES {p}) y(p)""".format(e=", ".join(f"({x})" for x in H.DENSITY_EPS), p=", ".join(f"({x})" for x in H.DENSITY_POINTS)), ("s",))
+FROM (VALUES {e}) x(e), (VALUES {p}) y(p)""".format(e=", ".join(f"({x})" for x in DENSITY_EPS), p=", ".join(f"({x})" for x in DENSITY_POINTS)), ("s",))
 def q_density_clustering(spark, sf):
-    """H4, re-aimed: 28 settings of grid density clustering on two principal
-    axes, with noise and reject status."""
-    d = H.density_grid(_segments(spark, sf)[2], "ID")
-    agrees = (F.col("status") == "evaluated") == ((F.col("n_clusters") >= 2) & (F.col("clustered") >= H.DENSITY_LEAST))
-    return d.select("eps", "min_points", (F.col("noise") + F.col("clustered")).alias("rows"),
-                    (r6("noise_ratio") == r6(F.col("noise") / (F.col("noise") + F.col("clustered")))).alias("counts_agree"), agrees.alias("status_agrees"))
+    """H4: 28 settings of density clustering of the customers on two principal
+    axes; the counts and the status are checked against the labels. The
+    settings' own rows are ``segment_density_settings``."""
+    labels, d = segment_density(spark, sf)
+    of = labels.groupBy("eps", "min_points").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("cluster").isNull()).alias("_noise"),
+                                                 F.size(F.collect_set("cluster")).alias("_clusters"))
+    d = d.join(of, ["eps", "min_points"])
+    agrees = (F.col("status") == "evaluated") == ((F.col("_clusters") >= 2) & (F.col("rows") - F.col("_noise") >= DENSITY_LEAST))
+    return d.select("eps", "min_points", "rows", (r6("noise_ratio") == r6(F.col("_noise") / F.col("rows"))).alias("counts_agree"), agrees.alias("status_agrees"))
+
+
+@register("segment_density_settings")
+def q_segment_density_settings(spark, sf):
+    """H4: clusters, noise ratio, status and measures of every setting over the
+    customers, and whether it is the best (H9)."""
+    d = segment_density(spark, sf)[1]
+    best = best_setting(d).select("eps", "min_points", F.lit(True).alias("is_best"))
+    return d.join(best, ["eps", "min_points"], "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))
+
+
+def _segment_model(spark, sf):
+    """(raw customers, the model as stored and loaded)."""
+    def make():
+        raw = stored(S(spark, sf), "raw-customers")
+        path = shared_path(spark, "models", f"segments-{spark.sparkContext.applicationId}-{abs(hash(sf))}")
+        G.SegmentModel.fit(raw, 4).save(path)
+        return raw, path
+    raw, path = _once(spark, sf, "segment-model", make)
+    return raw, G.SegmentModel.load(path)
 
 
 @register("customer_segments", "WITH n AS (SELECT count(*) c FROM s) SELECT CAST(4 AS BIGINT) segments, CAST(c AS BIGINT) customers, true named FROM n", ("s",))
 def q_customer_segments(spark, sf):
-    """G14 + D17 + B12: customers assigned by a stored k-means (k = 4), with
-    the training parameters stored beside it, and the segment profiles."""
-    from pyspark.ml.clustering import KMeansModel
+    """G14 + D17 + B12: raw customers assigned by a stored k-means (k = 4) and
+    the training parameters stored with it: sizes of the named segments. The
+    profiles are ``segment_profiles``."""
+    p = q_segment_profiles(spark, sf)
+    return p.agg(F.count(F.lit(1)).alias("segments"), F.sum("cluster_size").alias("customers"), (F.count("segment") == F.count(F.lit(1))).alias("named"))
 
+
+@register("segment_profiles")
+def q_segment_profiles(spark, sf):
+    """G14 + D17 + B12: every segment's means, size, name and action."""
     from ..operators import cleaning as B
     from ..operators import stats as D
-    c, prep, vec = _segments(spark, sf)
+    raw, model = _segment_model(spark, sf)
+    return B.attach_segments(D.profile_clusters(model.features(raw).join(model.score(raw), "ID")))
 
-    def make():
-        path = shared_path(spark, "models", f"segments-{spark.sparkContext.applicationId}-{abs(hash(sf))}")
-        H.fit_kmeans(vec, 4, 20).write().overwrite().save(path)
-        return path
-    model = KMeansModel.load(_once(spark, sf, "segment-model", make))
-    labels = model.transform(prep.to_vector(prep.aligned(c, ["ID"]), ["ID"])).select("ID", "cluster")
-    prof = B.attach_segments(D.profile_clusters(c.join(labels, "ID")))
-    return prof.agg(F.count(F.lit(1)).alias("segments"), F.sum("cluster_size").alias("customers"), (F.count("segment") == F.count(F.lit(1))).alias("named"))
+
+@register("segment_assignments")
+def q_segment_assignments(spark, sf):
+    """The segment of each customer. Rows are scored one by one: a part of
+    the customers gets the segments that it has among all."""
+    raw, model = _segment_model(spark, sf)
+    return model.score(raw)
+
+
+@register("kmeans_inertia")
+def q_kmeans_inertia(spark, sf):
+    """H5: k-means inertia for k = 2..10, 20 restarts each."""
+    return _once(spark, sf, "elbow", lambda: H.elbow(_segments(spark, sf)[2], range(2, 11)))
+
+
+@register("customer_axes")
+def q_customer_axes(spark, sf):
+    """The two principal components of every customer."""
+    return H.pca_projection(_segments(spark, sf)[2], 2, keep=["ID"])[0]
+
+
+@register("fraud_model_metrics")
+def q_fraud_model_metrics(spark, sf):
+    """G3-G9 + F13: the metrics of every model family on the test rows."""
+    return fraud_comparison(spark, sf)[1]
+
+
+@register("transaction_scores")
+def q_transaction_scores(spark, sf):
+    """G13 + F9 + F14: probability, alert flag, error type and risk tier of
+    every transaction, by the stored logistic model."""
+    return _scored_transactions(spark, sf)
+
+
+@register("transaction_scoring_stream", REGISTRY["stored_parameter_scoring"][1])
+def q_transaction_scoring_stream(spark, sf):
+    """G13 as a stream: transactions that arrive as files are scored by the
+    stored parameters and coefficients, once each; the rows are those of the
+    batch form."""
+    import uuid
+
+    from ..streaming.alerts import score_stream
+    rows = T(spark, sf).select("event_id", "amount", "step", "oldbalanceOrg", "type")
+    source = shared_path(spark, "streams", uuid.uuid4().hex)
+    rows.repartition(8, "event_id").write.parquet(source)  # files as they would arrive
+    x = G.preprocess_fraud(spark.read.schema(rows.schema).parquet(source), unique="event_id")
+    prep = Preparer.fit(x, ["amount", "step", "oldbalanceOrg"], ["type"])
+
+    def scorer(df):
+        df = G.preprocess_fraud(df, unique="event_id")
+        wide = prep.transform(prep.aligned(df, ["event_id"]), ["event_id"])
+        return wide.select("event_id", r6(G.linear_probability(prep, STORED_COEFFICIENTS, STORED_INTERCEPT)).alias("proba"))
+
+    return score_stream(spark, source, rows.schema, scorer, uuid.uuid4().hex, files=4)
 
 
 @register("kmeans_elbow", "SELECT CAST(k AS INT) k, true inertia_positive FROM range(2, 11) r(k)")

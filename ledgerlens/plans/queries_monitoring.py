@@ -13,7 +13,8 @@ from ..sources.files import read_metrics, write_metrics
 from ..sources.tables import read_table
 from .catalog import P, T, X, r6, register
 from .queries_customers import _SEG_SQL, engagement_segments
-from .queries_models import _QUALITY_SQL, labelings
+from ..operators.silhouette import silhouette
+from .queries_models import _QUALITY_SQL, _SILHOUETTE_SQL, SILHOUETTE_MIN, labelings
 from .queries_scoring import _BEST_SQL, _CUM, HASH_SQL
 from ..operators import stats as D
 
@@ -22,19 +23,23 @@ SILHOUETTE_SQ_MIN = 0.20
 REF_STEPS = 360  # reference window: step < 360; current window: the rest
 
 
-@register("health_gates", "WITH " + _CUM + "," + _QUALITY_SQL + """
+@register("health_gates", "WITH " + _CUM + "," + _QUALITY_SQL + _SILHOUETTE_SQL + """
 SELECT g.check, g.minimum, round(g.value, 6) value, coalesce(g.value >= g.minimum, false) passed FROM (
   SELECT 'fraud_pr_auc_min' "check", 0.9::DOUBLE minimum, (SELECT pr_auc FROM rk) value
+  UNION ALL SELECT 'cluster_silhouette_min', 0.1::DOUBLE, (SELECT silhouette FROM esil WHERE model = 'label10')
   UNION ALL SELECT 'cluster_silhouette_sq_min', 0.2::DOUBLE, (SELECT silhouette_sq FROM q WHERE model = 'label10')) g""",
           ("p", "v"))
 def q_health_gates(spark, sf):
-    """PR-AUC >= 0.90, and the squared-distance silhouette against a limit
-    of its own: where the Euclidean one is (b - a) / b = 0.10, the squared one
+    """PR-AUC >= 0.90, the Euclidean silhouette >= 0.10, and the
+    squared-distance one against a limit of its own: where the Euclidean one is (b - a) / b = 0.10, the squared one
     is 1 - 0.9 ** 2 = 0.19; the gate takes 0.2."""
     pr = M.ranking_metrics(P(spark, sf)).select(F.lit("fraud_pr_auc_min").alias("check"), F.col("pr_auc").alias("value"))
-    cq = H.cluster_metrics(labelings(spark, sf), by=["model"]).where(F.col("model") == "label10")
+    one = labelings(spark, sf).where(F.col("model") == "label10")
+    cq = H.cluster_metrics(one, by=["model"])
+    euclid = silhouette(one, "vec_id", by=["model"]).select(F.lit("cluster_silhouette_min").alias("check"), F.col("silhouette").alias("value"))
     sil = cq.select(F.lit("cluster_silhouette_sq_min").alias("check"), F.col("silhouette_sq").alias("value"))
-    g = I.metric_gates(pr.unionByName(sil), {"fraud_pr_auc_min": 0.90, "cluster_silhouette_sq_min": SILHOUETTE_SQ_MIN})
+    g = I.metric_gates(pr.unionByName(sil).unionByName(euclid),
+                       {"fraud_pr_auc_min": 0.90, "cluster_silhouette_min": SILHOUETTE_MIN, "cluster_silhouette_sq_min": SILHOUETTE_SQ_MIN})
     return g.select("check", "minimum", r6("value").alias("value"), "passed")
 
 
@@ -233,3 +238,17 @@ def q_alerts_per_day_stream(spark, sf):
     from ..streaming.alerts import daily_alert_stream
     run = f"daily_alerts_{hashlib.md5(sf.encode()).hexdigest()[:8]}_{uuid.uuid4().hex[:8]}"
     return daily_alert_stream(spark, sf, 0.67, 60, run, pattern="events.parquet")
+
+
+@register("alerts_closed_days_stream", """
+WITH d AS (SELECT date_trunc('day', ts) "day", floor(least(CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE), 499.99) / 5) / 100 >= 0.67 alert
+           FROM (SELECT DISTINCT event_id, ts, value FROM events))
+SELECT "day", count_if(alert) alerts, count(*) "rows", count_if(alert) > 60 over_capacity FROM d
+WHERE "day" + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1""")
+def q_alerts_closed_days_stream(spark, sf):
+    """I6 as an append-mode stream: days that the watermark, a day behind the
+    last event, has closed, with each event counted once."""
+    import uuid
+
+    from ..streaming.alerts import closed_day_stream
+    return closed_day_stream(spark, sf, 0.67, 60, f"closed_days_{uuid.uuid4().hex}", pattern="events.parquet")

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import binary_metrics as M
 from ledgerlens.operators import cleaning as B
-from ledgerlens.operators import clustering as H
 from ledgerlens.operators import monitoring as I
 from ledgerlens.operators import prep as G
 from ledgerlens.operators import stats as D
+from ledgerlens.operators.density import density_labels, density_settings
 from ledgerlens.sources import files as A
 
 
@@ -58,13 +58,13 @@ def test_constant_columns(spark):
 
 
 def test_density_cells(spark):
-    from pyspark.ml.linalg import Vectors
-    rows = [(i, Vectors.dense([(i % 8) * 0.05, (i // 8) * 0.05])) for i in range(64)]
-    rows += [(100 + i, Vectors.dense([50 + (i % 8) * 0.05, 50 + (i // 8) * 0.05])) for i in range(64)] + [(999, Vectors.dense([20.0, -20.0]))]
-    got = H.density_grid(spark.createDataFrame(rows, ["ID", "features"]), "ID", [1.0], [5, 1000]).collect()
+    rows = [(i, [(i % 8) * 0.05, (i // 8) * 0.05]) for i in range(64)]
+    rows += [(100 + i, [50 + (i % 8) * 0.05, 50 + (i // 8) * 0.05]) for i in range(64)] + [(999, [20.0, -20.0])]
+    df = spark.createDataFrame(rows, "ID long, features array<double>")
+    got = density_settings(density_labels(df, "ID", "features", 2, [1.0], [5, 1000]), df, "ID").collect()
     by = {r["min_points"]: r for r in got}
     assert by[5]["n_clusters"] == 2 and by[5]["noise"] == 1 and by[5]["status"] == "evaluated"
-    assert by[1000]["n_clusters"] == 0 and by[1000]["status"] == "rejected_few_clusters"
+    assert by[1000]["n_clusters"] == 0 and by[1000]["status"] == "rejected_too_few_clusters"
 
 
 def test_too_many_categories_raise(spark, monkeypatch):

@@ -25,8 +25,9 @@ LEAD_3 = np.zeros(256, bool)
 LEAD_3[[0xE1, 0xE2, 0xE3]] = True
 STEP = 4 << 20
 GROUP = 16 << 20
-#: Pieces that a worker remembers between batches. Only speed depends on it.
-MOST_KNOWN = 1_000_000
+#: Bytes of pieces and of their ids that a worker remembers between batches, whatever the length of a
+#: piece. Only speed depends on it.
+KNOWN_BYTES = 96 << 20
 
 
 def safe_cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -39,7 +40,8 @@ def safe_cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         ok = (buf[i - 1] > 32) & ~MAY_BE_SPACE[buf[i + 1]] & (buf[np.maximum(i - 2, 0)] != 0xC2) & ~LEAD_3[buf[np.maximum(i - 3, 0)]]
         found.append(i[ok])
     inner = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return np.unique(np.concatenate([inner, offs]))
+    cuts = np.sort(np.concatenate([inner, offs]), kind="stable")
+    return cuts[np.append(True, cuts[1:] != cuts[:-1])] if len(cuts) else cuts
 
 
 def splits_safely(tokenizer_json: str) -> bool:
@@ -119,7 +121,7 @@ class Encoder:
             s[b] = base + len(ids_a) + np.cumsum(n[b]) - n[b]
             starts[new], lens[new] = s, n
             ids = np.concatenate([self.ids, ids_a, ids_b])
-            if len(self.known) + len(fresh) <= MOST_KNOWN:
+            if self.known.nbytes + fresh.nbytes + 16 * (len(self.known) + len(fresh)) + ids.nbytes <= KNOWN_BYTES:
                 self.known = pa.concat_arrays([self.known, fresh])
                 self.starts, self.lens, self.ids = np.concatenate([self.starts, s]), np.concatenate([self.lens, n]), ids
         return starts, lens, ids

@@ -27,18 +27,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_view, materialize, one_array, regrouped, table, worker_state
 from .pieces import safe_cuts, splits_safely
 
-BLOCK_BYTES = 16 << 20
-PART_BYTES = 8 << 20
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 2 << 20
+#: Pieces that are encoded as one text, and bytes of pieces and their ids that a worker remembers
+#: between parts. Only speed depends on them.
+TOGETHER = 1024
+KNOWN_BYTES = 48 << 20
 #: A group of more links goes by distinct ids.
 FEW_LINKS = 64
 
@@ -51,8 +55,46 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Side:
+    """One tokenizer: how it encodes a text of pieces, and its tokens' bytes."""
+
+    def __init__(self, encode, tokens: list[bytes]):
+        self.encode, self.tokens = encode, tokens
+        self.lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The tokens' bytes, one after another."""
+        n = self.lens[ids]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(int(n.sum()))]
+
+    def pieces(self, buf: np.ndarray, offs: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens of each piece, ids, whether a piece's tokens are its bytes).
+        The pieces from one of ``groups`` to the next are encoded as one text."""
+        n, same, ids = [], [], []
+        for a, b in zip(groups, groups[1:]):
+            raw, ends = buf[offs[a]:offs[b]], offs[a + 1:b + 1] - offs[a]
+            got = np.array(self.encode(raw.tobytes().decode()), np.int64)
+            at = np.cumsum(self.lens[got])
+            k = np.searchsorted(at, ends)
+            if len(at) and at[-1] == len(raw) and (at[k] == ends).all() and (self.joined(got) == raw).all():
+                n.append(np.diff(k, prepend=-1))
+                same.append(np.ones(b - a, bool))
+                ids.append(got)
+            else:  # one by one, to tell which piece it is
+                for i in range(a, b):
+                    raw = buf[offs[i]:offs[i + 1]].tobytes()
+                    got = np.array(self.encode(raw.decode()), np.int64)
+                    n.append(np.array([len(got)]))
+                    same.append(np.array([self.joined(got).tobytes() == raw]))
+                    ids.append(got)
+        return (*(np.concatenate(x) for x in (n, ids, same)),)
+
+
 class Tokenizers:
-    """Both tokenizers in a Python worker, and the bytes of their tokens."""
+    """Both tokenizers in a Python worker, and the pieces it has met."""
 
     def __init__(self, json_a: str, model_b: bytes):
         import os
@@ -63,45 +105,64 @@ class Tokenizers:
 
         if not splits_safely(json_a):
             raise ValueError("A has to be a plain byte-level tokenizer")
-        self.a = Tokenizer.from_str(json_a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
+        a = Tokenizer.from_str(json_a)
+        a.encode_special_tokens = True
+        a.no_truncation()
+        a.no_padding()
+        b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         to_byte = byte_of_character()
-        special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
-        self.bytes_a = [b"" if i in special else bytes(to_byte.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
-        n = self.b.get_piece_size()
-        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(n))]
-        if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(n)):
+        special = {i for i, t in a.get_added_tokens_decoder().items() if t.special}
+        bytes_a = [b"" if i in special else bytes(to_byte.get(c, 0) for c in a.id_to_token(i) or "") for i in range(a.get_vocab_size())]
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        bytes_b = [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of B reaches over a word's start")
-        self.lens = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b)]
-        self.digits = pa.array([f"{i}{s}" for s in ",|;" for i in range(max(n, len(self.bytes_a)))])
-
-    def encoded(self, pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For A and B: (tokens of each piece, ids, ends within the piece) and
+        # B adds a space of its own
+        self.sides = Side(lambda t: a.encode_batch_fast([t], add_special_tokens=False)[0].ids, bytes_a), Side(lambda t: b.encode(t[1:], num_threads=1), bytes_b)
+        self.digits = pa.array([f"{i}{s}" for s in ",|;" for i in range(max(len(bytes_a), len(bytes_b)))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.right = np.zeros(0, bool)
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.sides]  # tokens of each piece, ids
+
+    def look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each of these distinct pieces among the known ones, and
         whether its tokens are its bytes. Every piece starts with a space."""
-        texts = [p.decode() for p in pieces]
-        both = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
-        out = []
-        for got, of, lens in zip(both, (self.bytes_a, self.bytes_b), self.lens):
-            same = np.fromiter((b"".join([of[i] for i in ids]) == p for ids, p in zip(got, pieces)), bool, len(pieces))
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter(chain.from_iterable(got), np.int64, int(n.sum()))
-            ends = np.cumsum(lens[ids])
-            before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])[:-1]]
-            out.append((n, ids, ends - np.repeat(before, n), same))
-        return out
-
-
-def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.known.nbytes + pieces.nbytes + sum(8 * len(ids) for _, ids in self.held) > KNOWN_BYTES:
+            self.forget()
+        at = pc.index_in(pieces, value_set=self.known)
+        fresh = pieces.filter(at.is_null())
+        if len(fresh):
+            buf, offs = byte_view(fresh)
+            # a text ends where the next piece might not begin a token, and after a number of pieces
+            apart = np.flatnonzero(~np.isin(offs, safe_cuts(buf, offs[[0, -1]]), assume_unique=True))
+            groups = np.unique(np.concatenate([apart, np.arange(0, len(fresh), TOGETHER), [len(fresh)]]))
+            ok = np.ones(len(fresh), bool)
+            for i, side in enumerate(self.sides):
+                n, ids, same = side.pieces(buf, offs, groups)
+                ok &= same
+                self.held[i] = tuple(np.concatenate(x) for x in zip(self.held[i], (n, ids)))
+            where = at.to_numpy(zero_copy_only=False)
+            where = np.where(np.isnan(where), 0, where).astype(np.int64)
+            where[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.right = np.concatenate([self.right, ok])
+        else:
+            where = at.to_numpy().astype(np.int64)
+        return where, self.right[where]
+
+
+def terminals(lens_a: np.ndarray, lens_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The terminal token (a place in B) of the component of every token of A
-    and of B. Both cut the same bytes; ``ends`` are rising byte offsets."""
-    n = len(ends_a)
-    to_b = np.searchsorted(ends_b, ends_a)  # holds the last byte
-    to_a = np.searchsorted(ends_a, ends_b)
-    last = ends_a[to_a] == ends_b if n else np.zeros(0, bool)
-    succ = np.concatenate([n + to_b, np.where(last, n + np.arange(len(ends_b)), to_a)])
+    and of B. Both sides cut the same bytes, in tokens of these lengths."""
+    n = len(lens_a)
+    ends_a, ends_b = np.cumsum(lens_a), np.cumsum(lens_b)
+    # the other side's token that holds a token's last byte
+    to_b = np.repeat(np.arange(len(lens_b)), lens_b)[ends_a - 1]
+    to_a = np.repeat(np.arange(n), lens_a)[ends_b - 1]
+    succ = np.concatenate([n + to_b, np.where(ends_a[to_a] == ends_b, n + np.arange(len(ends_b)), to_a)])
     while True:
         further = succ[succ]
         if (further == succ).all():
@@ -149,30 +210,29 @@ class _Block:
         """Pieces, in order, of the texts with these numbers."""
         tok = self.tok
         coded = pieces.dictionary_encode()
+        number, right = tok.look_up(coded.dictionary)
         code = coded.indices.to_numpy()
-        (n_a, ids_a, ends_a, same_a), (n_b, ids_b, ends_b, same_b) = tok.encoded(coded.dictionary.to_pylist())
-        same = same_a & same_b
-        self.wrong[text_of[~same[code]]] = True
-        ok = same[code]
-        code, text_of, begin = code[ok], text_of[ok], byte_view(pieces)[1][:-1][ok]
+        ok = right[code]
+        self.wrong[text_of[~ok]] = True
+        code, text_of = number[code[ok]], text_of[ok]
 
-        def spread(n, ids, ends):
+        def spread(n, ids):
             each = n[code]
             at = np.repeat((np.cumsum(n) - n)[code] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-            return ids[at], ends[at] + np.repeat(begin, each), np.repeat(text_of, each)
+            return ids[at], np.repeat(text_of, each)
 
-        (a, end_a, of_a), (b, end_b, of_b) = spread(n_a, ids_a, ends_a), spread(n_b, ids_b, ends_b)
+        (a, of_a), (b, of_b) = (spread(*held) for held in tok.held)
         if not len(a):
             return
-        last_a, last_b = terminals(end_a, end_b)
-        ends = np.flatnonzero(last_b == np.arange(len(b)))  # the terminal tokens, one a group
-        group_a, group_b = np.searchsorted(ends, last_a), np.searchsorted(ends, last_b)
-        of = of_b[ends]
+        last_a, last_b = terminals(tok.sides[0].lens[a], tok.sides[1].lens[b])
+        ends = last_b == np.arange(len(b))  # the terminal tokens, one a group
+        name = np.cumsum(ends) - 1
+        group_a, group_b, of = name[last_a], name[last_b], of_b[ends]
         self._hash(a, group_a, b, group_b, of)
-        group, left, right, weight = linked(group_a, a, group_b, b, len(ends))
+        group, left, right, weight = linked(group_a, a, group_b, b, len(of))
         for i, (texts, amount) in enumerate(((of_a, None), (of_b, None), (of, None), (of[group], weight))):
             self.sums[i] += np.bincount(texts, amount, self.n).astype(np.int64) if amount is not None else np.bincount(texts, minlength=self.n)
-        self.triples.append(_summed(of[group], left * len(tok.bytes_b) + right, weight))
+        self.triples.append(_summed(of[group], left * len(tok.sides[1].tokens) + right, weight))
 
     def _hash(self, a, group_a, b, group_b, of) -> None:
         """Goes on with every text's ``a1,a2|b1;...``: ids, each with the mark after it."""
@@ -209,10 +269,18 @@ class _Block:
 
 def _summed(texts: np.ndarray, pair: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One entry for each (text, pair), with the sum of its weights."""
-    order = np.lexsort((pair, texts))
-    texts, pair, weight = texts[order], pair[order], weight[order]
-    new = np.flatnonzero(np.append(True, (texts[1:] != texts[:-1]) | (pair[1:] != pair[:-1]))[:len(texts)])
-    return texts[new], pair[new], np.add.reduceat(weight, new) if len(new) else weight
+    if not len(texts):
+        return texts, pair, weight
+    span = int(pair.max()) + 1
+    key = texts * span + pair
+    if (weight == 1).all():
+        key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], weight[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    key = key[new]
+    return key // span, key % span, np.add.reduceat(weight, new)
 
 
 def _align(json_a: str, model_b: bytes, schema: pa.Schema):

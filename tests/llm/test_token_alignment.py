@@ -116,6 +116,8 @@ def test_small_blocks_parts_and_groups(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK_BYTES", 3_000)
     monkeypatch.setattr(A, "PART_BYTES", 500)
     monkeypatch.setattr(A, "FEW_LINKS", 0)
+    monkeypatch.setattr(A, "TOGETHER", 3)
+    monkeypatch.setattr(A, "KNOWN_BYTES", 20_000)
     docs, pairs = A.align(df, JSON, MODEL)
     assert got(docs) == want
     top = pairs.where("top").count()
@@ -129,8 +131,8 @@ def test_terminals_against_common_ends(seed):
         n = rnd.randint(1, 60)
         a, b = ([*sorted(rnd.sample(range(1, n), rnd.randint(0, n - 1))), n] for _ in range(2))
         common = sorted(set(a) & set(b))
-        ends_a, ends_b = np.array(a), np.array(b)
-        to_a, to_b = A.terminals(ends_a, ends_b)
+        ends_b = np.array(b)
+        to_a, to_b = A.terminals(np.diff(a, prepend=0), np.diff(b, prepend=0))
         assert ends_b[to_a].tolist() == [next(c for c in common if c >= e) for e in a]
         assert ends_b[to_b].tolist() == [next(c for c in common if c >= e) for e in b]
 
@@ -139,7 +141,7 @@ def test_long_chain_converges():
     """Two sides that meet at the end only."""
     a, b = np.arange(3, 300_000, 2), np.arange(2, 300_000, 2)
     a, b = np.append(a, 300_000), np.append(b, 300_000)
-    to_a, to_b = A.terminals(a, b)
+    to_a, to_b = A.terminals(np.diff(a, prepend=0), np.diff(b, prepend=0))
     assert set(to_a) == set(to_b) == {len(b) - 1}
 
 

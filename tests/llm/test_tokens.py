@@ -171,3 +171,21 @@ def test_every_awkward_text_splits_safely():
     enc = test_pieces_give_the_librarys_ids.encoder
     n, ids = enc.documents(pa.array(awkward_texts(), pa.string()), with_ids=True)
     assert ids.tolist() == [i for t in awkward_texts() for i in ids_of_byte(t)]
+
+
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    """Unspaced texts, each a piece of its own: a worker keeps no more than the stated bytes."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from ledgerlens.llm import pieces
+    monkeypatch.setattr(pieces, "KNOWN_BYTES", 400_000)
+    enc = pieces.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    rnd = np.random.default_rng(0)
+    for _ in range(40):
+        texts = ["".join(map(chr, rnd.integers(0x4E00, 0x9FA5, 3_000))) for _ in range(3)] + ["plain words here"]
+        lens, ids = enc.documents(pa.array(texts), with_ids=True)
+        assert lens.tolist() == [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts] and len(ids) == lens.sum()
+        assert enc.known.nbytes + enc.ids.nbytes + enc.starts.nbytes + enc.lens.nbytes <= 400_000
+    assert len(enc.known)

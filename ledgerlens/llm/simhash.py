@@ -1,17 +1,21 @@
-"""SimHash near-duplicates (operator 5): an inverted index by joined positional
-bytes, in place of a byte-position index with count filtering.
+"""SimHash near-duplicates (operator 5): a byte-position inverted index with
+count filtering.
 
 Fingerprints that differ in at most d bits share at least 8 - d of their 8
-positional bytes. The index lists each distinct fingerprint under every choice
-of 8 - d positions, by those bytes, so a pair's shared bytes reach the
-guaranteed minimum exactly if it meets in a list. In a list the bits are
-compared; the tally of shared bytes there can't reject a pair.
-
-Equal fingerprints are one entry, so groups of copies cost one row. A list's
-members differ in d bytes only, so it has at most 256 ** d of them (65,536 for
-two); long lists are not paired: each member looks up the members at every
-distance that counts. Lists give a spanning forest of their links, never all
-pairs. Components are found over distinct fingerprints.
+positional bytes. The index lists each distinct fingerprint by the bytes at
+chosen positions: the positions are four neighbouring pairs, and a list leaves
+out d of the pairs, so that every pair of fingerprints that shares 8 - d bytes
+meets in a list at least (for d = 2 there are six lists of four joined bytes a
+fingerprint; lists of single bytes would hold a 256th of all). In a list the
+shared positional bytes of each pair are tallied; pairs that reach the
+guaranteed minimum of 8 - d are retained, and their bits are compared.
+
+A list of more than ``LONG`` members is cut: its members are listed again by
+all choices of 8 - d positions that the list allows. Such a list has 256 ** d
+members at most (65,536 for two), since they differ in d bytes only. Lists are
+tallied a block at a time and give a spanning forest of their links, never all
+pairs. Equal fingerprints are one entry, so groups of copies cost one row.
+Components are found over distinct fingerprints.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero
 and links like any other; fewer words than the shingle are one shingle. An
@@ -21,6 +25,7 @@ nulls never name a component unless all ids of it are null."""
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -33,8 +38,24 @@ from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 8 << 20
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Of a long text, so much is split into words at a time.
+TEXT_BYTES = 1 << 20
+AT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _words(raw: bytes, a: int, b: int, shingle: int):
+    """Lists of the words of a text, about ``TEXT_BYTES`` of it at a time; each
+    goes on from the last ``shingle`` - 1 words of the one before."""
+    held: list[bytes] = []
+    while a < b:
+        stop = min(a + TEXT_BYTES, b)
+        if stop < b:
+            space = AT_SPACE.search(raw, stop, b)
+            stop = space.start() if space else b
+        words = held + raw[a:stop].split()
+        yield words
+        held = words[max(0, len(words) - shingle + 1):]
+        a = stop
 
 
 def _fingerprints(buf: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarray:
@@ -46,23 +67,24 @@ def _fingerprints(buf: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarray
     digest = xxhash.xxh64_intdigest
     shifts = np.arange(64, dtype=np.uint64)
     for k in range(len(out)):
-        w = raw[offs[k]:offs[k + 1]].split()
-        if not w:
-            continue
-        if len(w) <= shingle:
-            out[k] = digest(b" ".join(w), 42)
-            continue
-        # the words joined by single spaces; a shingle is a slice of that
-        line = b" ".join(w)
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        begin = np.concatenate([[0], ends[:len(w) - shingle]]).tolist()
-        stop = (ends[shingle - 1:] - 1).tolist()
-        h = np.fromiter((digest(line[a:b], 42) for a, b in zip(begin, stop)), np.uint64, len(begin))
-        n = len(h)
-        bits = np.zeros(64, np.int64)
-        for a in range(0, n, 1 << 16):
-            bits += np.unpackbits(h[a:a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.bitwise_or.reduce(np.where(2 * bits > n, np.uint64(1) << shifts, np.uint64(0)))
+        bits, n, few = np.zeros(64, np.int64), 0, []
+        for w in _words(raw, int(offs[k]), int(offs[k + 1]), shingle):
+            few = w
+            if len(w) < shingle:
+                continue
+            # the words joined by single spaces; a shingle is a slice of that
+            line = b" ".join(w)
+            ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+            begin = np.concatenate([[0], ends[:len(w) - shingle]]).tolist()
+            stop = (ends[shingle - 1:] - 1).tolist()
+            h = np.fromiter((digest(line[a:b], 42) for a, b in zip(begin, stop)), np.uint64, len(begin))
+            n += len(h)
+            for a in range(0, len(h), 1 << 16):
+                bits += np.unpackbits(h[a:a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if n:
+            out[k] = np.bitwise_or.reduce(np.where(2 * bits > n, np.uint64(1) << shifts, np.uint64(0)))
+        elif few:  # fewer words than a shingle
+            out[k] = digest(b" ".join(few), 42)
     return out
 
 
@@ -81,82 +103,92 @@ def fingerprints(docs: DataFrame, keep: dict[str, Column], text_col: str = "text
     return rows.mapInArrow(hashed, ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names) + ", fp long")
 
 
-def _index_keys(max_bits: int) -> Column:
-    """The positional bytes of every choice of 8 - max_bits positions, with the choice's number."""
-    keys = []
-    for k, left_out in enumerate(combinations(range(8), max_bits)):
-        mask = (1 << 64) - 1
-        for p in left_out:
-            mask &= ~(0xFF << (8 * p))
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    return F.array(*keys)
+#: Members of a list that is not cut, and pairs that are tallied at a time.
+LONG = 4096
+BLOCK = 1 << 20
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def coarse_choices(max_bits: int) -> list[tuple[int, ...]]:
+    """Positions that a list leaves out: ``max_bits`` of the pairs (0, 1), (2, 3), (4, 5), (6, 7)."""
+    return [tuple(sorted(x for p in pairs for x in (2 * p, 2 * p + 1))) for pairs in combinations(range(4), min(max_bits, 4))]
 
 
-def _shared_bytes(x: np.ndarray) -> np.ndarray:
-    """How many positional bytes a pair shares, from its exclusive or."""
-    return (x[..., None].view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
+def _listed(fps: DataFrame, choices: Column) -> DataFrame:
+    """(choice, bytes, fp): ``choices`` is an array of masks of left-out bytes."""
+    return fps.select("fp", F.explode(choices).alias("choice")).select("choice", F.col("fp").bitwiseAND(F.bitwise_not("choice")).alias("bytes"), "fp")
+
 
+def _mask(positions) -> int:
+    m = sum(0xFF << (8 * p) for p in positions)
+    return m - (1 << 64) if m >= 1 << 63 else m
 
-def _masks(free: list[int], max_bits: int) -> list[int]:
-    """Exclusive ors of up to ``max_bits`` bits in the bytes ``free``."""
-    bits = [8 * p + b for p in free for b in range(8)]
-    return [sum(1 << b for b in c) for n in range(1, max_bits + 1) for c in combinations(bits, n)]
 
+def _array(masks: list[int]) -> Column:
+    return F.array(*[F.lit(m).cast("long") for m in masks])
 
-SMALL = 256
+
+def _shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The tally: how many positional bytes a pair shares, from its exclusive or."""
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return 8 - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
+def _linked(x: np.ndarray, max_bits: int) -> np.ndarray:
+    """Pairs, by their exclusive or, that reach the least number of shared bytes and agree in the bits."""
+    retained = _shared_bytes(x) >= 8 - max_bits
+    out = np.zeros(x.shape, bool)
+    out[retained] = np.bitwise_count(x[retained]) <= max_bits
+    return out
 
 
-def _forest(fps: np.ndarray, free: list[int], max_bits: int) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Edges to the smallest member of each component of one list."""
     fps = np.sort(fps)
     n = len(fps)
-    if n <= SMALL:
-        x = fps[:, None] ^ fps[None, :]
-        linked = (_shared_bytes(x) >= 8 - max_bits) & (_popcount(x) <= max_bits)
-        i, j = np.nonzero(np.triu(linked, 1))
-    else:
-        ends = []
-        for m in _masks(free, max_bits):
-            other = fps ^ np.uint64(m)
-            at = np.minimum(np.searchsorted(fps, other), n - 1)
-            hit = np.flatnonzero((fps[at] == other) & (at > np.arange(n)))
-            ends.append((hit, at[hit]))
-        i, j = (np.concatenate(x) for x in zip(*ends))
     root = np.arange(n)
-    while True:
-        old = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        np.minimum.at(root, old, root)
-        root = root[root]
-        if (root == old).all():
-            break
+    step = max(1, BLOCK // n)
+    for a in range(0, n, step):
+        i, j = np.nonzero(_linked(fps[a:a + step, None] ^ fps[None, a:], max_bits))
+        i, j = i[i < j] + a, j[i < j] + a
+        while len(i):  # all links of the block into the forest
+            low = np.minimum(root[i], root[j])
+            np.minimum.at(root, root[i], low)
+            np.minimum.at(root, root[j], low)
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
     moved = np.flatnonzero(root != np.arange(n))
     return list(zip(fps[root[moved]].view(np.int64).tolist(), fps[moved].view(np.int64).tolist()))
 
 
 def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints ``fp`` within ``max_bits`` bits."""
-    choices = list(combinations(range(8), max_bits))
-    posted = distinct.select("fp", F.explode(_index_keys(max_bits)).alias("k"))
-    lists = posted.groupBy("k.choice", "k.bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("choice", "fps")
+    """Edges (a, b) that connect all fingerprints ``fp`` within ``max_bits``
+    bits: the members of a component of such links, over the lists, are
+    connected by them."""
+    coarse = coarse_choices(max_bits)
+    # a small table, but each row makes several: dealt out before that
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    first = _listed(spread, _array([_mask(c) for c in coarse]))
+    long = materialize(first.groupBy("choice", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("choice", "bytes"), "long-lists")
+    short = first.join(long, ["choice", "bytes"], "left_anti")
+    finer = F.create_map(*[x for c in coarse for x in (F.lit(_mask(c)).cast("long"), _array([_mask(f) for f in combinations(c, max_bits)]))])
+    again = first.join(long, ["choice", "bytes"], "left_semi").select("fp", finer[F.col("choice")].alias("finer"))
+    cut = _listed(again, F.col("finer")).distinct()  # lists of two long ones may be one
+    lists = short.select("choice", "bytes", "fp").unionByName(cut).groupBy("choice", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def edges(batches):
         for batch in batches:
             found = []
-            choice, fps = batch.column(0).to_numpy(), batch.column(1)
+            fps = batch.column(0)
             offs, flat = fps.offsets.to_numpy(), fps.values.to_numpy().view(np.uint64)
             two = np.flatnonzero(np.diff(offs) == 2)
             a, b = flat[offs[two]], flat[offs[two] + 1]
-            near = (_shared_bytes(a ^ b) >= 8 - max_bits) & (_popcount(a ^ b) <= max_bits)
+            near = _linked(a ^ b, max_bits)
             for k in np.flatnonzero(np.diff(offs) > 2):
-                found += _forest(flat[offs[k]:offs[k + 1]], list(choices[choice[k]]), max_bits)
+                found += _forest(flat[offs[k]:offs[k + 1]], max_bits)
             x = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[near].view(np.int64), x[:, 0]])), pa.array(np.concatenate([b[near].view(np.int64), x[:, 1]]))], ["a", "b"])
 

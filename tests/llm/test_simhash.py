@@ -41,8 +41,23 @@ def test_documents_against_brute_force(spark):
     assert got == {r.doc_id: ("%016x" % fps[k], root[k]) for k, r in enumerate(rows)}
 
 
-@pytest.mark.parametrize("max_bits", [1, 2])
-def test_links_connect_what_is_near(spark, max_bits):
+@pytest.mark.parametrize("most", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("shingle", [1, 3])
+def test_long_texts_go_in_parts(monkeypatch, most, shingle):
+    monkeypatch.setattr(S, "TEXT_BYTES", most)
+    texts = ["", " ", "a", "a b", "a b c", " lead and  trail\n", "x" * 300, "one two\tthree four five " * 9, "é ß " * 40, "w" * 70 + " a b c d"]
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    got = S._fingerprints(np.frombuffer(b"".join(raw), np.uint8), offs, shingle).tolist()
+    for t, fp in zip(texts, got):
+        w = words(t)
+        h = [xxhash.xxh64_intdigest(" ".join(w[i:i + shingle]).encode(), 42) for i in range(len(w) - shingle + 1)] or ([xxhash.xxh64_intdigest(" ".join(w).encode(), 42)] if w else [])
+        assert fp == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)), t
+
+
+@pytest.mark.parametrize("max_bits,long", [(1, 4096), (2, 4096), (2, 5), (3, 50)])
+def test_links_connect_what_is_near(spark, monkeypatch, max_bits, long):
+    monkeypatch.setattr(S, "LONG", long)  # with 5, the dense ones' lists are cut
     rnd = random.Random(max_bits)
     fps = {0, (1 << 64) - 1, 1 << 63}
     for _ in range(60):
@@ -56,12 +71,34 @@ def test_links_connect_what_is_near(spark, max_bits):
     fps = sorted(fps)
     df = spark.createDataFrame([(x - (1 << 64) if x >= 1 << 63 else x,) for x in fps], "fp long")
     edges = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in S.links(df, max_bits).collect()]
-    assert all((a ^ b).bit_count() <= max_bits or S.SMALL < 700 for a, b in edges)
     at = {x: i for i, x in enumerate(fps)}
     a = np.array(fps, np.uint64)
     true = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(a[:i] ^ a[i]) <= max_bits)]
     assert roots(len(fps), [(at[x], at[y]) for x, y in edges]) == roots(len(fps), true)
-    assert len(edges) < 28 * len(fps)
+    assert len(edges) < 80 * len(fps)
+
+
+@pytest.mark.parametrize("max_bits", [1, 2, 3])
+def test_sharing_enough_bytes_means_meeting_in_a_list(max_bits):
+    for other in range(1 << 8):  # positions in which a pair differs
+        differ = {p for p in range(8) if other >> p & 1}
+        meets = any(differ <= set(c) for c in S.coarse_choices(max_bits))
+        assert meets or len(differ) > max_bits
+
+
+def test_tally_rejects_pairs():
+    """A list's members share four bytes; pairs that share five or fewer of eight
+    don't reach the minimum, and of those that do not all agree in their bits."""
+    rnd = np.random.default_rng(1)
+    fps = rnd.integers(0, 1 << 32, 300, dtype=np.uint64)
+    fps[1::3] = fps[::3] ^ np.uint64(0b11)  # six shared bytes, two bits
+    fps[2::3] = fps[::3] ^ np.uint64(0xFFFF)  # six shared bytes, sixteen bits
+    x = fps[:, None] ^ fps[None, :]
+    want = (x[..., None].view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
+    assert (S._shared_bytes(x) == want).all()
+    retained, near = want >= 6, np.bitwise_count(x) <= 2
+    assert (~retained & np.triu(np.ones_like(retained), 1).astype(bool)).any() and (retained & ~near).any()
+    assert (S._linked(x, 2) == near).all()
 
 
 def test_components_against_union_find(spark):

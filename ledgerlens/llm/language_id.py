@@ -12,7 +12,8 @@ Texts are lower-cased; letters and one space between words remain. n-grams of
 Learning takes a bounded sample: about ``most_docs`` documents of each
 language, by hash of id, and the ``most_grams`` most frequent n-grams of each
 that are in ``least_share`` of its documents and not much more frequent in
-another language. Prediction takes whole texts and has no shuffle.
+another language. Prediction takes whole texts, long ones a part at a time, and
+has no shuffle.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; with
 no learned n-gram at all, the language with most learning documents is given
@@ -22,6 +23,8 @@ learned from and not held out. Other columns are ignored."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,6 +36,10 @@ SIZES = (2, 3, 4)
 ROWS = 1 << 21
 HASHES = 3
 BATCH_BYTES = 4 << 20
+#: Characters that are counted at a time, and where a long text may be cut: white space, or an
+#: ideographic comma or full stop.
+PART_CHARS = 2 << 20
+BETWEEN_WORDS = re.compile("[\\s\u3001\u3002]")
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
 
@@ -112,7 +119,8 @@ class Filter:
         """By language, how often an n-gram that was not added is found."""
         return np.array([float(self._bits(self.masks, i).mean()) ** HASHES for i in range(len(self.langs))])
 
-    def decide(self, texts: list[str | None], prior: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: its n-grams, those found by language, whether it has a letter."""
         plain, ends = _plain(texts)
         total = np.zeros(len(texts), np.int64)
         hits = np.zeros((len(self.langs), len(texts)), np.int64)
@@ -127,18 +135,52 @@ class Filter:
             for i in range(len(self.langs)):
                 seen = np.concatenate([[0], np.cumsum(self._bits(mask, i), dtype=np.int64)])
                 hits[i] += np.diff(seen[edges])
+        # a text without a letter is only a space
+        starts = np.concatenate([[0], ends[:-1]]) if len(texts) else np.zeros(0, np.int64)
+        return total, hits, ends - starts > 1
+
+    def decide(self, texts: list[str | None], prior: np.ndarray) -> tuple[list[str], np.ndarray]:
+        n = len(texts)
+        total, hits, has_letter = np.zeros(n, np.int64), np.zeros((len(self.langs), n), np.int64), np.zeros(n, bool)
+        for owners, parts in _parts(texts):
+            t, h, letter = self.counts(parts)
+            np.add.at(total, owners, t)
+            np.add.at(hits, (slice(None), owners), h)
+            has_letter[owners[letter]] = True
         f = self.false_rate()[:, None]
-        real = np.clip((hits - total * f) / (1.0 - f), 0.0, None) if len(self.langs) else np.zeros((1, len(texts)))
+        real = np.clip((hits - total * f) / (1.0 - f), 0.0, None) if len(self.langs) else np.zeros((1, n))
         # ties by prior, then by name: langs are in that order
         order = np.lexsort((np.arange(len(self.langs)), -prior)) if len(self.langs) else np.zeros(0, np.int64)
-        best = order[np.argmax(real[order], axis=0)] if len(self.langs) else np.zeros(len(texts), np.int64)
-        # a text without a letter is only a space
-        starts = np.concatenate([[0], ends[:-1]]) if len(texts) else np.zeros(0, np.int64)
-        has_letter = ends - starts > 1
-        score = np.where(has_letter & (total > 0), real[best, np.arange(len(texts))] / np.maximum(total, 1), 0.0) if len(self.langs) else np.zeros(len(texts))
+        best = order[np.argmax(real[order], axis=0)] if len(self.langs) else np.zeros(n, np.int64)
+        score = np.where(has_letter & (total > 0), real[best, np.arange(n)] / np.maximum(total, 1), 0.0) if len(self.langs) else np.zeros(n)
         return [self.langs[b] if ok and self.langs else "und" for b, ok in zip(best, has_letter)], np.clip(score, 0.0, 1.0)
 
 
+def _parts(texts: list[str | None]):
+    """Lists of about ``PART_CHARS`` characters, with the number of each one's
+    text. Long texts are cut where no n-gram and no rule of lower-casing reaches
+    across; their counts add up."""
+    owners, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        text, a = text or "", 0
+        while True:
+            b = len(text)
+            if b - a > PART_CHARS - size and b - a > PART_CHARS // 4:
+                cut = BETWEEN_WORDS.search(text, a + max(PART_CHARS - size, PART_CHARS // 4))
+                b = cut.start() if cut else b
+            owners.append(i)
+            held.append(text[a:b])
+            size += b - a
+            a = b
+            if size >= PART_CHARS:
+                yield np.array(owners), held
+                owners, held, size = [], [], 0
+            if a >= len(text):
+                break
+    if held:
+        yield np.array(owners), held
+
+
 def learn(labelled: DataFrame, most_docs: int = 3000, most_grams: int = 30_000, least_share: float = 0.002, rival: float = 0.3,
           n_rows: int = ROWS) -> tuple[Filter, np.ndarray]:
     """The filter and each language's number of learning documents, from

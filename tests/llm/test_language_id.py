@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import language_id as L
@@ -49,6 +50,20 @@ def brute(filter_, prior, text):
     return filter_.langs[best], min(1.0, real[best] / total)
 
 
+@pytest.mark.parametrize("chars", [1, 8, 100, 5000])
+def test_long_texts_go_in_parts(monkeypatch, chars):
+    rnd = np.random.default_rng(4)
+    filter_ = L.Filter(["aa", "bb"], 1 << 10)
+    for i in range(2):
+        filter_.add(i, rnd.integers(0, 1 << 62, 150).astype(np.uint64))
+    texts = [t for t in awkward_texts() if t is None or len(t) < 9_000] + ["日本語、テスト。" * 60, "ΑΣ. ΣΑΣ ΟΔΟΣ\tΟΔΟΣ " * 30, "", None, " 1 2 3 "]
+    whole = filter_.decide(texts, np.ones(2))
+    monkeypatch.setattr(L, "PART_CHARS", chars)
+    parts = filter_.decide(texts, np.ones(2))
+    assert whole[0] == parts[0] and whole[1].tolist() == parts[1].tolist() and whole[1].max() > 0
+    assert len(list(L._parts(texts))) > 1 and all(len(t) < chars + 5100 for _, held in L._parts(texts) for t in held)
+
+
 def test_batches_agree_with_one_by_one(spark):
     docs, _ = labelled(spark)
     filter_, prior = L.learn(docs)

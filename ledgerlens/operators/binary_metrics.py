@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .windows import exclusive_running_sums
 
 SCORE_CHUNKS = 512
@@ -48,12 +49,17 @@ def with_score_chunk(counts: DataFrame, score: str = "score", chunks: int = SCOR
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``tp``/``fp``: positives / negatives with score >= this score."""
-    c = with_score_chunk(counts)
+    """Adds ``tp``/``fp``: positives / negatives with score >= this score. The
+    counts, a row a score, are written once: the cuts, the windows and the
+    totals read them and not the rows."""
+    return _cumulative(with_score_chunk(stored(counts, "score-counts")), by).drop("_chunk")
+
+
+def _cumulative(c: DataFrame, by: Sequence[str]) -> DataFrame:
     c = exclusive_running_sums(c, list(by), "_chunk", [F.desc("score")], {"pos": "_tp_before", "neg": "_fp_before"})
     return (c.withColumn("tp", F.col("_tp_before") + F.col("pos"))
             .withColumn("fp", F.col("_fp_before") + F.col("neg"))
-            .drop("_chunk", "_tp_before", "_fp_before"))
+            .drop("_tp_before", "_fp_before"))
 
 
 def ranking_metrics(df: DataFrame, score: str = "proba", label: str = "y",
@@ -75,14 +81,50 @@ def ranking_metrics(df: DataFrame, score: str = "proba", label: str = "y",
 
 def curve_points(df: DataFrame, score: str = "proba", label: str = "y") -> DataFrame:
     """ROC and PR curve points, one per distinct score."""
-    cum = cumulative_counts(score_counts(df, score, label))
-    P = cum.agg(F.sum("pos")).scalar()
-    N = cum.agg(F.sum("neg")).scalar()
+    counts = stored(score_counts(df, score, label), "score-counts")
+    return _rates(_cumulative(with_score_chunk(counts), ()), counts)
+
+
+def _rates(cum: DataFrame, counts: DataFrame, *more: str) -> DataFrame:
+    P = counts.agg(F.sum("pos")).scalar()
+    N = counts.agg(F.sum("neg")).scalar()
     return cum.select(
         F.col("score").alias("threshold"), "tp", "fp",
         (F.col("tp") / P).alias("tpr"), (F.col("fp") / N).alias("fpr"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / P).alias("recall"))
+        (F.col("tp") / P).alias("recall"), *more)
+
+
+def curve_corners(df: DataFrame, score: str = "proba", label: str = "y", steps: int | None = None) -> DataFrame:
+    """F4 without redundant points: those at which the walk of (fp, tp) from
+    the highest score down turns, and its end (``on_roc``), and those that bound
+    a change of recall (``on_pr``). The area under the ROC polygon through the
+    kept points (from the origin on) and the average precision over them are
+    those of all points.
+
+    A point looks at the step after it; at the border of a chunk that is the
+    first step of the next one, from a table of a row a chunk. With ``steps``
+    the walk is cut in so many stretches of equal length in both rates and each
+    keeps its last turn, so that there are at most ``steps`` + 1 ROC points; the
+    area then changes by 2 / ``steps`` at most."""
+    counts = stored(score_counts(df, score, label), "score-counts")
+    c = _cumulative(with_score_chunk(counts), ())
+    step = F.struct("pos", "neg")
+    firsts = c.groupBy("_chunk").agg(F.max_by(step, "score").alias("_first"))
+    after = firsts.select("_chunk", F.lead("_first").over(Window.partitionBy().orderBy("_chunk")).alias("_border"))  # at most SCORE_CHUNKS rows
+    inside = F.lead(step).over(Window.partitionBy("_chunk").orderBy(F.desc("score")))
+    c = c.withColumn("_next", inside).join(after, "_chunk").withColumn("_next", F.coalesce("_next", "_border"))
+    big = lambda x: x.cast("decimal(19,0)")
+    turns = big(F.col("pos")) * big(F.col("_next.neg")) != big(F.col("_next.pos")) * big(F.col("neg"))
+    last = F.col("_next").isNull()
+    c = c.withColumn("on_roc", last | turns).withColumn("on_pr", last | (F.col("pos") > 0) | (F.col("_next.pos") > 0))
+    if steps is not None:
+        total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(F.struct("p", "n")).scalar()
+        far = F.coalesce(F.try_divide(F.col("tp"), total["p"]), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("fp"), total["n"]), F.lit(0.0))
+        c = c.withColumn("_at", F.least(F.floor(far / 2 * steps), F.lit(steps)))
+        ends = c.where("on_roc").groupBy("_at").agg(F.min("score").alias("score"), F.lit(True).alias("_kept"))
+        c = c.join(ends, ["_at", "score"], "left").withColumn("on_roc", F.coalesce("_kept", F.lit(False)))
+    return _rates(c.where("on_roc or on_pr"), counts, "on_roc", "on_pr")
 
 
 def confusion_matrix(df: DataFrame, threshold: float, score: str = "proba", label: str = "y") -> DataFrame:

@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,11 @@ def _sqdist(a: Column, b: Column) -> Column:
 
 
 def cluster_stats(df: DataFrame, features: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., cluster, n, sums array, sumsq): one row per cluster. Built with
-    ``posexplode`` + grouped sums (map-side combined)."""
-    by = list(by)
-    pe = df.select(*by, F.col(cluster).alias("_k"), F.posexplode(features).alias("_j", "_x"))
-    per_dim = pe.groupBy(*by, "_k", "_j").agg(F.sum("_x").alias("_s"))
-    sums = per_dim.groupBy(*by, "_k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_j", "_s"))), lambda t: t["_s"]).alias("sums"))
-    counts = df.groupBy(*by, F.col(cluster).alias("_k")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(_dot(F.col(features), F.col(features))).alias("sumsq"))
-    return counts.join(sums, by + ["_k"]).withColumnRenamed("_k", cluster)
+    """(by..., cluster, n, sums array, sumsq): one row per cluster, from one
+    grouped vector summary (map-side combined, one buffer of d sums a cluster)."""
+    x = F.col(features)
+    sums = vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(features)).getField("sum"))
+    return df.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(_dot(x, x)).alias("sumsq"), sums.alias("sums"))
 
 
 def cluster_metrics(df: DataFrame, features: str = "features", cluster: str = "cluster",
@@ -175,7 +172,6 @@ def pca_projection(vectors: DataFrame, k: int = 2, features: str = "features", k
     centred = StandardScaler(withMean=True, withStd=False, inputCol=features,
                              outputCol="_centred").fit(vectors).transform(vectors)
     model = PCA(k=k, inputCol="_centred", outputCol="pcs").fit(centred)
-    from pyspark.ml.functions import vector_to_array
     proj = model.transform(centred).select(*keep, vector_to_array("pcs").alias("_p"))
     proj = proj.select(*keep, *[F.col("_p")[i].alias(f"PC{i + 1}") for i in range(k)])
     return proj, list(model.explainedVariance.toArray())

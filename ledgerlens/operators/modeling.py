@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import importlib
 import json
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import shared_path, stored
 from . import binary_metrics as M
 from .cleaning import CLUSTER_DROP_COLUMNS, FRAUD_ID_COLUMNS, basic_cleaning, drop_feature_columns, label_feature, preprocess_cluster, preprocess_fraud
 from .clustering import fit_kmeans, sized
@@ -84,11 +87,52 @@ def boosted_trees(iters: int = 400, depth: int = 6, step: float = 0.08, subsampl
                                     featuresCol="features", labelCol="label")
 
 
+class EarlyStoppingPerceptron:
+    """A perceptron fitted a few iterations at a time: every round goes on from
+    the last one's weights, and the loss on rows kept apart decides which
+    weights stay. Training ends after ``patience`` rounds that don't lower the
+    loss by ``tol``, or after ``iters`` iterations."""
+
+    def __init__(self, layers: Sequence[int], iters: int = 30, seed: int = 42, step: int = 2, patience: int = 5, tol: float = 1e-4, fraction: float = 0.1):
+        self.layers, self.iters, self.seed = list(layers), iters, seed
+        self.step, self.patience, self.tol, self.fraction = step, patience, tol, fraction
+        self.losses: list[float] = []
+
+    def fit(self, df: DataFrame):
+        from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+        # equal rows go to the same side
+        apart = F.pmod(F.xxhash64(vector_to_array("features"), "label"), F.lit(10_000)) < int(self.fraction * 10_000)
+        train, held = df.where(~apart).persist(StorageLevel.MEMORY_AND_DISK), df.where(apart).persist(StorageLevel.MEMORY_AND_DISK)
+        best = model = None
+        least, waited = float("inf"), 0
+        self.losses = []
+        for start in range(0, self.iters, self.step):
+            est = MultilayerPerceptronClassifier(layers=self.layers, maxIter=min(self.step, self.iters - start), seed=self.seed, featuresCol="features", labelCol="label")
+            if model is not None:
+                est.setInitialWeights(model.weights)
+            model = est.fit(train)
+            right = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+            loss = model.transform(held).agg(F.avg(-F.log(F.greatest(right, F.lit(1e-15))))).first()[0]
+            if loss is None:  # no rows kept apart: all iterations, the last weights
+                best = model
+                continue
+            self.losses.append(loss)
+            if loss < least - self.tol:
+                best, least, waited = model, loss, 0
+            else:
+                waited += 1
+                if waited >= self.patience:
+                    break
+        train.unpersist()
+        held.unpersist()
+        return best if best is not None else model
+
+
 def perceptron(hidden: Sequence[int] = (64, 32), iters: int = 30, seed: int = 42) -> Callable[[int], object]:
-    """Feed-forward network (sigmoid hidden layers in MLlib)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    return lambda d: MultilayerPerceptronClassifier(layers=[d, *hidden, 2], maxIter=iters, seed=seed,
-                                                    featuresCol="features", labelCol="label")
+    """Feed-forward network (sigmoid hidden layers in MLlib) with early
+    stopping on a tenth of the training rows."""
+    return lambda d: EarlyStoppingPerceptron([d, *hidden, 2], iters, seed)
 
 
 def fraud_design(df: DataFrame) -> DataFrame:
@@ -97,6 +141,27 @@ def fraud_design(df: DataFrame) -> DataFrame:
     return drop_feature_columns(f, FRAUD_ID_COLUMNS)
 
 
+def _save_preparation(prep: Preparer, path: str, meta: dict) -> None:
+    """Parameters as one line of JSON, and the tables of categories beside it."""
+    spark = SparkSession.getActiveSession()
+    for i, (_, _, table) in enumerate(prep.tables.values()):
+        spark.read.parquet(table).write.mode("overwrite").parquet(f"{path}/categories/{i}")
+    line = json.dumps(meta | {"numeric": {k: list(v) for k, v in prep.numeric.items()}, "categorical": {k: [v[0], v[1]] for k, v in prep.categorical.items()},
+                              "tables": {k: [v[0], v[1]] for k, v in prep.tables.items()}})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scoring")
+
+
+def _load_preparation(path: str) -> tuple[Preparer, dict]:
+    meta = json.loads(SparkSession.getActiveSession().read.text(f"{path}/scoring").first()[0])
+    tables = {k: (v[0], v[1], f"{path}/categories/{i}") for i, (k, v) in enumerate(meta["tables"].items())}
+    return Preparer({k: tuple(v) for k, v in meta["numeric"].items()}, {k: (v[0], v[1]) for k, v in meta["categorical"].items()}, tables), meta
+
+
+def _load_fitted(path: str, name: str):
+    module, cls = name.rsplit(".", 1)
+    return getattr(importlib.import_module(module), cls).load(f"{path}/model")
+
+
 @dataclass
 class FittedModel:
     name: str
@@ -104,6 +169,8 @@ class FittedModel:
     model: object
     threshold: float
     train_size: int = 0
+    #: (key, y, split, proba) of the rows kept apart from training, a stored table; not saved with the model
+    scores: DataFrame | None = None
 
     def score(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """The input is aligned to the training columns (B6); out come
@@ -116,22 +183,14 @@ class FittedModel:
 
     def save(self, path: str) -> None:
         """The MLlib model and, beside it, what the scoring needs."""
-        spark = SparkSession.getActiveSession()
         self.model.write().overwrite().save(f"{path}/model")
-        meta = json.dumps({"name": self.name, "threshold": self.threshold, "train_size": self.train_size,
-                           "class": f"{type(self.model).__module__}.{type(self.model).__name__}",
-                           "numeric": {k: list(v) for k, v in self.prep.numeric.items()},
-                           "categorical": {k: [v[0], v[1]] for k, v in self.prep.categorical.items()}})
-        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scoring")
+        _save_preparation(self.prep, path, {"name": self.name, "threshold": self.threshold, "train_size": self.train_size,
+                                            "class": f"{type(self.model).__module__}.{type(self.model).__name__}"})
 
     @classmethod
     def load(cls, path: str) -> "FittedModel":
-        spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.text(f"{path}/scoring").first()[0])
-        module, name = meta["class"].rsplit(".", 1)
-        model = getattr(importlib.import_module(module), name).load(f"{path}/model")
-        prep = Preparer({k: tuple(v) for k, v in meta["numeric"].items()}, {k: (v[0], v[1]) for k, v in meta["categorical"].items()})
-        return cls(meta["name"], prep, model, meta["threshold"], meta["train_size"])
+        prep, meta = _load_preparation(path)
+        return cls(meta["name"], prep, _load_fitted(path, meta["class"]), meta["threshold"], meta["train_size"])
 
 
 @dataclass
@@ -174,20 +233,14 @@ class SegmentModel:
         return self.model.transform(vec).select(key, "cluster")
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
         self.model.write().overwrite().save(f"{path}/model")
-        meta = json.dumps({"income_median": self.income_median, "reference_date": self.reference_date, "reference_year": self.reference_year,
-                           "class": f"{type(self.model).__module__}.{type(self.model).__name__}",
-                           "numeric": {k: list(v) for k, v in self.prep.numeric.items()}, "categorical": {k: [v[0], v[1]] for k, v in self.prep.categorical.items()}})
-        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scoring")
+        _save_preparation(self.prep, path, {"income_median": self.income_median, "reference_date": self.reference_date, "reference_year": self.reference_year,
+                                            "class": f"{type(self.model).__module__}.{type(self.model).__name__}"})
 
     @classmethod
     def load(cls, path: str) -> "SegmentModel":
-        spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.text(f"{path}/scoring").first()[0])
-        module, name = meta["class"].rsplit(".", 1)
-        prep = Preparer({k: tuple(v) for k, v in meta["numeric"].items()}, {k: (v[0], v[1]) for k, v in meta["categorical"].items()})
-        return cls(prep, getattr(importlib.import_module(module), name).load(f"{path}/model"), meta["income_median"], meta["reference_date"], meta["reference_year"])
+        prep, meta = _load_preparation(path)
+        return cls(prep, _load_fitted(path, meta["class"]), meta["income_median"], meta["reference_date"], meta["reference_year"])
 
 
 def path_exists(spark, path: str) -> bool:
@@ -234,7 +287,7 @@ def train_and_evaluate(split: DataFrame, config: ModelConfig, label: str = "isFr
     parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism * 4, n // ROWS_PER_PARTITION + 1)) if n < ROWS_PER_PARTITION * 64 else None
     vec = prep.to_vector(train, keep_columns)
     vec = (vec.coalesce(parts) if parts else vec).persist(StorageLevel.MEMORY_AND_DISK)
-    est = config.build(len(prep.output_names()))
+    est = config.build(prep.n_outputs())
     if type(est).__name__ == "LogisticRegression":
         est = est.setRegParam(1.0 / max(total, 1.0))
     model = est.fit(vec)
@@ -243,6 +296,7 @@ def train_and_evaluate(split: DataFrame, config: ModelConfig, label: str = "isFr
 
     held = split.where(F.col("split") != "train")
     scored = stored(fitted.score(held, [key, label, "split"]).withColumnRenamed(label, "y"), f"scores-{config.name}")
+    fitted.scores = scored.drop("prediction")
     fitted.threshold = float(M.best_threshold(scored.where(F.col("split") == "val"), min_recall).first()["threshold"])
     metrics = M.classification_metrics(scored.where(F.col("split") == "test"), fitted.threshold)
     metrics = metrics.select(F.lit(config.name).alias("model"), "*", F.lit(fitted.threshold).alias("threshold"),
@@ -299,6 +353,90 @@ def linear_contributions(fitted: FittedModel, df: DataFrame, key: str, top: int
     return glob, per_row
 
 
+def tree_nodes(fitted: FittedModel) -> DataFrame:
+    """A tree model as a table: tree, id, feature (null in a leaf), threshold or
+    categories that go left, children and the node's value. A value is what the
+    node adds to the model's raw score: the boosting weight times its mean, or
+    its share of positives over the number of trees."""
+    spark = SparkSession.getActiveSession()
+    path = shared_path(spark, "models", f"nodes-{uuid.uuid4().hex}")
+    fitted.model.write().save(path)
+    n = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    weights = [float(w) for w in fitted.model.treeWeights]
+    if "GBT" in type(fitted.model).__name__:
+        value = F.get(F.array(*[F.lit(w) for w in weights]), F.col("treeID")) * F.col("prediction")
+    else:
+        value = F.get("impurityStats", F.lit(1)) / F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x) / len(weights)
+    leaf = F.col("leftChild") < 0
+    by_set = F.col("split.numCategories") >= 0
+    return n.select(F.col("treeID").alias("tree"), "id", F.when(~leaf, F.col("split.featureIndex")).alias("feature"),
+                    F.when(~leaf & ~by_set, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+                    F.when(~leaf & by_set, F.col("split.leftCategoriesOrThreshold")).alias("categories"),
+                    F.when(~leaf, F.col("leftChild")).alias("left"), F.when(~leaf, F.col("rightChild")).alias("right"), value.alias("value"))
+
+
+def _walks(nodes: list, n_features: int):
+    """Follows all trees for a batch of rows: each step from a node to its child
+    gives the change of value to the feature that the node tests."""
+    place = {(r["tree"], r["id"]): i for i, r in enumerate(nodes)}
+    feature = np.array([-1 if r["feature"] is None else r["feature"] for r in nodes])
+    threshold = np.array([np.nan if r["threshold"] is None else r["threshold"] for r in nodes])
+    child = np.array([[i, i] if r["left"] is None else [place[r["tree"], r["left"]], place[r["tree"], r["right"]]] for i, r in enumerate(nodes)])
+    value = np.array([r["value"] for r in nodes])
+    sets = {i: np.array(r["categories"]) for i, r in enumerate(nodes) if r["categories"] is not None}
+    roots = np.array(sorted(place[t, 0] for t in {r["tree"] for r in nodes}))
+    base = float(value[roots].sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, rows = batch.column(0), np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            out = np.zeros((len(rows), n_features))
+            step = max(1, (1 << 20) // len(roots))
+            for a in range(0, len(rows), step):
+                x = rows[a:a + step]
+                at = np.tile(roots, (len(x), 1))
+                row = np.repeat(np.arange(len(x)), len(roots)).reshape(at.shape)
+                while True:
+                    f = feature[at]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    here, r, f = at[inner], row[inner], f[inner]
+                    v = x[r, f]
+                    left = v <= threshold[here]
+                    for i in sets:
+                        mine = here == i
+                        left[mine] = np.isin(v[mine], sets[i])
+                    there = child[here, np.where(left, 0, 1)]
+                    out[a:a + step] += np.bincount(r * n_features + f, value[there] - value[here], len(x) * n_features).reshape(len(x), -1)
+                    at[inner] = there
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(rows), base)), pa.array(list(out), pa.list_(pa.float64()))], ["_key", "base", "_c"])
+
+    return run
+
+
+def tree_contributions(fitted: FittedModel, df: DataFrame, key: str, top: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """G12 (tree explainer): each step down a tree credits the tested feature
+    with the change of the node's value, so a row's contributions and the base
+    (the roots' values) sum to the model's raw score. Returns (global mean
+    |contribution| and mean contribution per feature, top-``top`` features per
+    row, (key, base, total) per row). The nodes, as the model itself, come
+    through the driver."""
+    names = fitted.prep.output_names()
+    nodes = tree_nodes(fitted).collect()
+    vec = fitted.prep.to_vector(fitted.prep.aligned(df, [key]), [key]).select(F.col(key).alias("_key"), vector_to_array("features").alias("_x"))
+    kind = vec.schema["_key"].dataType.simpleString()
+    rows = stored(vec.mapInArrow(_walks(nodes, len(names)), f"_key {kind}, base double, _c array<double>"), "contributions").withColumnRenamed("_key", key)
+    named = F.zip_with("_c", F.array(*[F.lit(n) for n in names]), lambda c, n: F.struct((-F.abs(c)).alias("size"), n.alias("feature"), c.alias("c")))
+    ranked = rows.select(key, F.array_sort(named).alias("_all"))
+    glob = (ranked.select(F.explode("_all").alias("_t")).groupBy(F.col("_t.feature").alias("feature"))
+            .agg(F.avg(F.abs("_t.c")).alias("mean_abs"), F.avg("_t.c").alias("mean")))
+    per_row = (ranked.select(key, F.posexplode(F.slice("_all", 1, top)).alias("_i", "_t"))
+               .select(key, (F.col("_i") + 1).alias("rank"), "_t.feature", "_t.c"))
+    total = F.col("base") + F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
+    return glob, per_row, rows.select(key, "base", total.alias("total"))
+
+
 def linear_probability(prep: Preparer, coefficients: dict[str, float], intercept: float) -> Column:
     """G13 with stored coefficients: the logistic probability from a frame
     that ``prep.transform`` made, as one column expression."""

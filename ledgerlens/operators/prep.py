@@ -11,12 +11,14 @@ turns it into plain column expressions, so scoring is one projection.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_path, stored
 from .quantiles import grouped_quantiles
 
 
@@ -44,34 +46,55 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], method: str = "exact") -> Da
     return filled.groupBy("feature", "median").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
-#: One-hot columns of one feature at most; a feature with more values needs another encoding.
+#: A feature of up to so many values keeps them as a list, and its one-hot columns are expressions. The
+#: values of any other one are a stored table: rows get their number by a join, and sparse vectors.
 MAX_CATEGORIES = 10_000
 
 
+def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, v, n) of the observed values."""
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in cols]))
+    return (df.select(stack.alias("_s")).select("_s.feature", "_s.v").where(F.col("v").isNotNull())
+            .groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``index``, the place of a value among its feature's
+    sorted ones. Rows are sorted by ranges, and a range's first place comes from
+    a table of (feature, range) sizes; no task holds a feature."""
+    one = counts.repartitionByRange("feature", "v").sortWithinPartitions("feature", "v").withColumn("_at", F.monotonically_increasing_id())
+    one = stored(one, "categories").withColumn("_part", F.shiftright("_at", 33))
+    sizes = one.groupBy("feature", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("feature").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("feature", "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return (one.join(sizes, ["feature", "_part"]).withColumn("index", F.col("_before") + F.col("_at") - F.col("_first"))
+            .drop("_at", "_part", "_first", "_before"))
+
+
 def fit_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, mode, categories): most frequent observed value (smallest
-    value on a tie) and the sorted list of observed values. A feature of over
-    ``MAX_CATEGORIES`` values raises before its values meet in one row."""
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v"))
-                                for c in cols]))
-    counts = (df.select(stack.alias("_s")).select("_s.feature", "_s.v").where(F.col("v").isNotNull())
-              .groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")))
-    sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("_values"))
-    fits = F.assert_true(F.col("_values") <= MAX_CATEGORIES, F.concat(F.lit("too many categories in "), F.col("feature")))
-    # a row a feature: the checked sizes are broadcast
-    counts = counts.join(F.broadcast(sizes.select("feature", fits.alias("_ok"))), "feature").where(F.col("_ok").isNull())
-    return counts.groupBy("feature").agg(
-        F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"),
-        F.array_sort(F.collect_list("v")).alias("categories"))
+    """(feature, mode, categories): most frequent observed value
+    (smallest value on a tie) and the sorted list of observed values, null for a
+    feature of over ``MAX_CATEGORIES`` of them."""
+    return _modes(stored(category_counts(df, cols), "category-counts")).drop("n_values")
+
+
+def _modes(counts: DataFrame) -> DataFrame:
+    sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n_values"), F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"))
+    # a row a feature
+    few = counts.join(F.broadcast(sizes.where(F.col("n_values") <= MAX_CATEGORIES).select("feature")), "feature")
+    lists = few.groupBy("feature").agg(F.array_sort(F.collect_list("v")).alias("categories"))
+    return sizes.join(lists, "feature", "left").select("feature", "mode", "n_values", "categories")
 
 
 @dataclass
 class Preparer:
     """Fitted preparation: numeric (median, mean, std) and categorical (mode,
-    categories) parameters, as small local dicts."""
+    categories) parameters, as small local dicts. ``tables`` has the features of
+    many values: (mode, number of values, folder of (v, index))."""
 
     numeric: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     categorical: dict[str, tuple[str, list[str]]] = field(default_factory=dict)
+    tables: dict[str, tuple[str, int, str]] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str],
@@ -79,20 +102,39 @@ class Preparer:
         # Parameter tables hold one row per feature; only they reach the driver.
         num = {r["feature"]: (r["median"], r["mean"], r["std"])
                for r in fit_numeric(df, num_cols, method).collect()} if num_cols else {}
-        cat = {r["feature"]: (r["mode"], list(r["categories"]))
-               for r in fit_categorical(df, cat_cols).collect()} if cat_cols else {}
-        return cls(num, cat)
+        cat, tables = {}, {}
+        if cat_cols:
+            counts = stored(category_counts(df, cat_cols), "category-counts")
+            many = {}
+            for r in _modes(counts).collect():
+                if r["categories"] is not None:
+                    cat[r["feature"]] = (r["mode"], list(r["categories"]))
+                else:
+                    many[r["feature"]] = (r["mode"], r["n_values"])
+            if many:
+                places = stored(numbered(counts.where(F.col("feature").isin(*many))).select("feature", "v", "index"), "category-numbers")
+                for c, (mode, n) in many.items():
+                    path = shared_path(df.sparkSession, "tables", f"categories-{uuid.uuid4().hex}")
+                    places.where(F.col("feature") == c).select("v", "index").write.parquet(path)
+                    tables[c] = (mode, n, path)
+        return cls(num, cat, tables)
 
     def aligned(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """The training columns, null where the input lacks one."""
         have = set(df.columns)
-        columns = [c for c in [*self.numeric, *self.categorical] if c not in keep]
+        columns = [c for c in [*self.numeric, *self.categorical, *self.tables] if c not in keep]
         return df.select(*keep, *[F.col(c) if c in have else F.lit(None).cast("double" if c in self.numeric else "string").alias(c) for c in columns])
 
+    def n_outputs(self) -> int:
+        return len(self.numeric) + sum(len(cats) for _, cats in self.categorical.values()) + sum(n for _, n, _ in self.tables.values())
+
     def output_names(self) -> list[str]:
+        """Of every column of the vector; a value of a table goes by its number."""
         names = [f"num__{c}" for c in self.numeric]
         for c, (_, cats) in self.categorical.items():
             names += [f"cat__{c}_{v}" for v in cats]
+        for c, (_, n, _) in self.tables.items():
+            names += [f"cat__{c}_#{i}" for i in range(n)]
         return names
 
     def expressions(self) -> list:
@@ -108,11 +150,23 @@ class Preparer:
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Scaled numbers and one-hot categories (unknown -> all zeros)."""
+        """Scaled numbers and one-hot categories (unknown -> all zeros), without
+        the features of ``tables``, which have vectors only."""
         return df.select(*keep, *self.expressions())
 
     def to_vector(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-        wide = self.transform(df, keep)
-        va = VectorAssembler(inputCols=self.output_names(), outputCol=out, handleInvalid="keep")
-        return va.transform(wide).select(*keep, out)
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+        found = []
+        for i, (c, (mode, n, path)) in enumerate(self.tables.items()):
+            table = df.sparkSession.read.parquet(path).select(F.col("v").alias(f"_v{i}"), F.col("index").alias(f"_index{i}"))
+            df = df.withColumn(f"_c{i}", F.coalesce(F.col(c).cast("string"), F.lit(mode))).join(table, F.col(f"_c{i}") == F.col(f"_v{i}"), "left")
+            df = df.withColumn(f"_n{i}", F.coalesce(f"_index{i}", F.lit(n)).cast("double")).drop(f"_c{i}", f"_v{i}", f"_index{i}")
+            found.append((f"_n{i}", n))
+        wide = df.select(*keep, *[c for c, _ in found], *self.expressions())
+        parts = [e for e in wide.columns if e not in keep and e not in {c for c, _ in found}]
+        for c, n in found:
+            # the last number stands for unknown values, and its slot is left out
+            last = wide.sparkSession.createDataFrame([(float(n),)], f"{c} double")
+            wide = OneHotEncoder(inputCol=c, outputCol=f"{c}_v", dropLast=True).fit(last).transform(wide)
+            parts.append(f"{c}_v")
+        return VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(wide).select(*keep, out)

@@ -96,6 +96,8 @@ def with_views(body: str, *views: str) -> str:
     """Prefix ``body`` with the CTEs of the named views."""
     ctes = ",\n".join(VIEW_SQL[v].strip() for v in views)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

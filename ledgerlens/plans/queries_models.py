@@ -169,6 +169,8 @@ def q_cluster_selection(spark, sf):
 
 import threading  # noqa: E402
 
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
 from ..operators import binary_metrics as M  # noqa: E402
 from ..operators import modeling as G  # noqa: E402
 from ..operators import sampling as E  # noqa: E402
@@ -270,6 +272,11 @@ def q_fraud_class_weights(spark, sf):
     return spark.createDataFrame([row], "train_size long, positives long, balanced_positive double, balanced_negative double, boosting_positive double")
 
 
+def _temporal(spark, sf):
+    best = fraud_comparison(spark, sf)[0][0].name
+    return _once(spark, sf, "temporal", lambda: G.train_and_evaluate(_fraud_split(spark, sf, temporal=True), BY_NAME[best]))
+
+
 @register("fraud_temporal_evaluation", """
 WITH c AS (SELECT quantile_cont(step, 0.7) c1, quantile_cont(step, 0.85) c2 FROM t),
 sp AS (SELECT step, isFraud, CASE WHEN step <= c1 THEN 'train' WHEN step <= c2 THEN 'val' ELSE 'test' END split FROM t, c)
@@ -281,8 +288,7 @@ def q_fraud_temporal_evaluation(spark, sf):
     """The selected model family re-trained on the time-ordered split
     (train <= 70 % quantile of step, test > 85 %), with boundary steps."""
     split = _fraud_split(spark, sf, temporal=True)
-    best = fraud_comparison(spark, sf)[0][0].name
-    _, m = _once(spark, sf, "temporal", lambda: G.train_and_evaluate(split, BY_NAME[best]))
+    _, m = _temporal(spark, sf)
     bounds = split.agg(F.max(F.when(F.col("split") == "train", F.col("step"))).alias("a"), F.min(F.when(F.col("split") == "test", F.col("step"))).alias("b")).first()
     return _checked_metrics(m).drop("model").withColumn("train_step_max", F.lit(bounds["a"])).withColumn("test_step_min", F.lit(bounds["b"]))
 
@@ -310,6 +316,55 @@ def q_fraud_row_contributions(spark, sf):
     return _contributions(spark, sf)[1]
 
 
+@register("fraud_test_scores")
+def q_fraud_test_scores(spark, sf):
+    """The stored scores of the logistic model's validation and test rows,
+    from which its threshold and metrics are taken."""
+    return _trained(spark, sf, "logistic_regression")[0].scores
+
+
+@register("fraud_temporal_metrics")
+def q_fraud_temporal_metrics(spark, sf):
+    """The metrics on the time-ordered split beside those on the random
+    one, for the selected model family."""
+    random, temporal = fraud_comparison(spark, sf)[1].where("is_best").drop("is_best"), _temporal(spark, sf)[1]
+    return random.withColumn("split", F.lit("random")).unionByName(temporal.withColumn("split", F.lit("temporal")))
+
+
+@register("fallback_model_scores")
+def q_fallback_model_scores(spark, sf):
+    """No model is stored under the best one's name, so the one under the
+    generic name is loaded and scores the test rows; ``same`` says that each
+    probability is the fitted model's."""
+    import uuid
+    fitted = _trained(spark, sf, "logistic_regression")[0]
+    folder = shared_path(spark, "models", uuid.uuid4().hex)
+    fitted.save(f"{folder}/model")
+    loaded = G.load_model(folder, "gradient_boosting")
+    test = _fraud_split(spark, sf).where(F.col("split") == "test")
+    was = fitted.scores.select("event_id", F.col("proba").alias("_was"))
+    return loaded.score(test, ["event_id"]).join(was, "event_id").select("event_id", "proba", (F.col("proba") == F.col("_was")).alias("same"))
+
+
+@register("fraud_tree_contributions")
+def q_fraud_tree_contributions(spark, sf):
+    """Mean |contribution| per feature of the boosted trees on the test
+    rows, with the largest distance of base + contributions from the model's
+    raw score over all rows."""
+    fitted = _trained(spark, sf, "gradient_boosting")[0]
+    test = _fraud_split(spark, sf).where(F.col("split") == "test")
+    glob, _, sums = G.tree_contributions(fitted, test, "event_id")
+    raw = fitted.model.transform(fitted.prep.to_vector(fitted.prep.aligned(test, ["event_id"]), ["event_id"])).select("event_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    off = sums.join(raw, "event_id").agg(F.max(F.abs(F.col("total") - F.col("raw")))).scalar()
+    return glob.withColumn("largest_gap", F.round(off, 6))
+
+
+@register("fraud_tree_row_contributions")
+def q_fraud_tree_row_contributions(spark, sf):
+    """G12 per row: the three largest tree contributions of each test row."""
+    return G.tree_contributions(_trained(spark, sf, "gradient_boosting")[0], _fraud_split(spark, sf).where(F.col("split") == "test"), "event_id")[1]
+
+
 @register("transaction_scoring", """
 SELECT event_id, isFraud, true probability_in_range, true tier_matches FROM t""", ("t",))
 def q_transaction_scoring(spark, sf):
@@ -377,8 +432,6 @@ def segment_comparison(spark, sf):
     """Metrics of every clustering, and the selected ones."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark.ml.functions import vector_to_array
-
     def make():
         vec = _segments(spark, sf)[2]
         ward = fit_ward(vec)  # one hierarchy, cut for every k
@@ -425,8 +478,6 @@ def q_clustering_metrics(spark, sf):
 
 def segment_density(spark, sf):
     """(labels of every setting, the settings' rows) on two principal axes."""
-    from pyspark.ml.functions import vector_to_array
-
     def make():
         vec = _segments(spark, sf)[2]
         proj = H.pca_projection(vec, 2, keep=["ID"])[0].select("ID", F.array("PC1", "PC2").alias("axes"))

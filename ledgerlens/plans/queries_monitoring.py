@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import binary_metrics as M
 from ..operators import clustering as H
 from ..operators import monitoring as I
+from ..operators import sketches as K
 from ..session import shared_path, stored
 from ..sources.files import read_metrics, write_metrics
 from ..sources.tables import read_table
@@ -252,3 +253,67 @@ def q_alerts_closed_days_stream(spark, sf):
 
     from ..streaming.alerts import closed_day_stream
     return closed_day_stream(spark, sf, 0.67, 60, f"closed_days_{uuid.uuid4().hex}", pattern="events.parquet")
+
+
+# -- from stored summaries: every day is read once, and checks merge days ------
+
+def _day_summaries(spark, sf):
+    """The folder of the days' sketches, category counts and score bins."""
+    folder = shared_path(spark, "sketches", f"{abs(hash(sf))}-{metric_folder(spark).rsplit('/', 1)[1]}")
+    day = F.floor(F.col("step") / 24)
+    K.save_days(T(spark, sf).select("type", *PSI_COLUMNS), folder, day, PSI_COLUMNS, ["type"])
+    return folder
+
+
+def _windows():
+    """The days of the reference window and of the current one."""
+    return F.col("day") < REF_STEPS // 24, F.col("day") >= REF_STEPS // 24
+
+
+@register("psi_from_sketches", "SELECT feature, round(psi, 6) psi, 0.0::DOUBLE psi_error, psi > 0.2 alert FROM ("
+          + " UNION ALL ".join([*[_psi_num_sql(c).replace("quantile_cont", "quantile_disc") for c in PSI_COLUMNS], _PSI_CAT_SQL]) + ")", ("t",))
+def q_psi_from_sketches(spark, sf):
+    """I4 from stored daily sketches: bins at values that occur (the reference
+    sketch's deciles). Windows of up to 8,192 values are exact; beyond that
+    ``psi_error`` bounds the index."""
+    p = K.psi_from_sketches(spark, _day_summaries(spark, sf), *_windows())
+    return p.select("feature", r6("psi").alias("psi"), "psi_error", "alert")
+
+
+@register("drift_from_sketches", f"""
+WITH v AS (
+  SELECT 'purchase_rate' metric, (SELECT avg(CAST("type" = 'purchase' AS DOUBLE)) FROM t WHERE step < {REF_STEPS}) reference,
+         (SELECT avg(CAST("type" = 'purchase' AS DOUBLE)) FROM t WHERE step >= {REF_STEPS}) current
+  UNION ALL
+  SELECT 'median_amount', (SELECT quantile_disc(amount, 0.5) FROM t WHERE step < {REF_STEPS}),
+         (SELECT quantile_disc(amount, 0.5) FROM t WHERE step >= {REF_STEPS}))
+SELECT metric, round(reference, 6) reference, round(current, 6) current, round((current - reference) / abs(reference), 6) relative_change,
+       abs((current - reference) / abs(reference)) > 0.2 alert FROM v""", ("t",))
+def q_drift_from_sketches(spark, sf):
+    """I5 from stored daily summaries: the risky type's share and the lower
+    median of the amount."""
+    d = K.drift_from_sketches(spark, _day_summaries(spark, sf), *_windows(), {"purchase_rate": ("type", "purchase")}, {"median_amount": "amount"})
+    return d.select("metric", *[r6(c).alias(c) for c in ("reference", "current", "relative_change")], "alert")
+
+
+@register("weekly_quality_from_sketches", "WITH " + _CUM + """,
+wk AS (SELECT CAST(floor(floor(step / 24) / 7) AS INT) "week", * FROM p),
+sc2 AS (SELECT "week", proba score, count_if(y = 1) pos, count_if(y <> 1) neg FROM wk GROUP BY 1, 2),
+cum2 AS (SELECT *, sum(pos) OVER (PARTITION BY "week" ORDER BY score DESC ROWS UNBOUNDED PRECEDING) tp,
+                sum(neg) OVER (PARTITION BY "week" ORDER BY score DESC ROWS UNBOUNDED PRECEDING) fp FROM sc2),
+ap AS (SELECT "week", sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0) pr_auc FROM cum2 GROUP BY 1),
+cf AS (SELECT "week", count_if(y = 1 AND proba >= 0.5) tp, count_if(y <> 1 AND proba >= 0.5) fp,
+              count_if(y = 1 AND proba < 0.5) fn FROM wk GROUP BY 1)
+SELECT "week", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) "precision",
+       round(pr_auc, 6) pr_auc, true within_bounds, pr_auc < (SELECT pr_auc FROM rk) * 0.95 pr_auc_alert FROM cf JOIN ap USING ("week")""", ("p",))
+def q_weekly_quality_from_sketches(spark, sf):
+    """I9 from stored daily score bins: weekly recall, precision and average
+    precision against that of all days. The scores have 100 levels, fewer than
+    the bins, so the numbers are exact; the bounds hold for any scores."""
+    folder = shared_path(spark, "sketches", metric_folder(spark).rsplit("/", 1)[1])
+    K.save_days(P(spark, sf), folder, F.floor(F.col("step") / 24), score="proba", label="y")
+    base = K.quality_from_sketches(spark, folder, F.lit(0), 0.5).select("pr_auc").scalar()
+    w = K.quality_from_sketches(spark, folder, F.floor(F.col("day") / 7).cast("int"), 0.5, base)
+    inside = (F.col("pr_auc_low") <= F.col("pr_auc")) & (F.col("pr_auc") <= F.col("pr_auc_high"))
+    return w.select(F.col("period").alias("week"), *[r6(c).alias(c) for c in ("recall", "precision", "pr_auc")],
+                    F.coalesce(inside, F.lit(True)).alias("within_bounds"), "pr_auc_alert")

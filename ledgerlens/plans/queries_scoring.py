@@ -120,6 +120,17 @@ def q_roc_pr_curve(spark, sf):
     return c.select("threshold", "tp", "fp", *[r6(x).alias(x) for x in ("tpr", "fpr", "precision", "recall")])
 
 
+@register("roc_pr_corners", "WITH " + _CUM + """,
+turn AS (SELECT *, lead(pos) OVER (ORDER BY score DESC) npos, lead(neg) OVER (ORDER BY score DESC) nneg FROM cum),
+kept AS (SELECT *, npos IS NULL OR pos * nneg <> npos * neg on_roc, npos IS NULL OR pos > 0 OR npos > 0 on_pr FROM turn)
+SELECT score threshold, tp, fp, round(tp / (SELECT sum(pos) FROM sc), 6) tpr, round(fp / (SELECT sum(neg) FROM sc), 6) fpr,
+       round(tp / (tp + fp), 6) "precision", round(tp / (SELECT sum(pos) FROM sc), 6) recall, on_roc, on_pr FROM kept WHERE on_roc OR on_pr""", ("p",))
+def q_roc_pr_corners(spark, sf):
+    """F4 without redundant points of either curve."""
+    c = M.curve_corners(P(spark, sf))
+    return c.select("threshold", "tp", "fp", *[r6(x).alias(x) for x in ("tpr", "fpr", "precision", "recall")], "on_roc", "on_pr")
+
+
 @register("confusion_matrix", """
 SELECT CAST(y AS INT) actual, CAST(proba >= 0.5 AS INT) predicted, count(*) "count" FROM p GROUP BY 1, 2""", ("p",))
 def q_confusion_matrix(spark, sf):

@@ -67,11 +67,36 @@ def test_density_cells(spark):
     assert by[1000]["n_clusters"] == 0 and by[1000]["status"] == "rejected_too_few_clusters"
 
 
-def test_too_many_categories_raise(spark, monkeypatch):
-    monkeypatch.setattr(G, "MAX_CATEGORIES", 3)
-    df = spark.range(10).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(Exception, match="too many categories"):
-        G.fit_categorical(df, ["c"]).collect()
+def test_many_categories_go_by_a_table(spark, monkeypatch, tmp_path):
+    """Beyond the limit the vectors are the same, sparse, and a model keeps the table."""
+    from pyspark.ml.functions import vector_to_array
+    from ledgerlens.operators import modeling as L
+    i = F.col("id")
+    df = spark.range(300).select(i.alias("event_id"), (i % 11 / 11).alias("x"), F.when(i % 9 != 0, F.concat(F.lit("v"), (i % 13).cast("string"))).alias("c"),
+                                 (i % 3).cast("string").alias("d"), (i % 13 > 6).cast("int").alias("isFraud"),
+                                 F.when(i % 10 < 6, "train").when(i % 10 < 8, "val").otherwise("test").alias("split"))
+    new = df.unionByName(spark.createDataFrame([(900, 0.5, "unseen", "1", 0, "test"), (901, None, None, None, 0, "test")], df.schema))
+    lists = G.Preparer.fit(df, ["x"], ["d", "c"])
+    monkeypatch.setattr(G, "MAX_CATEGORIES", 5)
+    tables = G.Preparer.fit(df, ["x"], ["d", "c"])
+    assert list(tables.categorical) == ["d"] and list(tables.tables) == ["c"] and tables.n_outputs() == lists.n_outputs() == len(tables.output_names())
+    rows = lambda p: {r.event_id: tuple(r.v) for r in p.to_vector(p.aligned(new, ["event_id"]), ["event_id"]).select("event_id", vector_to_array("features").alias("v")).collect()}
+    # both have x, then d's columns, then c's, whatever order the features were listed in
+    names = lists.output_names()
+    order = [names.index(n) for n in [n for n in names if not n.startswith("cat__c_")] + [n for n in names if n.startswith("cat__c_")]]
+    assert rows(tables) == {k: tuple(v[j] for j in order) for k, v in rows(lists).items()}
+    assert sum(rows(tables)[900][4:]) == 0
+    fitted, _ = L.train_and_evaluate(df, L.ModelConfig("logistic_regression", L.logistic_regression()))
+    fitted.save(f"file://{tmp_path}/m")
+    assert fitted.score(new, ["event_id"]).collect() == L.FittedModel.load(f"file://{tmp_path}/m").score(new, ["event_id"]).collect()
+
+
+def test_places_of_values_are_sorted(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("string").alias("c"), F.concat(F.lit("k"), F.col("id") % 3).alias("d"))
+    got = G.numbered(G.category_counts(df, ["c", "d"])).collect()
+    for f in ("c", "d"):
+        assert [r["v"] for r in sorted((r for r in got if r["feature"] == f), key=lambda r: r["index"])] == sorted({r["v"] for r in got if r["feature"] == f})
+        assert sorted(r["index"] for r in got if r["feature"] == f) == list(range(sum(r["feature"] == f for r in got)))
 
 
 def test_model_is_stored_and_loaded(spark, tmp_path):

@@ -21,8 +21,12 @@ anywhere else is removed. The steps:
    bytes repeat. No suffix is sorted again.
 4. Repeated windows go back to the texts by region key, and texts are cut.
 
-Anchors of over ``HOT`` occurrences could fill a task with regions that differ
-at one side only; their windows meet one by one instead, by 128-bit hash.
+Anchors of over ``HOT`` occurrences would fill a task with regions that differ
+at their sides only. Such a region goes in pieces, each for the windows that
+have the anchor at 16 neighbouring places; the bytes that all these windows
+share are the piece's anchor, so equal windows still meet. A piece whose anchor
+is as frequent goes window by window, and its pieces are whole windows. Pieces
+are merged as regions are.
 
 Edge cases: a null text is empty; texts shorter than ``width`` bytes lose
 nothing. Texts are known by a 128-bit hash, so repeated rows and null or
@@ -46,6 +50,8 @@ WIDTH = 200
 GRAM = 64
 SYMBOL = 50
 HOT = 50_000
+#: Places of the anchor in the windows of a piece of a frequent region, and of a piece of such a piece.
+PIECES = (16, 1)
 SHARDS = 4
 BATCH_BYTES = 4 << 20
 MERGE_BYTES = 1 << 18
@@ -127,6 +133,22 @@ def anchors(buf: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = G
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def pieces(raw: bytes, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int, width: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, anchor place, first and last window start, region) of the
+    pieces of regions: those of the windows that have the anchor at ``step``
+    neighbouring places. The bytes that the windows of a piece share, with
+    where the anchor lies in them, are its anchor."""
+    import xxhash
+
+    first, last = (place - hi) // step, (place - lo) // step
+    of = np.repeat(np.arange(len(place)), last - first + 1)
+    k = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+    a, b = np.maximum(lo[of], place[of] - step * k - (step - 1)), np.minimum(hi[of], place[of] - step * k)
+    core = place[of] - step * k
+    h = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], seed=z) for x, y, z in zip(core.tolist(), (core - (step - 1) + width).tolist(), (k * 256 + step).tolist())), np.uint64, len(of))
+    return h, place[of], a, b, of
+
+
 def filter_words(hashes: DataFrame, n_blocks: int) -> np.ndarray:
     """A blocked Bloom filter of the column ``gram``, ``n_blocks`` x 8 longs."""
     masks = [F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(gram, {16 + 6 * w}) & 63 as int)))") for w in range(8)]
@@ -290,7 +312,7 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- the steps -----------------------------------------------------------------------------------------------------
 
 TEXT_KEY = {"t1": lambda c: F.xxhash64(c), "t2": lambda c: F.xxhash64(F.lit(7), c)}
-REGION_SCHEMA = "gram long, r1 long, r2 long, t1 long, t2 long, place int, n int, hot boolean, region binary"
+REGION_SCHEMA = "gram long, r1 long, r2 long, t1 long, t2 long, place int, n int, region binary"
 
 
 def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, most_filter_bytes: int = 16 << 20) -> DataFrame:
@@ -309,6 +331,25 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     shared = spark.sparkContext.broadcast((_sized_filter(repeated, most_filter_bytes), _sized_filter(repeated.where(F.col("n") > hot), most_filter_bytes)))
     any_hot = not repeated.where(F.col("n") > hot).isEmpty()
 
+    def cut_finer(raw, h, place, lo, hi, often, step):
+        """The frequent ones in pieces, the others as they are."""
+        hit = in_filter(often, h)
+        piece = pieces(raw, place[hit], lo[hit], hi[hit], step, width)[:4]
+        return tuple(np.concatenate([x[~hit], y]) for x, y in zip((h, place, lo, hi), piece))
+
+    finest = None
+    if any_hot:
+        def counted(batches):
+            for part in regrouped(batches, "text", BATCH_BYTES):
+                buf, offs = byte_view(one_array(part["text"]))
+                h, place, lo, hi = anchors(buf, offs, width, gram)
+                hit = in_filter(shared.value[1], h)
+                h, n = np.unique(pieces(buf.tobytes(), place[hit], lo[hit], hi[hit], PIECES[0], width)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+        frequent = materialize(texts.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > hot), "frequent-pieces")
+        finest = spark.sparkContext.broadcast(_sized_filter(frequent, most_filter_bytes))
+
     def regions(batches):
         import xxhash
 
@@ -318,8 +359,11 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             h, place, lo, hi = anchors(buf, offs, width, gram)
             keep = in_filter(again, h)
             h, place, lo, hi = h[keep], place[keep], lo[keep], hi[keep]
-            doc = np.searchsorted(offs, lo, side="right") - 1
             raw = buf.tobytes()
+            if finest is not None:
+                h, place, lo, hi = cut_finer(raw, h, place, lo, hi, often, PIECES[0])
+                h, place, lo, hi = cut_finer(raw, h, place, lo, hi, finest.value, PIECES[1])
+            doc = np.searchsorted(offs, lo, side="right") - 1
             keys = np.frombuffer(bytes(0) if not len(h) else b"".join(xxhash.xxh3_128_digest(raw[a:b], seed=c) for a, b, c in
                                           zip(lo.tolist(), (hi + width).tolist(), (place - lo).tolist())), "<i8").reshape(-1, 2)
             # the bytes go with the first of equal regions
@@ -328,10 +372,9 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             is_first[first] = True
             n = np.zeros(len(h), np.int32)
             n[first] = count
-            often_ = in_filter(often, h) if any_hot else np.zeros(len(h), bool)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), one_array(part["t1"]).take(pa.array(doc)), one_array(part["t2"]).take(pa.array(doc)),
-                 pa.array((lo - offs[doc]).astype(np.int32)), pa.array(n), pa.array(often_),
+                 pa.array((lo - offs[doc]).astype(np.int32)), pa.array(n),
                  pa.array([raw[a:b] if f else None for a, b, f in zip(lo.tolist(), (hi + width).tolist(), is_first.tolist())], pa.binary())],
                 [x.split()[0] for x in REGION_SCHEMA.split(", ")])
 
@@ -366,30 +409,8 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
             yield pa.RecordBatch.from_arrays([one_array(one["r1"]).take(pa.array(r)), one_array(one["r2"]).take(pa.array(r)),
                                               pa.array((a - offs[r]).astype(np.int32)), pa.array((b - offs[r] - 1 + width).astype(np.int32))], ["r1", "r2", "a", "b"])
 
-    usual = (bodies.where("not hot").select("gram", "r1", "r2", "n", "region").repartition("gram").sortWithinPartitions("gram", "r1", "r2")
+    usual = (bodies.select("gram", "r1", "r2", "n", "region").repartition("gram").sortWithinPartitions("gram", "r1", "r2")
              .mapInArrow(merged, "r1 long, r2 long, a int, b int"))
-    if any_hot:
-        def windows(batches):
-            import xxhash
-
-            for batch in batches:
-                buf, offs = byte_view(batch.column(3))
-                raw = buf.tobytes()
-                row, at, keys = [], [], []
-                for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-                    for s in range(a, b - width + 1):
-                        row.append(k)
-                        at.append(s - a)
-                        keys.append(xxhash.xxh3_128_digest(raw[s:s + width]))
-                w = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(at, pa.int32()),
-                                                  pa.array(w[:, 0]), pa.array(w[:, 1])], ["r1", "r2", "n", "a", "w1", "w2"])
-
-        one = bodies.where("hot").groupBy("r1", "r2").agg(F.sum("n").cast("int").alias("n"), F.first("region").alias("region"))
-        each = materialize(one.select("r1", "r2", "n", "region").mapInArrow(windows, "r1 long, r2 long, n int, a int, w1 long, w2 long"), "hot-windows")
-        twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-        usual = usual.union(each.join(twice, ["w1", "w2"]).select("r1", "r2", "a", (F.col("a") + width).alias("b")))
     # as a table, both sides of the join are plain shuffles, so that Spark can split the places of a frequent region
     found = materialize(usual.groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("found")), "found-spans")
     spans = (places.select("r1", "r2", "t1", "t2", "place").join(found, ["r1", "r2"])

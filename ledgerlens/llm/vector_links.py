@@ -72,7 +72,7 @@ def _buckets(v: np.ndarray, label: np.ndarray, k: int, tables: int, seed: int) -
     h = _mix(_mix(np.full((len(v), tables), dim, np.uint64), np.broadcast_to(label[:, None], (len(v), tables))), np.broadcast_to(np.arange(tables), (len(v), tables)))
     for j in range(k):
         h = _mix(h, q[:, :, j])
-    return h.view(np.int64)
+    return np.maximum(h, 1).view(np.int64)  # 0 stands for no bucket
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -91,11 +91,13 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                  recall: float = 0.98, seed: int = 3) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    # single-precision components stay so until they are compared, in double precision
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.col(label_col).cast("string").alias("label"))
     usable = (F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
               & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    clean = F.transform(v, lambda x: x + F.lit(0.0))
+    clean = F.transform(v, lambda x: x + F.lit(0.0).cast(kind))
     rows = rows.select("vec_id", "label", "usable", F.when(F.col("usable"), clean).alias("v"))
     rows = rows.withColumns({"k1": F.xxhash64("label", "v"), "k2": F.xxhash64("v", "label", F.lit(9))})
     classes = (rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
@@ -116,19 +118,24 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     codes = materialize(classes.select("cid", F.xxhash64("label").alias("label"), "v").mapInArrow(signed, "cid long, codes array<long>"), "vector-codes")
     posted = codes.select("cid", F.posexplode("codes").alias("t", "code"))
     shared = posted.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
-    entries = posted.join(shared, "code").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    posted = materialize(posted.join(shared, "code"), "shared-buckets")
+    # of each vector, the buckets that it shares: no other can be one in which a pair meets
+    held = posted.groupBy("cid").agg(F.collect_list(F.struct("t", "code")).alias("held"))
+    entries = posted.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     # block against block: a member goes to every pair of blocks that has its own
     mine = F.pmod(F.xxhash64("cid", F.lit(4)), F.col("blocks")).cast("int")
     entries = (entries.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("code", "t", "cid", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    members = entries.join(classes.select("cid", "copies", "v"), "cid").join(codes, "cid").select("code", "i", "j", "t", "cid", "copies", "mine", "v", "codes")
+    known = materialize(classes.select("cid", "copies", "v").join(held, "cid"), "shared-vectors")
+    members = entries.join(known, "cid").select("code", "i", "j", "t", "cid", "copies", "mine", "v", "held.t", "held.code").toDF(
+        "code", "i", "j", "t", "cid", "copies", "mine", "v", "tables", "codes")
 
     def linked(batches):
         for t, edges in complete_runs(batches, ["code", "i", "j"]):
             t = t.combine_chunks()
             cid, copies, mine, table_no = (t[x].to_numpy() for x in ("cid", "copies", "mine", "t"))
             i, j = t["i"].to_numpy(), t["j"].to_numpy()
-            vec, all_codes = one_array(t["v"]), _codes(one_array(t["codes"]))
+            vec, all_codes = one_array(t["v"]), _codes(one_array(t["tables"]), one_array(t["codes"]), tables)
             size = np.diff(edges)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             two = edges[:-1][size == 2]
@@ -139,28 +146,26 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     both, x, y = np.intersect1d(pa_, pb_, return_indices=True)
                     near = (va[x] * vb[y]).sum(axis=1) >= threshold
                     p = two[both]
-                    earlier = ((all_codes[p] == all_codes[p + 1]) & (np.arange(tables) < table_no[p][:, None])).any(axis=1)
+                    earlier = ((all_codes[p] == all_codes[p + 1]) & (all_codes[p] != 0) & (np.arange(tables) < table_no[p][:, None])).any(axis=1)
                     near &= (i[p] == j[p]) | (mine[p] != mine[p + 1])
                     p, first = p[near], ~earlier[near]
                     out.append((cid[p], np.where(first, copies[p + 1], 0), np.minimum(cid[p], cid[p + 1])))
                     out.append((cid[p + 1], np.where(first, copies[p], 0), np.minimum(cid[p], cid[p + 1])))
             for s, e in zip(edges[:-1][size > 2], edges[1:][size > 2]):
-                order = np.argsort(cid[s:e], kind="stable") + s
-                got = _unit_rows(vec, order)
-                if len(got) != 1:
-                    continue  # the bucket has the length in it; a clash of hashes is no link
-                u = next(iter(got.values()))[1]
-                near = u @ u.T >= threshold
-                np.fill_diagonal(near, False)
-                if i[s] != j[s]:
-                    near &= mine[order][:, None] != mine[order][None, :]
-                c = all_codes[order]
-                counted = near.copy()
-                for q in range(int(table_no[s])):
-                    counted &= c[:, q][:, None] != c[:, q][None, :]
-                root = _forest(near)
-                some = near.any(axis=1)
-                out.append((cid[order][some], (counted @ copies[order])[some], cid[order][root][some]))
+                whole = np.argsort(cid[s:e], kind="stable") + s
+                for places, u in _unit_rows(vec, whole).values():  # a clash of hashes can bring lengths together
+                    order = whole[places]
+                    near = u @ u.T >= threshold
+                    np.fill_diagonal(near, False)
+                    if i[s] != j[s]:
+                        near &= mine[order][:, None] != mine[order][None, :]
+                    c = all_codes[order]
+                    counted = near.copy()
+                    for q in range(int(table_no[s])):
+                        counted &= (c[:, q][:, None] != c[:, q][None, :]) | (c[:, q] == 0)[:, None]
+                    root = _forest(near)
+                    some = near.any(axis=1)
+                    out.append((cid[order][some], (counted @ copies[order])[some], cid[order][root][some]))
             if out:
                 x = [np.concatenate(z).astype(np.int64) for z in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(z) for z in x], ["cid", "links", "root"])
@@ -176,8 +181,12 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return linked_rows.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1)
+def _codes(table_no: pa.Array, codes: pa.Array, tables: int) -> np.ndarray:
+    """The shared buckets of each row by table, 0 where there is none."""
+    out = np.zeros((len(codes), tables), np.int64)
+    n = np.diff(codes.offsets.to_numpy())
+    out[np.repeat(np.arange(len(codes)), n), table_no.flatten().to_numpy()] = codes.flatten().to_numpy()
+    return out
 
 
 def _unit_rows(column: pa.Array, at: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:

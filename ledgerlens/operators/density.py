@@ -204,7 +204,9 @@ def density_labels(points: DataFrame, key: str, axes: str, d: int, eps: Sequence
     touched = within(pairs, d, None, core_members, True).select("a", "b").unionByName(mine)
     joined = touched.join(core.select(F.col("sid").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
     of_rest = rest.join(joined, "a", "left").select("eps", "level", "key", "cluster")
-    lost = points.where("x is null").select("key").join(F.broadcast(grid.select("eps", "level"))).select("eps", "level", "key", F.lit(None).cast(points.schema["key"].dataType).alias("cluster"))
+    settings = F.array(*[F.struct(F.lit(float(e)).alias("eps"), F.lit(i).alias("level")) for e in eps for i in range(1, len(ms) + 1)])
+    lost = (points.where("x is null").select("key", F.explode(settings).alias("_s"))
+            .select("_s.eps", "_s.level", "key", F.lit(None).cast(points.schema["key"].dataType).alias("cluster")))
     every = of_core.unionByName(of_rest).unionByName(lost)
     return every.join(F.broadcast(grid), ["eps", "level"]).select("eps", "min_points", F.col("key").alias(key), "cluster")
 

@@ -353,6 +353,17 @@ def linear_contributions(fitted: FittedModel, df: DataFrame, key: str, top: int
     return glob, per_row
 
 
+def linear_totals(fitted: FittedModel, df: DataFrame, key: str) -> DataFrame:
+    """(key, base, total): the intercept, and with it the sum of a row's contributions."""
+    coefs = fitted.model.coefficients.toArray().tolist()
+    wide = fitted.prep.transform(fitted.prep.aligned(df, [key]), [key])
+    base = F.lit(float(fitted.model.intercept))
+    total = base
+    for n, c in zip(fitted.prep.output_names(), coefs):
+        total = total + F.col(f"`{n}`") * F.lit(c)
+    return wide.select(key, base.alias("base"), total.alias("total"))
+
+
 def tree_nodes(fitted: FittedModel) -> DataFrame:
     """A tree model as a table: tree, id, feature (null in a leaf), threshold or
     categories that go left, children and the node's value. A value is what the

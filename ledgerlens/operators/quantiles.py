@@ -10,8 +10,9 @@ unbounded. Here the k-th order statistics are found by radix selection:
 2. each wanted rank keeps a prefix of such integers and the count of values
    below it; every round counts the values that have the prefix by their next
    ten bits (one grouped count, map-side combined: at most groups x ranks x
-   1024 rows), and the bucket that holds the rank is the next prefix. There are
-   seven rounds at most, for any values;
+   1024 rows), and the bucket that holds the rank is the next prefix. Bits in
+   which no group's least and largest value differ are skipped. There are seven
+   rounds at most, for any values;
 3. a rank is settled when its bucket holds one distinct value, or few enough
    values (``settle_rows``) to rank them with a window function.
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, stored
 
-#: By how much the integers are shifted in each round: ten bits more each.
-SHIFTS = [54, 44, 34, 24, 14, 4, 0]
+#: Bits of the integers that a round tells apart.
+DIGIT = 10
 SETTLE_ROWS = 50_000
 BROADCAST_STATE_ROWS = 200_000
 _settle = ContextVar("settle_rows", default=SETTLE_ROWS)
@@ -74,14 +75,19 @@ def _long_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
             .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
 
 
-def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
+def value_ranges(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., _n, _vmin, _vmax) of (keys..., _v), written once."""
+    return cut_lineage(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_vmin"), F.max("_v").alias("_vmax")))
+
+
+def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame, ranges: DataFrame | None = None,
                  settle_rows: int | None = None) -> DataFrame:
     """Order statistics by radix selection.
 
     ``values``: (keys..., _v) doubles, neither null nor NaN; they are read once
     a round and should come from a stored table. ``ranks``: (keys..., _r) with
-    0-based ranks. Returns (keys..., _r, _val): the ``_r``-th smallest ``_v`` of
-    each group.
+    0-based ranks. ``ranges``: their ``value_ranges``. Returns (keys..., _r,
+    _val): the ``_r``-th smallest ``_v`` of each group.
 
     When every group holds at most ``settle_rows`` values, one window per
     group ranks them directly (lazy plan, no state). Otherwise rounds narrow
@@ -89,20 +95,30 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
     keys = list(keys)
     settle_rows = _settle.get() if settle_rows is None else settle_rows
     if not keys:  # one global group: a constant key keeps the joins equi-joins
-        return select_ranks(values.withColumn("_g", F.lit(0)), ["_g"], ranks.withColumn("_g", F.lit(0)), settle_rows).drop("_g")
-    n = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    largest = n.agg(F.max("_cnt")).first()[0] or 0
-    if largest <= settle_rows:
+        one = lambda df: None if df is None else df.withColumn("_g", F.lit(0))
+        return select_ranks(one(values), ["_g"], one(ranks), one(ranges), settle_rows).drop("_g")
+    ranges = value_ranges(values, keys) if ranges is None else ranges
+    ranges = ranges.select(*keys, F.col("_n").alias("_cnt"), sortable(F.col("_vmin")).alias("_kmin"), sortable(F.col("_vmax")).alias("_kmax"))
+    differ = F.length(F.bin(F.col("_kmin").bitwiseXOR(F.col("_kmax"))))  # the highest bit in which a group's values differ
+    found = ranges.agg(F.max("_cnt").alias("n"), F.max(F.when(F.col("_cnt") > settle_rows, differ)).alias("bits")).first()
+    if (found["n"] or 0) <= settle_rows:
         rw = Window.partitionBy(*keys).orderBy("_v")
         ranked = values.withColumn("_r", (F.row_number().over(rw) - 1).cast("long"))
         return ranked.join(ranks.select(*keys, "_r"), keys + ["_r"], "left_semi").select(
             *keys, "_r", F.col("_v").alias("_val"))
 
     keyed = values.withColumn("_k", sortable(F.col("_v")))
-    # one prefix for all values at first
-    state = cut_lineage(ranks.join(n, keys).select(*keys, "_r", F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_below"), "_cnt",
-                                                   F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"), F.lit(64).alias("_shift")))
-    for before, shift in zip([64, *SHIFTS], SHIFTS):
+    shifts = [*range(max(0, found["bits"] - DIGIT), 0, -DIGIT), 0]
+
+    def prefix(key: str, bits: int) -> Column:
+        """What all but the last ``bits`` bits of a key are."""
+        return F.lit(0).cast("long") if bits >= 64 else F.shiftright(key, bits)
+
+    # one prefix for all values of a group at first
+    state = cut_lineage(ranks.join(ranges, keys).select(
+        *keys, "_r", prefix("_kmin", shifts[0] + DIGIT).alias("_p"), F.lit(0).cast("long").alias("_below"), "_cnt",
+        F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi")))
+    for before, shift in zip([shifts[0] + DIGIT, *shifts], shifts):
         open_ = state.where((F.col("_cnt") > settle_rows) & (F.col("_lo").isNull() | (F.col("_lo") < F.col("_hi"))))
         # ranks of a group that share a prefix share its histogram
         windows = open_.select(*keys, "_p", "_below").distinct()
@@ -110,8 +126,7 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
         if n_open == 0:
             break
         probe = F.broadcast(windows) if n_open <= BROADCAST_STATE_ROWS else windows
-        prefix = F.lit(0).cast("long") if before == 64 else F.shiftright("_k", before)
-        hist = (keyed.withColumn("_p", prefix).join(probe, keys + ["_p"])
+        hist = (keyed.withColumn("_p", prefix("_k", before)).join(probe, keys + ["_p"])
                 .groupBy(*keys, "_p", "_below", F.shiftright("_k", shift).alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
         w = Window.partitionBy(*keys, "_p").orderBy("_b")
@@ -120,7 +135,7 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame,
         chosen = (open_.select(*keys, "_r", "_p").join(hist.drop("_below"), keys + ["_p"])
                   .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_start") + F.col("_bc")))
                   .select(*keys, "_r", F.col("_b").alias("_p"), F.col("_start").alias("_below"), F.col("_bc").alias("_cnt"),
-                          F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"), F.lit(shift).alias("_shift")))
+                          F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi")))
         state = cut_lineage(state.join(open_.select(*keys, "_r"), keys + ["_r"], "left_anti").unionByName(chosen))
 
     # Buckets of one distinct value are settled; the rest hold at most
@@ -144,10 +159,10 @@ def kth_smallest(df: DataFrame, value: str, rank: F.Column, by: Sequence[str] =
     falls outside 0.._n-1 get null. Result: (by..., name)."""
     by = list(by)
     values = stored(df.select(*by, (F.col(value).cast("double") + 0.0).alias("_v")).where("_v is not null and not isnan(_v)"), "quantile-input")
-    stats = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    stats = value_ranges(values, by)
     ranks = stats.withColumn("_r", rank.cast("long"))
     ok = ranks.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_n")))
-    solved = select_ranks(values, by, ok.select(*by, "_r"))
+    solved = select_ranks(values, by, ok.select(*by, "_r"), stats)
     if by:
         return stats.select(*by).join(solved.select(*by, F.col("_val").alias(name)), by, "left")
     return solved.agg(F.max(F.col("_val")).alias(name))
@@ -175,7 +190,7 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
     df = stored(df.select(*dict.fromkeys([*by, *cols])), "quantile-input")
     values = _long_values(df, by, cols)
     keys = by + ["_c"]
-    stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    stats = value_ranges(values, keys)
     wanted = spark.createDataFrame([(name, c, float(p)) for name, (c, p) in spec.items()],
                                    "_name string, _c string, _p double")
     # spec is a literal list of a few entries: broadcast is size-bounded.
@@ -186,7 +201,7 @@ def grouped_quantiles(df: DataFrame, spec: Mapping[str, tuple[str, float]],
     ranks = (targets.select(*keys, F.col("_r_lo").alias("_r"))
              .unionByName(targets.select(*keys, F.col("_r_hi").alias("_r")))
              .dropDuplicates(keys + ["_r"]))
-    solved = select_ranks(values, keys, ranks, settle_rows)
+    solved = select_ranks(values, keys, ranks, stats, settle_rows)
 
     lo = solved.select(*keys, F.col("_r").alias("_r_lo"), F.col("_val").alias("_v_lo"))
     hi = solved.select(*keys, F.col("_r").alias("_r_hi"), F.col("_val").alias("_v_hi"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, stored
-from .quantiles import grouped_quantiles, kth_smallest, select_ranks
+from .quantiles import grouped_quantiles, kth_smallest, select_ranks, value_ranges
 
 TWO_52 = float(2 ** 52)
 #: Rows of per-class cut-offs that are broadcast at most.
@@ -58,11 +58,11 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.15, va
     k_val = F.ceil((F.col("_n") - F.ceil(F.col("_n") * test)) * val_of_rest)
     # both cut-offs of every class in one selection
     values = stored(h.select(label, F.col("_h").cast("double").alias("_v")), "split-hashes")
-    stats = values.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    stats = value_ranges(values, [label])
     wanted = stats.select("*", F.explode(F.array(F.struct(F.lit("_c1").alias("_name"), (k_test - 1).cast("long").alias("_r")),
                                                  F.struct(F.lit("_c2").alias("_name"), (k_test + k_val - 1).cast("long").alias("_r")))).alias("_w"))
     wanted = wanted.select(label, "_w._name", "_w._r").where(F.col("_r") >= 0)
-    solved = select_ranks(values, [label], wanted.select(label, "_r").distinct())
+    solved = select_ranks(values, [label], wanted.select(label, "_r").distinct(), stats)
     cuts = (wanted.select(label, "_name", "_r").join(solved, [label, "_r"]).groupBy(label)
             .agg(F.max(F.when(F.col("_name") == "_c1", F.col("_val"))).alias("_c1"), F.max(F.when(F.col("_name") == "_c2", F.col("_val"))).alias("_c2")))
     cuts = cut_lineage(stats.select(label).join(cuts, label, "left"))

@@ -18,17 +18,19 @@ from pyspark.sql import functions as F
 
 
 def exclusive_running_sum(df: DataFrame, keys: Sequence[str], chunk: str,
-                          order: Sequence[str | Column], value: str, out: str) -> DataFrame:
+                          order: Sequence[str | Column], value: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Sum of ``value`` over earlier rows of the same key (ordered by
     ``chunk`` then ``order``), 0 for the first row.
 
     ``chunk`` must be non-decreasing along ``order`` within a key (a time
-    bucket of the ordering timestamp satisfies this)."""
-    return exclusive_running_sums(df, keys, chunk, order, {value: out})
+    bucket of the ordering timestamp satisfies this). ``source`` is a frame with
+    the same rows' keys, chunks and values that is cheaper to read than ``df``:
+    the chunks' totals are taken from it."""
+    return exclusive_running_sums(df, keys, chunk, order, {value: out}, source)
 
 
 def exclusive_running_sums(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str | Column],
-                           values: Mapping[str, str]) -> DataFrame:
+                           values: Mapping[str, str], source: DataFrame | None = None) -> DataFrame:
     """As ``exclusive_running_sum``, for several values in one pass."""
     keys = list(keys)
     part = keys + [chunk]
@@ -36,7 +38,7 @@ def exclusive_running_sums(df: DataFrame, keys: Sequence[str], chunk: str, order
                .rowsBetween(Window.unboundedPreceding, -1))
     local = df.withColumns({f"_ll_local_{v}": F.sum(v).over(w_local) for v in values})
 
-    totals = df.groupBy(*part).agg(*[F.sum(v).alias(f"_ll_total_{v}") for v in values])
+    totals = (df if source is None else source).groupBy(*part).agg(*[F.sum(v).alias(f"_ll_total_{v}") for v in values])
     w_off = (Window.partitionBy(*keys).orderBy(chunk)
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*part, *[F.sum(f"_ll_total_{v}").over(w_off).alias(f"_ll_offset_{v}") for v in values])

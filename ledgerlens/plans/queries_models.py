@@ -139,6 +139,16 @@ def q_density_best(spark, sf):
     return best_setting(vector_density(spark, sf)).select("eps", "min_points", "n_clusters", r6("selection_score").alias("selection_score"))
 
 
+@register("ranked_density", "WITH RECURSIVE " + _DENSITY_SQL + """
+SELECT s.eps, s.m min_points, CAST(s.n_clusters AS INT) n_clusters, round(q.silhouette_sq, 6) silhouette_sq
+FROM stat s JOIN q ON q.model = concat(s.eps, '|', s.m) ORDER BY q.silhouette_sq DESC, s.eps, s.m LIMIT 8""", ("v",))
+def q_ranked_density(spark, sf):
+    """The best eight of the evaluated density settings by silhouette."""
+    from ..operators import stats as D
+    top = D.top_rows(vector_density(spark, sf).where("status = 'evaluated'"), [F.desc("silhouette_sq"), F.asc("eps"), F.asc("min_points")], 8)
+    return top.select("eps", "min_points", "n_clusters", r6("silhouette_sq").alias("silhouette_sq"))
+
+
 @register("cluster_quality", "WITH " + _QUALITY_SQL + """
 SELECT model, n_clusters, round(silhouette_sq, 6) silhouette_sq, round(davies_bouldin, 6) davies_bouldin,
        round(calinski_harabasz, 6) calinski_harabasz FROM q""", ("v",))
@@ -316,6 +326,33 @@ def q_fraud_row_contributions(spark, sf):
     return _contributions(spark, sf)[1]
 
 
+@register("fraud_importance_sums", "SELECT * FROM (VALUES ('random_forest', 1.0::DOUBLE), ('gradient_boosting', 1.0::DOUBLE)) f(model, total)")
+def q_fraud_importance_sums(spark, sf):
+    """The importances of all features of a tree model sum to 1."""
+    rows = None
+    for name in ("random_forest", "gradient_boosting"):
+        fitted = _trained(spark, sf, name)[0]
+        one = G.feature_importance(fitted, fitted.prep.n_outputs()).agg(F.lit(name).alias("model"), r6(F.sum("importance")).alias("total"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@register("fraud_contribution_sums", "WITH " + _SPLIT + """
+SELECT event_id, true linear_sums, true tree_sums FROM sp WHERE split = 'test'""", ("t",))
+def q_fraud_contribution_sums(spark, sf):
+    """For each test row, base and contributions are the model's raw
+    score, of the logistic model (its logit) and of the boosted trees."""
+    test = _fraud_split(spark, sf).where(F.col("split") == "test")
+
+    def sums(name, totals):
+        fitted = _trained(spark, sf, name)[0]
+        raw = fitted.model.transform(fitted.prep.to_vector(fitted.prep.aligned(test, ["event_id"]), ["event_id"])).select("event_id", vector_to_array("rawPrediction")[1].alias("raw"))
+        return totals(fitted).join(raw, "event_id").select("event_id", (F.abs(F.col("total") - F.col("raw")) <= 1e-6 * (1 + F.abs("raw"))).alias("same"))
+
+    linear = sums("logistic_regression", lambda m: G.linear_totals(m, test, "event_id")).withColumnRenamed("same", "linear_sums")
+    return linear.join(sums("gradient_boosting", lambda m: G.tree_contributions(m, test, "event_id")[2]).withColumnRenamed("same", "tree_sums"), "event_id")
+
+
 @register("fraud_test_scores")
 def q_fraud_test_scores(spark, sf):
     """The stored scores of the logistic model's validation and test rows,
@@ -418,7 +455,7 @@ def _segment_inputs(spark, sf):
     x = c.drop("ID", "Response", "Complain", "Dt_Customer")
     prep = Preparer.fit(x, numeric_columns(x), categorical_columns(x))
     vec = stored(H.sized(prep.to_vector(c, ["ID"]), c.count()), "segment-vectors")
-    return c, prep, H.sized(vec, c.count()).persist()
+    return c, prep, H.sized(vec, c.count())
 
 
 def _segments(spark, sf):

@@ -64,7 +64,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _event_base(spark, sf_dir)
     order = ["ts", "event_id"]
     w = exclusive_running_sum(base, ["user_id"], "step", order, "amount_dec", "pu")
-    w = exclusive_running_sum(w, ["nameDest"], "step", order, "amount_dec", "pd")
+    w = exclusive_running_sum(w, ["nameDest"], "step", order, "amount_dec", "pd", source=base)
     old_org = F.greatest(F.lit(0), F.lit(START_BALANCE) - F.col("pu"))
     fraud = F.col("k") == 0
     return w.select(

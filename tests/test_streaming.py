@@ -80,3 +80,19 @@ def test_score_stream_equals_batch_and_restarts(spark, tmp_path):
     assert go() == batch() and go() == batch()
     put(spark, folder, "b", [(i, i, 99.0) for i in range(20, 30)])
     assert go() == batch() and len(go()) == 30
+
+
+def test_a_fitted_model_scores_a_stream(spark, tmp_path):
+    """The batch scoring of a stored MLlib model, over files as they arrive."""
+    from ledgerlens.operators import modeling as G
+    i = F.col("id")
+    df = spark.range(300).select(i.alias("event_id"), (i % 7 / 7).alias("x"), F.when(i % 2 == 0, "a").otherwise("b").alias("c"), (i % 7 > 4).cast("int").alias("isFraud"),
+                                 F.when(i % 10 < 6, "train").when(i % 10 < 8, "val").otherwise("test").alias("split"))
+    fitted, _ = G.train_and_evaluate(df, G.ModelConfig("logistic_regression", G.logistic_regression()))
+    fitted.save(f"file://{tmp_path}/m")
+    model, folder, run = G.FittedModel.load(f"file://{tmp_path}/m"), f"{tmp_path}/rows", uuid.uuid4().hex
+    df.drop("isFraud", "split").repartition(3).write.parquet(folder)
+    scorer = lambda rows: model.score(rows, ["event_id"])
+    rows = spark.read.parquet(folder)
+    got = A.score_stream(spark, folder, rows.schema, scorer, run, files=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scorer(rows).collect())) and got.count() == 300

@@ -6,10 +6,13 @@ The rest is a sample: every document gets a rank, random odds divided by
 inclusion odds, and the lowest ranks are taken until their words fill what is
 left of the target. Everything runs on DataFrame functions.
 
-Inclusion probabilities are unequal: a document whose words are over
-``long_share`` of what the sample should take has its probability cut in
+Inclusion probabilities are unequal: they are proportional to a document's
+weight, which is its size to the power of ``size_power`` (0.5: a document of
+four times the words is twice as likely), times ``weight_col`` if there is one;
+they add up to what is left of the target in words. A document whose words are
+over ``long_share`` of what the sample should take has its probability cut in
 proportion, since one such document would overshoot the target, and the others'
-is raised to match. ``weight_col`` makes them proportional to a weight.
+is raised to match.
 
 The fill point of a source is found by refining a histogram over the ranks:
 words are summed by (source, 1/4096 of the rank interval), the slot that holds
@@ -63,12 +66,17 @@ def targets(sizes: list[tuple[str | None, int]], weights: list[int] = (1, 2, 3),
 PLAN = "source string, source_size long, target double, whole int, rest double, per_mass double, raised double, cut double"
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight_col: str | None) -> DataFrame:
+#: How inclusion probabilities grow with a document's size.
+SIZE_POWER = 0.5
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight_col: str | None, size_power: float = SIZE_POWER) -> DataFrame:
     """The documents with ``_source``, ``_size``, ``_weight`` and a uniform number ``_u``."""
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(source_col), F.xxhash64(text_col), F.lit(seed)), 12).cast("double")
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": n_words(F.col(text_col).cast("string")),
+    rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": n_words(F.col(text_col).cast("string")),
                              "_weight": weight, "_u": (u + 0.5) / float(1 << 52)})
+    return rows.withColumn("_weight", F.col("_weight") * F.pow(F.col("_size").cast("double"), F.lit(float(size_power))))
 
 
 def with_plan(rows: DataFrame, plan: list[tuple]) -> DataFrame:
@@ -152,12 +160,12 @@ def mixing_plan(rows: DataFrame, weights=(1, 2, 3), most_copies: int = 3, long_s
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3),
-        most_copies: int = 3, seed: int = 20, long_share: float = 0.02, weight_col: str | None = None) -> DataFrame:
+        most_copies: int = 3, seed: int = 20, long_share: float = 0.02, weight_col: str | None = None, size_power: float = SIZE_POWER) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words
     taken, repeats counted) and copies (of the whole document)."""
     rows = sized(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"),
                              *([] if weight_col is None else [F.col(weight_col).alias("weight")])), "doc_id", "text", "source", seed,
-                 None if weight_col is None else "weight").select("doc_id", "_source", "_size", "_weight", "_u")
+                 None if weight_col is None else "weight", size_power).select("doc_id", "_source", "_size", "_weight", "_u")
     rows = materialize(rows, "mix-sizes")
     got = with_plan(rows, mixing_plan(rows, weights, most_copies, long_share)).withColumn("_rank", _rank(long_share)).withColumn("copies", _copies(long_share))
     return got.select("doc_id", F.col("_size").alias("size"), F.col("_aim.source_size").alias("source_size"), F.col("_aim.target").alias("target"),
@@ -165,10 +173,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3),
-                    most_copies: int = 3, seed: int = 20, long_share: float = 0.02, weight_col: str | None = None) -> DataFrame:
+                    most_copies: int = 3, seed: int = 20, long_share: float = 0.02, weight_col: str | None = None, size_power: float = SIZE_POWER) -> DataFrame:
     """The mix itself: every document as often as it is taken, columns unchanged."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    rows = sized(rows, f"_row.{id_col}", f"_row.{text_col}", f"_row.{source_col}", seed, None if weight_col is None else f"_row.{weight_col}")
+    rows = sized(rows, f"_row.{id_col}", f"_row.{text_col}", f"_row.{source_col}", seed, None if weight_col is None else f"_row.{weight_col}", size_power)
     plan = mixing_plan(materialize(rows.select("_source", "_size", "_weight", "_u"), "mix-sizes"), weights, most_copies, long_share)
     got = with_plan(rows, plan).withColumn("_rank", _rank(long_share)).withColumn("_copies", _copies(long_share))
     return got.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -69,6 +69,20 @@ def test_long_documents_are_drawn_less(spark):
     assert sum(taken[2000]) / len(taken[2000]) < sum(taken[10]) / len(taken[10])
 
 
+def test_inclusion_grows_with_size(spark):
+    """Four times the words, twice the chance; equal chances with a power of 0. Sources stay on target."""
+    rows = [(i, "w " * (80 if i % 2 else 20), "abc"[i % 6 // 2]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for power, ratio in ((0.5, 2.0), (0.0, 1.0)):
+        taken = defaultdict(list)
+        for seed in range(2):
+            got = M.mix(df, seed=seed, size_power=power).where("doc_id % 6 < 2").collect()
+            assert abs(sum(r.taken for r in got) - got[0].target) <= 40
+            for r in got:
+                taken[r.size].append(r.copies)
+        assert sum(taken[80]) / sum(taken[20]) == pytest.approx(ratio, rel=0.15)
+
+
 def test_awkward_rows(spark):
     df = documents(spark, extra=True)
     got = M.mix(df).collect()

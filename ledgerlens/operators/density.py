@@ -31,10 +31,11 @@ from ..session import stored
 from .clustering import cluster_metrics
 from .graph import connected_components
 
-# The settings of the grid and the least number of clustered points.
+# The settings of the grid, the least number of clustered points and the statuses.
 DENSITY_EPS = [0.8, 1.0, 1.2, 1.5, 2.0, 2.5, 3.0]
 DENSITY_POINTS = [5, 10, 15, 20]
 DENSITY_LEAST = 50
+FEW_CLUSTERS, MUCH_NOISE, EVALUATED = "rejected_too_few_clusters", "rejected_too_much_noise", "evaluated"
 
 #: Pairs of points of two sets that are compared one by one.
 FEW = 256
@@ -217,10 +218,10 @@ def density_settings(labels: DataFrame, vectors: DataFrame, key: str, features:
     ``least`` clustered points is rejected, with -1 / inf / 0."""
     counts = labels.groupBy("eps", "min_points").agg(
         F.count_distinct("cluster").cast("int").alias("n_clusters"), F.count("cluster").alias("clustered"), F.count_if(F.col("cluster").isNull()).alias("noise"))
-    status = (F.when(F.col("n_clusters") < 2, "rejected_too_few_clusters").when(F.col("clustered") < least, "rejected_too_much_noise").otherwise("evaluated"))
+    status = F.when(F.col("n_clusters") < 2, FEW_CLUSTERS).when(F.col("clustered") < least, MUCH_NOISE).otherwise(EVALUATED)
     counts = stored(counts.withColumn("status", status), "density-counts")
     # a row a setting
-    fit = F.broadcast(counts.where("status = 'evaluated'").select("eps", "min_points"))
+    fit = F.broadcast(counts.where(F.col("status") == EVALUATED).select("eps", "min_points"))
     scored = labels.where("cluster is not null").join(fit, ["eps", "min_points"]).join(vectors.select(key, features), key)
     m = cluster_metrics(scored, features, "cluster", by=["eps", "min_points"]).drop("n_clusters")
     return (counts.join(m, ["eps", "min_points"], "left")
@@ -234,4 +235,4 @@ def best_setting(settings: DataFrame, db_weight: float = 0.05) -> DataFrame:
     ``silhouette - 0.05 * Davies-Bouldin``; the first in order of eps and
     min_points on a tie. Without an evaluated setting there is no row."""
     score = F.col("silhouette_sq") - F.lit(db_weight) * F.col("davies_bouldin")
-    return settings.where("status = 'evaluated'").withColumn("selection_score", score).orderBy(F.desc("selection_score"), "eps", "min_points").limit(1)
+    return settings.where(F.col("status") == EVALUATED).withColumn("selection_score", score).orderBy(F.desc("selection_score"), "eps", "min_points").limit(1)

@@ -12,9 +12,8 @@ from ledgerlens.sources.tables import TABLES
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-# Hundreds of trees, rounds and restarts: tools/oracle_check.py compares these, with all others, at sf0.01.
-LONG = ("fraud_model_comparison", "fraud_temporal_evaluation", "clustering_comparison", "kmeans_elbow", "density_clustering")
-FAST = [n for n in entry.oracle_sql() if n not in ("alerts_per_day_stream", *LONG)]
+# the stream has a test of its own
+NAMES = [n for n in entry.oracle_sql() if n != "alerts_per_day_stream"]
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +45,7 @@ def test_entry_runs(spark):
     assert df.count() > 0 and "median_amount" in df.columns
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     cur = con.execute(entry.oracle_sql()[name])

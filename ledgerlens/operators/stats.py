@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .quantiles import grouped_quantiles
 
 
@@ -104,15 +105,19 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     """Pandas ``describe`` per column (and per group): count, mean,
     sample std, min, quartiles, max. Long output: (by..., column, stat...)."""
     by = list(by)
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
-                                for c in columns]))
-    long = df.select(*by, stack.alias("_s")).select(*by, "_s.column", "_s.x")
-    moments = long.groupBy(*by, "column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    quarts = grouped_quantiles(long, {"q25": ("x", 0.25), "q50": ("x", 0.5), "q75": ("x", 0.75)},
-                               by + ["column"], method=method)
-    return moments.join(quarts, by + ["column"])
+    names = {f"_x{i}": c for i, c in enumerate(columns)}
+    # the rows are made once, and stay as wide as they are; only results become long
+    wide = stored(df.select(*by, *[F.col(c).cast("double").alias(x) for x, c in names.items()]), "describe-input")
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+    def long(one: DataFrame, kept: Sequence[str]) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{x}_{k}").alias(k) for k in kept]) for x, c in names.items()])
+        return one.select(*by, F.explode(rows).alias("_s")).select(*by, "_s.*")
+
+    moments = wide.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[f(x).alias(f"{x}_{k}") for x in names for k, f in stats.items()]).where("_n > 0")
+    quarts = grouped_quantiles(wide, {f"{x}_{k}": (x, p) for x in names for k, p in quartiles.items()}, by, method=method)
+    return long(moments, list(stats)).join(long(quarts, list(quartiles)), by + ["column"])
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:

@@ -88,6 +88,32 @@ def boosted_trees(iters: int = 400, depth: int = 6, step: float = 0.08, subsampl
                                     featureSubsetStrategy="0.9", seed=seed, weightCol="weight", featuresCol="features", labelCol="label")
 
 
+#: A fit of a forest keeps a count of 4 bytes for each row and tree: so many for a core at most.
+COUNTS_PER_CORE = 100_000_000
+
+
+def fit_forest(est, df: DataFrame, n: int):
+    """A forest over ``n`` rows as one model. Its trees don't depend on each
+    other; where the counts of all rows and trees would grow past the executors'
+    memory, some trees grow at a time, with seeds of their own."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    sc = df.sparkSession.sparkContext
+    total = est.getNumTrees()
+    some = max(1, COUNTS_PER_CORE * sc.defaultParallelism // max(n, 1))
+    if some >= total:
+        return est.fit(df)
+    trees, model = [], None
+    for i, start in enumerate(range(0, total, some)):
+        model = est.copy({est.numTrees: min(some, total - start), est.seed: est.getSeed() + i * 1_000_003}).fit(df)
+        trees += list(model._java_obj.trees())
+    kinds = sc._jvm.org.apache.spark.ml.classification
+    grown = sc._gateway.new_array(kinds.DecisionTreeClassificationModel, total)
+    for i, t in enumerate(trees):
+        grown[i] = t
+    whole = kinds.RandomForestClassificationModel(model.uid, grown, model.numFeatures, model.numClasses)
+    return est._copyValues(RandomForestClassificationModel(whole))
+
+
 class EarlyStoppingPerceptron:
     """A perceptron fitted a few iterations at a time: every round goes on from
     the last one's weights, and the loss on rows kept apart decides which
@@ -295,7 +321,7 @@ def train_and_evaluate(split: DataFrame, config: ModelConfig, label: str = "isFr
     est = config.build(prep.n_outputs())
     if type(est).__name__ == "LogisticRegression":
         est = est.setRegParam(1.0 / max(total, 1.0))
-    model = est.fit(vec)
+    model = fit_forest(est, vec, n) if type(est).__name__ == "RandomForestClassifier" else est.fit(vec)
     vec.unpersist()
     fitted = FittedModel(config.name, prep, model, 0.5, n)
 

@@ -33,3 +33,24 @@ def test_vectors_of_many_rows_lie_in_equal_parts_on_disk(spark, monkeypatch):
     assert one == [360] and len(parts) == cores * -(-360 // (cores * 50)) and max(parts) - min(parts) <= 1 and sum(parts) == 360
     assert level.useDisk and not level.useMemory
     assert many.model.coefficients.toArray() == pytest.approx(few.model.coefficients.toArray(), rel=1e-3, abs=1e-3)
+
+
+def test_a_forest_of_many_rows_grows_some_trees_at_a_time(spark, monkeypatch, tmp_path):
+    grown = []
+    real = RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, df: grown.append((self.getNumTrees(), self.getSeed())) or real(self, df))
+    config, df = G.ModelConfig("random_forest", G.random_forest(8)), rows(spark)
+    G.train_and_evaluate(df, config)
+    assert grown == [(8, 42)]
+    monkeypatch.setattr(G, "COUNTS_PER_CORE", 3 * 360 // spark.sparkContext.defaultParallelism)
+    fitted, metrics = G.train_and_evaluate(df, config)
+    assert [n for n, _ in grown[1:]] == [3, 3, 2] and len({s for _, s in grown[1:]}) == 3
+    model = fitted.model
+    assert len(model.trees) == 8 and len({t.toDebugString for t in model.trees}) > 3 and metrics.first().roc_auc > 0.9
+    assert sum(model.featureImportances.toArray()) == pytest.approx(1) and G.feature_importance(fitted).count() == 4
+    each = np.mean([t.featureImportances.toArray() for t in model.trees], axis=0)
+    assert model.featureImportances.toArray() == pytest.approx(each / each.sum())
+    fitted.save(f"file://{tmp_path}/m")
+    loaded = G.FittedModel.load(f"file://{tmp_path}/m")
+    assert sorted(map(tuple, loaded.score(df, ["event_id"]).collect())) == sorted(map(tuple, fitted.score(df, ["event_id"]).collect()))
+    assert fitted.scores.count() == 240

@@ -202,9 +202,14 @@ def _once(spark, sf, what, make):
         return _DONE[key]
 
 
+def _fraud_design(spark, sf):
+    """The model input of every transaction; its balances are computed once."""
+    return _once(spark, sf, "design", lambda: stored(G.fraud_design(T(spark, sf)), "design"))
+
+
 def _fraud_split(spark, sf, temporal: bool = False):
     def make():
-        design = G.fraud_design(T(spark, sf))
+        design = _fraud_design(spark, sf)
         if temporal:
             return stored(E.temporal_split(design, "step", 0.70, 0.15), "temporal-split")
         return stored(E.stratified_split(design, "isFraud", "event_id"), "split")
@@ -427,7 +432,7 @@ def _scored_transactions(spark, sf):
         _trained(spark, sf, "logistic_regression")[0].save(f"{folder}/logistic_regression")
         return folder
     model = G.load_model(_once(spark, sf, "saved", make), "logistic_regression")
-    scored = model.score(G.fraud_design(T(spark, sf)), ["event_id", "isFraud"])
+    scored = model.score(_fraud_design(spark, sf), ["event_id", "isFraud"])
     return (scored.withColumn("error_type", M.error_type("proba", "isFraud", model.threshold))
             .withColumn("risk_tier", M.risk_tier("proba", model.threshold)))
 

@@ -54,3 +54,16 @@ def test_a_forest_of_many_rows_grows_some_trees_at_a_time(spark, monkeypatch, tm
     loaded = G.FittedModel.load(f"file://{tmp_path}/m")
     assert sorted(map(tuple, loaded.score(df, ["event_id"]).collect())) == sorted(map(tuple, fitted.score(df, ["event_id"]).collect()))
     assert fitted.scores.count() == 240
+
+
+def test_the_design_is_made_once(spark, tmp_path, monkeypatch):
+    made = []
+    def balances(spark, sf):
+        made.append(sf)
+        i = F.col("id")
+        return spark.range(60).select(i.alias("event_id"), (i % 9).cast("int").alias("step"), F.lit("a").alias("type"), (i * 1.5).alias("amount"), (i % 4).alias("nameOrig"), (i % 2).alias("nameDest"),
+                                      (i % 6 == 0).cast("int").alias("isFraud"), (i % 3).cast("double").alias("oldbalanceOrg"), (i * 1.0).alias("newbalanceOrig"), (i * 2.0).alias("oldbalanceDest"), (i * 3.0).alias("newbalanceDest"))
+    monkeypatch.setattr(Q, "T", balances)
+    split = Q._fraud_split(spark, str(tmp_path))
+    assert Q._fraud_split(spark, str(tmp_path), temporal=True).count() == split.count() == 60
+    assert Q._fraud_design(spark, str(tmp_path)).count() == 60 and len(made) == 1

@@ -12,6 +12,52 @@ from ledgerlens.plans import catalog  # noqa: F401  (before the queries, which i
 from ledgerlens.plans import queries_models as Q
 
 
+def odd_columns(spark, n=4000):
+    i = F.col("id")
+    return spark.range(n).repartition(3).select(
+        (i * 7919 % n).cast("double").alias("plain"), F.when(i % 3 == 0, i * 31 % 97).alias("holes"), F.lit(2.5).alias("same"), (i % 2).cast("double").alias("halves"),
+        F.when(i % 10 == 0, F.lit(float("nan"))).otherwise((i * 13 % 1009).cast("double")).alias("nans"), F.lit(None).cast("double").alias("none"),
+        F.when(i % 5 < 2, F.lit(float("-inf"))).when(i % 5 < 4, F.lit(float("inf"))).otherwise(i.cast("double")).alias("ends"),
+        F.when(i % 2 == 0, -0.0).otherwise(0.0).alias("zeros"), F.when(i == 5, 1.0).alias("one"), (i % 50).cast("decimal(10,2)").alias("money"))
+
+
+@pytest.mark.parametrize("p", [0.0, 0.0002, 0.25, 0.5, 0.731, 1.0])
+def test_quantiles_of_columns_are_exact(spark, p):
+    df = odd_columns(spark).cache()
+    spec = {f"{c}_q": (c, p) for c in df.columns}
+    want = quantiles.grouped_quantiles(df, spec).first().asDict()
+    with quantiles.settling(20):
+        got = quantiles.column_quantiles(df, spec)
+    assert got == want and str(got["zeros_q"]) == "0.0" and got["none_q"] is None
+    plain = np.quantile([r.plain for r in df.collect()], p)
+    assert got["plain_q"] == pytest.approx(plain)
+
+
+def test_a_rank_outside_its_two_values_is_found(spark, monkeypatch):
+    df = odd_columns(spark).select("plain", "money")
+    want = quantiles.grouped_quantiles(df, {"a": ("plain", 0.5), "b": ("money", 0.5)}).first().asDict()
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 3)
+    monkeypatch.setattr(quantiles, "SKETCH_MARGIN", 1e-9)
+    with quantiles.settling(20):
+        assert quantiles.column_quantiles(df, {"a": ("plain", 0.5), "b": ("money", 0.5)}) == want
+
+
+def test_preparation_ranks_few_values(spark, monkeypatch):
+    df = odd_columns(spark).drop("ends", "nans", "halves").cache()
+    ranked = []
+    real = quantiles.value_ranges
+    monkeypatch.setattr(quantiles, "value_ranges", lambda values, keys: ranked.append(values.count()) or real(values, keys))
+    with quantiles.settling(20):
+        got = {r.feature: r for r in fit_numeric(df, df.columns).collect()}
+    assert sum(ranked) < 500  # not a row a value
+    x = df.toPandas().astype(float)
+    assert got.keys() == set(df.columns) and got["none"].mean is None
+    for c in set(df.columns) - {"none"}:
+        v = x[c].fillna(x[c].median())
+        assert [got[c]["median"], got[c]["mean"], got[c]["std"]] == pytest.approx([x[c].median(), v.mean(), v.std(ddof=0)]), c
+    assert fit_numeric(df.limit(0), ["plain"]).count() == 0 and Preparer.fit(df.limit(0), ["plain"], []).numeric == {}
+
+
 def rows(spark, n=600):
     i = F.col("id")
     return spark.range(n).select(i.alias("event_id"), (i * 37 % 101 / 101).alias("x"), (i * 17 % 29 / 29).alias("z"), F.when(i % 3 == 0, "a").otherwise("b").alias("c"),

@@ -44,9 +44,8 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], method: str = "exact") -> Da
     # sums of the columns as they are; only the one row of sums becomes a row a feature
     sums = df.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(filled[c]).alias(f"_m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(filled[c]).alias(f"_s{i}") for i, c in enumerate(cols)])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), median[c].alias("median"), F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std")) for i, c in enumerate(cols)]))
-    # the order of features, which models see, is that of this grouping
-    return (sums.where("_n > 0").select(each.alias("_t")).select("_t.*").groupBy("feature", "median")
-            .agg(F.max("mean").alias("mean"), F.max("std").alias("std")))
+    # rows come by their hash, as a grouping has them: models see the features in this order
+    return sums.where("_n > 0").select(each.alias("_t")).select("_t.*").repartition("feature", "median")
 
 
 #: A feature of up to so many values keeps them as a list, and its one-hot columns are expressions. The

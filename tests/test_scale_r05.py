@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import boosting as B
 from ledgerlens.operators import modeling as G
+from ledgerlens.operators import silhouette as S
 from ledgerlens.plans import catalog  # noqa: F401  (before the queries, which it loads)
 from ledgerlens.plans import queries_models as Q
 
@@ -131,3 +132,36 @@ def test_fits_of_many_rows_don_t_share_memory(spark, monkeypatch):
     monkeypatch.setattr(G, "ROWS_OF_TWO_FITS", 10)
     models, metrics = G.compare_models(rows(spark, 600), [G.ModelConfig(f"m{i}", G.logistic_regression()) for i in range(3)])
     assert len(prepared) == 1 and len(most) == 3 and max(most) == 1 and metrics.count() == len(models) == 3
+
+
+def all_pairs(x, c):
+    """The mean silhouette, each row against all others."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    names = np.unique(c)
+    mean = np.stack([d[:, c == k].sum(axis=1) / np.maximum((c == k).sum() - (c == k), 1) for k in names], axis=1)
+    own = c[:, None] == names
+    a, b = mean[own], np.where(own, np.inf, mean).min(axis=1)
+    top = np.maximum(a, b)
+    return float(np.where((own * own.sum(axis=0)).sum(axis=1) > 1, np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0), 0).mean())
+
+
+def test_silhouette_takes_all_pairs(spark, monkeypatch):
+    """Over 1,000 rows a cluster, repeated vectors (also in other clusters), keys that repeat, one row alone."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(m, s, size=(n, 3)) for m, s, n in ((0, 1, 1300), (2, 0.5, 1100), (5, 2, 60))] + [np.zeros((5, 3)) + 1e6]).round(2)
+    c = np.repeat([0, 1, 2, 3, 0, 7], [1300, 1100, 60, 3, 1, 1])
+    x[2000:2300], x[5] = x[1500:1800], x[1400]
+    df = spark.createDataFrame([(i % 9 or None, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), c))], "id long, features array<double>, cluster int")
+    both = df.selectExpr("id", "features", "cluster", "'a' model").unionByName(df.selectExpr("id", "features", "cluster % 2 cluster", "'b' model"))
+    both = both.unionByName(df.selectExpr("id", "features", "3 cluster", "'one' model"))
+    monkeypatch.setattr(S, "BLOCK", 200)
+    got = {r.model: r for r in S.silhouette(both, "id", by=["model"]).collect()}
+    assert got["a"].silhouette == pytest.approx(all_pairs(x, c), abs=1e-9) and got["b"].silhouette == pytest.approx(all_pairs(x, c % 2), abs=1e-9)
+    assert got["one"].silhouette == -1.0 and {r.silhouette_error for r in got.values()} == {0.0}
+    assert S.silhouette(df.limit(0), "id").columns == ["silhouette", "silhouette_error"] and S.silhouette(df.limit(0), "id").count() == 0
+
+
+def test_distances_that_cancel_are_taken_by_difference():
+    x = np.array([[1e6, 0.0], [1e6, 1e-3], [1e6, 0.0]])
+    got = S.block_sums(x, x, np.array([0, 2]), np.array([[1.0, 0.0], [0.0, 2.0]]))
+    assert got == pytest.approx(np.array([[1e-3, 0.0], [1e-3, 2e-3], [1e-3, 0.0]]))

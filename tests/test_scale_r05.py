@@ -3,12 +3,14 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import boosting as B
+from ledgerlens.operators import clustering as H
 from ledgerlens.operators import modeling as G
 from ledgerlens.operators import silhouette as S
 from ledgerlens.plans import catalog  # noqa: F401  (before the queries, which it loads)
@@ -165,3 +167,21 @@ def test_distances_that_cancel_are_taken_by_difference():
     x = np.array([[1e6, 0.0], [1e6, 1e-3], [1e6, 0.0]])
     got = S.block_sums(x, x, np.array([0, 2]), np.array([[1.0, 0.0], [0.0, 2.0]]))
     assert got == pytest.approx(np.array([[1e-3, 0.0], [1e-3, 2e-3], [1e-3, 0.0]]))
+
+
+def test_sums_of_all_runs_by_brute_force(monkeypatch):
+    """Counts, sums and costs of every run of every k, ties to the smallest centre, a few distances at a time."""
+    monkeypatch.setattr(H, "CACHED_DISTANCES", 400)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (500, 3)).astype(float)
+    groups = [rng.integers(-2, 3, (4, k, 3)).astype(float) for k in (2, 5)]
+    groups[1][2, 4] = groups[1][2, 1]
+    seen = [(len(rows), mine.size) for g in groups for rows, mine, _ in H._nearest_of(g, np.concatenate([x, np.ones((500, 1))], axis=1))]
+    assert max(n for _, n in seen) <= 400 and sum(n for n, _ in seen) == 1000
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(p))], ["x"]) for p in (x[:300], x[300:])]
+    got = next(H._lloyd_sums(groups)(iter(batches))).to_pylist()
+    for g, r in zip(groups, got):
+        apart = ((x[None, :, None] - g[:, None]) ** 2).sum(axis=3)
+        near = apart.argmin(axis=2)[:, :, None] == np.arange(g.shape[1])
+        assert np.array(r["counts"]).reshape(g.shape[:2]).tolist() == near.sum(axis=1).tolist() and r["costs"] == pytest.approx(apart.min(axis=2).sum(axis=1))
+        assert np.array(r["sums"]).reshape(g.shape) == pytest.approx(np.einsum("rnk,nd->rkd", near.astype(float), x))
